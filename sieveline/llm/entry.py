@@ -5,15 +5,39 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from sieveline.llm import decontamination, language_id, packing, quality_rules, secret_scans, token_counts, toxicity
 from sieveline.llm.common import table
-from sieveline.llm.token_counts import count_tokens
 
 BYTE_BPE = "byte_bpe_50k.json"
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scans.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op7_token_counts": op7_token_counts}
+QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op4_quality_rules, op5_decontamination, op6_toxicity, op7_token_counts, op8_language_id, op9_secret_scans)}
 ORACLES: dict[str, str] = {}
