@@ -11,7 +11,6 @@ repeated rows; a null doc_id stays null and counts as held out; other columns ar
 
 from __future__ import annotations
 
-import zlib
 from bisect import bisect_right
 from collections import Counter
 
@@ -19,7 +18,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import Remembered, fold, fold_column, map_rows
+from sieveline.llm.common import fold, fold_column, map_rows
+from sieveline.llm.ngrams import PartTable, hashed_ngrams
 
 BUCKETS = 1 << 16
 #: Labelled rows that the model is fitted to, about.
@@ -50,11 +50,19 @@ def letters_of(chunk: str) -> list[str]:
     return "".join(c if c.isalpha() else " " for c in chunk).lower().split()
 
 
-def grams(word: str) -> list[int]:
-    """Buckets of the word's n-grams of 1 to 4 characters and of the word itself."""
-    w = f"<{word}>"
-    parts = [w[i : i + n] for n in (2, 3, 4) for i in range(len(w) - n + 1)]
-    return [zlib.crc32(p.encode("utf-8", "surrogatepass")) % BUCKETS for p in [*word, *parts, f"={word}"]]
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the word, bucket) of the words' n-grams of 1 to 4 characters and of the words themselves."""
+    return hashed_ngrams(words, (1, 2, 3, 4), BUCKETS)
+
+
+def split_letters(chunks: list[str]) -> tuple[list[str], np.ndarray]:
+    """The words of all chunks, and the number of each word's chunk."""
+    words, owner = [], []
+    for i, chunk in enumerate(chunks):
+        own = letters_of(chunk)
+        words += own
+        owner += [i] * len(own)
+    return words, np.array(owner, np.int64)
 
 
 class Model:
@@ -72,44 +80,34 @@ class Model:
         share = letters / np.maximum(1.0, letters.sum(axis=0))
         self.candidates = {s: share[i] >= 0.01 for i, s in enumerate(SCRIPTS)}
 
-    def word(self, word: str) -> np.ndarray:
-        """Scores by language; those that never use the word's script get none of its evidence and a fixed loss."""
-        narrowed = self.candidates[Counter(map(script_of, word)).most_common(1)[0][0]]
-        if not narrowed.any():
-            return np.zeros(len(self.langs), np.float32)
-        scores = self.logs[grams(word)].sum(axis=0) / 3.0
-        scores -= scores[narrowed].max()
-        return np.where(narrowed, np.maximum(scores, -20.0), np.float32(-30.0)).astype(np.float32)
+    def words(self, words: list[str]) -> np.ndarray:
+        """Scores by word and language; languages that never use the word's script get none of its evidence and a fixed loss."""
+        owner, bucket = grams(words)
+        scores = np.zeros((len(words), len(self.langs)), np.float32)
+        if not words or not self.langs:
+            return scores
+        first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+        scores[owner[first]] = np.add.reduceat(self.logs[bucket], first, axis=0) / 3.0
+        scripts = ["latin" if w.isascii() else Counter(map(script_of, w)).most_common(1)[0][0] for w in words]
+        narrowed = np.array([self.candidates[s] for s in scripts])
+        scores -= np.where(narrowed, scores, -np.inf).max(axis=1, initial=-1e30)[:, None]
+        scores = np.where(narrowed, np.maximum(scores, -20.0), -30.0)
+        return np.where(narrowed.any(axis=1)[:, None], scores, 0.0).astype(np.float32)
+
+    def parts(self, chunks: list[str]) -> np.ndarray:
+        """Scores by language, and letters, of each chunk."""
+        out = np.zeros((len(chunks), len(self.langs) + 1), np.float32)
+        words, owner = split_letters(chunks)
+        np.add.at(out[:, :-1], owner, self.words(words))
+        np.add.at(out[:, -1], owner, np.fromiter(map(len, words), np.float32, len(words)))
+        return out
 
 
 class Labeller:
     """Languages of texts; remembers the scores of the space-separated parts that it has seen."""
 
-    def __init__(self, model: Model, penalty: float, most: int = 400_000) -> None:
-        self.model, self.penalty, self.most = model, penalty, most
-        self._start()
-
-    def _start(self) -> None:
-        self.index = Remembered(self._add, 1 << 62)
-        self.scores = np.zeros((1024, len(self.model.langs)), np.float32)
-        self.letters = np.zeros(1024, np.int64)
-
-    def _add(self, chunk: str) -> int:
-        at = len(self.index)
-        if at == len(self.letters):
-            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-            self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
-        for word in letters_of(chunk):
-            self.scores[at] += self.model.word(word)
-            self.letters[at] += len(word)
-        return at
-
-    def words(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        parts = text.split()
-        if len(self.index) > self.most:
-            self._start()
-        at = np.fromiter(map(self.index.__getitem__, parts), np.int64, len(parts))
-        return self.scores[at], self.letters[at]
+    def __init__(self, model: Model, penalty: float) -> None:
+        self.model, self.penalty, self.table = model, penalty, PartTable(model.parts)
 
     def path(self, scores: np.ndarray) -> np.ndarray:
         """The language of each word."""
@@ -128,25 +126,28 @@ class Labeller:
         total = np.concatenate(([0.0], np.cumsum(rest.max(axis=1) - scores[:, best], dtype=np.float64)))
         return float((total - np.minimum.accumulate(total)).max()) <= self.penalty
 
-    def __call__(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.model.langs:
-            return "und", 0.0
-        scores, letters = self.words(text)
-        if not letters.sum():
+    def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and score of each text."""
+        numbers = self.table.numbers(texts)
+        return [self._one(self.table.rows[at]) for at in numbers]
+
+    def _one(self, rows: np.ndarray) -> tuple[str, float]:
+        rows = rows[rows[:, -1] > 0]
+        if not len(rows) or not self.model.langs:
             return "und", 0.0
-        some = letters > 0
-        scores, letters = scores[some], letters[some]
+        scores, letters = rows[:, :-1], rows[:, -1]
         mass = np.bincount(self.path(scores), weights=letters, minlength=len(self.model.langs))
         total = scores.sum(axis=0, dtype=np.float64)
-        order = np.lexsort((-total, -mass))  # most letters, then the better score
-        best = int(order[0])
-        odds = np.exp(np.clip(total - total[best], -50, 50))
-        return self.model.langs[best], float(mass[best] / mass.sum() / max(1.0, odds.sum()) if odds.sum() < 2 else mass[best] / mass.sum() / 2)
+        best = int(np.lexsort((-total, -mass))[0])  # most letters, then the better score
+        # Its share of the letters, times its probability among the languages for the text as a whole (a half at least).
+        odds = np.exp(np.clip(total - total[best], -50, 50)).sum()
+        return self.model.langs[best], float(mass[best] / mass.sum() / min(2.0, odds))
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         """(first word, end word, language) of the text's spans; words are its space-separated parts."""
-        scores, _ = self.words(text)
-        path = self.path(scores) if len(scores) else np.zeros(0, int)
+        (at,) = self.table.numbers([text])
+        rows = self.table.rows[at]
+        path = self.path(rows[:, :-1]) if len(rows) else np.zeros(0, int)
         edges = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
         return [(a, b, self.model.langs[path[a]]) for a, b in zip(edges, edges[1:], strict=False) if b > a]
 
@@ -188,16 +189,25 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS) -> Model:
             return None
 
         def last():
-            rows: Counter = Counter()
+            columns: dict[str, list] = {"lang": [], "bucket": [], "n": []}
             for lang, chunks in counts.items():
-                for chunk, k in chunks.items():
-                    for word in letters_of(chunk):
-                        for bucket in grams(word):
-                            rows[lang, bucket] += k
-                        for c in word:
-                            rows[lang, BUCKETS + SCRIPTS.index(script_of(c))] += k
+                words, owner = split_letters(list(chunks))
+                times = np.fromiter(chunks.values(), np.int64, len(chunks))[owner] if words else np.zeros(0, np.int64)
+                word, bucket = grams(words)
+                total = np.bincount(bucket, weights=times[word], minlength=BUCKETS)
+                letters: Counter = Counter()
+                for w, k in zip(words, times.tolist(), strict=True):
+                    if w.isascii():
+                        letters["latin"] += k * len(w)
+                    else:
+                        for c in w:
+                            letters[script_of(c)] += k
+                some = np.flatnonzero(total).tolist()
+                columns["lang"] += [lang] * (len(some) + len(letters))
+                columns["bucket"] += [*some, *(BUCKETS + SCRIPTS.index(x) for x in letters)]
+                columns["n"] += [*map(int, total[some]), *letters.values()]
             counts.clear()
-            return {"lang": [a for a, _ in rows], "bucket": [b for _, b in rows], "n": list(rows.values())} if rows else None
+            return columns if columns["n"] else None
 
         step.last = last
         return step
@@ -215,7 +225,7 @@ def identify(docs: DataFrame, max_rows: int = MAX_ROWS, penalty: float = SWITCH_
         label = Labeller(sent.value, penalty)
 
         def step(batch):
-            found = [label(t) for t in batch.column("text").to_pylist()]
+            found = label(batch.column("text").to_pylist())
             return {"doc_id": batch.column("doc_id"), "held_out": [fold(d) == 2 for d in batch.column("doc_id").to_pylist()], "lang_pred": [x for x, _ in found], "score": [x for _, x in found]}
 
         return step

@@ -1,6 +1,7 @@
 """Toxicity: averaged subword-bag embeddings under a linear softmax, trained jointly in numpy.
 
-A word's vector is the mean of the vectors of its character n-grams and of itself, a text's the mean of its words'. So a misspelling
+A word's vector is the mean of the vectors of its character n-grams and of itself, a text's the mean of its words' (damped, see
+PSEUDO_WORDS and WORD_SHARE). So a misspelling
 that was never seen shares most vectors with the word that it stands for. As the output is linear in the mean, scoring a text needs one
 number for each n-gram, and a worker remembers the numbers of the words it has seen; whole texts are scored.
 
@@ -12,7 +13,6 @@ a null doc_id stays null and counts as held out, other columns are not read. Wit
 
 from __future__ import annotations
 
-import math
 import re
 import zlib
 from collections import Counter
@@ -22,21 +22,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import Remembered, fold, fold_column, map_rows
+from sieveline.llm.common import fold, fold_column, map_rows
+from sieveline.llm.ngrams import PartTable, hashed_ngrams
 
 BUCKETS = 1 << 17
 #: Labelled rows of each label that the model is fitted to, about.
-MAX_ROWS = 3_000
+MAX_ROWS = 2_000
 THRESHOLD = 0.3
+#: Words of no meaning that each text's mean has besides its own, so that a few words don't decide.
+PSEUDO_WORDS = 60.0
+#: Share of a text's words, and number, that one word counts for at most: a text that repeats a word says no more than a few times it.
+WORD_SHARE, WORD_TIMES = 0.02, 2.0
 
 words_in = re.compile(r"[^\W_]+(?:[@$*!][^\W_]+)*").findall
 
 
-def subwords(word: str) -> list[int]:
-    """Buckets of the n-grams of 3 to 5 characters, and of the word."""
-    w = f"<{word}>"
-    parts = [w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1)]
-    return [zlib.crc32(p.encode("utf-8", "surrogatepass")) % BUCKETS for p in [*parts, f"={word}"]]
+def most_times(n: float | np.ndarray) -> float | np.ndarray:
+    """How often a word counts at most in a text of n words."""
+    return np.maximum(WORD_TIMES, WORD_SHARE * n)
+
+
+def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the word, bucket) of the words' n-grams of 3 to 5 characters and of the words themselves."""
+    return hashed_ngrams(words, (3, 4, 5), BUCKETS)
 
 
 def _sums(values: np.ndarray, groups: np.ndarray, n: int) -> np.ndarray:
@@ -66,7 +74,7 @@ class Bags:
         return _sums(x[rows] * w, columns, self.shape[1])
 
 
-def train(texts: Bags, words: Bags, labels: np.ndarray, weights: np.ndarray, dim: int = 8, steps: int = 120, rate: float = 0.05, decay: float = 1e-5) -> tuple[np.ndarray, float]:
+def train(texts: Bags, words: Bags, labels: np.ndarray, weights: np.ndarray, dim: int = 8, steps: int = 80, rate: float = 0.08, decay: float = 1e-5) -> tuple[np.ndarray, float]:
     """A number for each n-gram and the bias: the logit of label 1 is their mean by word and text, plus the bias. Adam on all rows at once."""
     draw = np.random.default_rng(6)
     n = words.shape[1]
@@ -98,25 +106,33 @@ def train(texts: Bags, words: Bags, labels: np.ndarray, weights: np.ndarray, dim
 class Model:
     """Scores by n-gram, with the bias."""
 
-    def __init__(self, by_gram: np.ndarray, bias: float) -> None:
-        self.by_gram, self.bias = by_gram.astype(np.float32), bias
+    def __init__(self, by_gram: np.ndarray, slope: float, bias: float) -> None:
+        self.by_gram, self.slope, self.bias = by_gram.astype(np.float32), slope, bias
 
-    def part(self, chunk: str) -> tuple[float, int]:
-        words = words_in(chunk.lower())
-        return sum(float(self.by_gram[subwords(w)].mean()) for w in words), len(words)
+    def words(self, words: list[str]) -> np.ndarray:
+        """The words' numbers: the means of their n-grams'."""
+        owner, bucket = subwords(words)
+        return np.bincount(owner, weights=self.by_gram[bucket], minlength=len(words)) / np.maximum(1, np.bincount(owner, minlength=len(words)))
 
+    def parts(self, chunks: list[str]) -> np.ndarray:
+        """Sum of the words' numbers, and number of words, of each chunk."""
+        words, owner = [], []
+        for i, chunk in enumerate(chunks):
+            own = [chunk.lower()] if chunk.isalpha() else words_in(chunk.lower())
+            words += own
+            owner += [i] * len(own)
+        owner = np.array(owner, np.int64)
+        return np.stack([np.bincount(owner, weights=self.words(words), minlength=len(chunks)), np.bincount(owner, minlength=len(chunks))], axis=1)
 
-class Scorer:
-    def __init__(self, model: Model, most: int = 1_000_000) -> None:
-        self.model, self.parts = model, Remembered(model.part, most)
+    def logits(self, table: PartTable, texts: list[str | None]) -> np.ndarray:
+        return self.bias + self.slope * np.array([self._mean(table, at) for at in table.numbers(texts)])
 
-    def __call__(self, text: str | None) -> float:
-        total, n = 0.0, 0
-        for value, k in map(self.parts.__getitem__, (text or "").split()):
-            total += value
-            n += k
-        z = self.model.bias + (total / n if n else 0.0)
-        return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
+    @staticmethod
+    def _mean(table: PartTable, at: np.ndarray) -> float:
+        at, times = np.unique(at, return_counts=True)
+        rows = table.rows[at]
+        n = float(times @ rows[:, 1])
+        return float(np.minimum(times, most_times(n)) @ rows[:, 0]) / (n + PSEUDO_WORDS)
 
 
 def _sample(labels: DataFrame, max_rows: int) -> dict[int, tuple[int, float]]:
@@ -155,17 +171,38 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model |
     row = np.repeat(np.arange(len(lengths)), lengths)
     vocabulary = coded.dictionary.to_pylist()
     total = np.bincount(row, weights=n, minlength=len(lengths))
-    # Words of one text only say nothing about others as words; their share of the text stays as weight that goes nowhere.
-    kept = np.bincount(code, minlength=len(vocabulary)) >= 2
+    # Words of one or two texts say little about others as words; their share of the text stays as weight that goes nowhere.
+    kept = np.bincount(code, minlength=len(vocabulary)) >= 3
     renumbered = np.cumsum(kept) - 1
     some = kept[code]
-    texts = Bags(row[some], renumbered[code[some]], n[some] / total[row[some]], len(lengths), int(kept.sum()))
-    own = [subwords(w) for w, k in zip(vocabulary, kept, strict=True) if k]
-    word = np.repeat(np.arange(len(own)), [len(x) for x in own])
-    words = Bags(word, np.fromiter((b for x in own for b in x), np.int64, len(word)), 1 / np.repeat([len(x) for x in own], [len(x) for x in own]), len(own), BUCKETS)
+    texts = Bags(row[some], renumbered[code[some]], np.minimum(n[some], most_times(total[row[some]])) / (total[row[some]] + PSEUDO_WORDS), len(lengths), int(kept.sum()))
+    own, bucket = subwords([w for w, k in zip(vocabulary, kept, strict=True) if k])
+    sizes = np.bincount(own, minlength=int(kept.sum()))
+    words = Bags(own, bucket, 1 / sizes[own], len(sizes), BUCKETS)
     marks = [sample[d] for d in found.column("doc_id").to_pylist()]
-    by_gram, bias = train(texts, words, np.array([a for a, _ in marks]), np.array([b for _, b in marks]))
-    return Model(by_gram, bias)
+    labels_, weights = np.array([a for a, _ in marks]), np.array([b for _, b in marks])
+    # A fifth of the rows is left for the calibration.
+    left = np.array([zlib.crc32(f"calibrate {d}".encode()) % 5 == 0 for d in found.column("doc_id").to_pylist()])
+    by_gram, _ = train(texts, words, labels_, np.where(left, 0.0, weights))
+    means = texts.dot(words.dot(by_gram[:, None].astype(np.float32)))[:, 0]
+    rows = left if len(set(labels_[left])) == 2 else np.ones(len(left), bool)
+    return Model(by_gram, *calibrate(means[rows].astype(np.float64), labels_[rows], weights[rows]))
+
+
+def calibrate(x: np.ndarray, labels: np.ndarray, weights: np.ndarray, prior: float = 1.0) -> tuple[float, float]:
+    """Slope and bias of a logistic regression of labels on x, by Newton steps with a weak pull of the scaled slope to 0."""
+    middle, spread = float(np.average(x, weights=weights)), float(x.std()) or 1.0
+    design = np.stack([(x - middle) / spread, np.ones_like(x)], axis=1)
+    beta = np.zeros(2)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
+        gradient = design.T @ (weights * (p - labels)) + np.array([0.02 * prior, 1e-6]) * beta
+        hessian = (design * (weights * p * (1 - p))[:, None]).T @ design + np.diag([0.02 * prior, 1e-6])
+        move = np.linalg.solve(hessian + 1e-9 * np.eye(2), gradient)
+        beta -= move * min(1.0, 2.0 / max(1e-9, float(np.abs(move).max())))
+        if np.abs(move).max() < 1e-8:
+            break
+    return float(beta[0] / spread), float(beta[1] - beta[0] * middle / spread)
 
 
 def score(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, threshold: float = THRESHOLD) -> DataFrame:
@@ -173,10 +210,13 @@ def score(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, threshol
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, max_rows))
 
     def make():
-        scorer = Scorer(sent.value) if sent.value else lambda text: 0.0
+        model = sent.value
+        seen = PartTable(model.parts) if model else None
 
         def step(batch):
-            scores = [scorer(t) for t in batch.column("text").to_pylist()]
+            texts = batch.column("text").to_pylist()
+            scores = 1 / (1 + np.exp(-np.clip(model.logits(seen, texts), -60, 60))) if model else np.zeros(len(texts))
+            scores = scores.tolist()
             return {"doc_id": batch.column("doc_id"), "held_out": [fold(d) == 2 for d in batch.column("doc_id").to_pylist()], "score": scores, "predicted": [int(x >= threshold) for x in scores]}
 
         return step
