@@ -5,12 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sieveline.llm import decontamination, language_id, packing, quality_rules, secret_scans, token_counts, toxicity
+from sieveline.llm import decontamination, html_extraction, language_id, ngram_join, packing, quality_rules, secret_scans, token_counts, toxicity
 from sieveline.llm.common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
@@ -39,5 +43,9 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scans.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op4_quality_rules, op5_decontamination, op6_toxicity, op7_token_counts, op8_language_id, op9_secret_scans)}
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_best_fit_packing, op4_quality_rules, op5_decontamination, op6_toxicity, op7_token_counts, op8_language_id, op9_secret_scans, op10_html_extraction)}
 ORACLES: dict[str, str] = {}
