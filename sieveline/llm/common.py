@@ -100,6 +100,25 @@ def map_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable], sc
     return df.select(*columns).mapInArrow(run, schema)
 
 
+#: The columns of documents that a stage of a pipeline passes on.
+DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def keep_rows(docs: DataFrame, make: Callable[[], Callable]) -> DataFrame:
+    """The rows of docs, with the columns of documents, for whose texts make()(texts) says so."""
+
+    def filtering():
+        keeps = make()
+
+        def step(batch):
+            mask = pa.array([bool(x) for x in keeps(batch.column("text").to_pylist())], pa.bool_())
+            return {c: batch.column(c).filter(mask) for c in ("doc_id", "text", "lang", "source", "n_chars")}
+
+        return step
+
+    return map_rows(docs, ["doc_id", "text", "lang", "source", "n_chars"], filtering, DOCUMENT)
+
+
 def fold(doc_id) -> int:
     """crc32 of the id's decimal text modulo 4; rows of remainder 2 are held out, rows without an id are too."""
     return 2 if doc_id is None else zlib.crc32(str(doc_id).encode()) % 4

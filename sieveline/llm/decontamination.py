@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import map_rows, materialize
+from sieveline.llm.common import keep_rows, map_rows, materialize
 
 #: Bytes of item texts that one block of windows may have.
 BLOCK_BYTES = 16_000_000
@@ -159,3 +159,29 @@ def _in_blocks(docs: DataFrame, items: list, blocks, n: int, schema: str) -> Dat
         counts = counts.join(side, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left").drop("d", "k")
     n_hit = F.coalesce("n_hit", F.lit(0))
     return counts.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, n: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs that aren't contaminated, with the columns of documents."""
+    spark = docs.sparkSession
+    blocks = _blocks(benchmark, block_bytes)
+    n_blocks, items = next(blocks)
+    if n_blocks == 1:
+        sent = spark.sparkContext.broadcast(Windows(items, n))
+
+        def make():
+            windows = sent.value
+
+            def keeps(texts):
+                for text in texts:
+                    words = words_of(text)
+                    hits = windows.hits(words)
+                    yield not (hits and digest(len(words), hits)[-1])
+
+            return lambda texts: list(keeps(texts))
+
+        return keep_rows(docs, make)
+    # Every word that is hit counts for a text, so rows of the same text are judged alike and may be joined by it.
+    judged = _in_blocks(docs.select(F.xxhash64("text").alias("doc_id"), "text"), items, blocks, n, "")
+    bad = judged.where("contaminated").select(F.col("doc_id").alias("bad")).distinct()
+    return docs.withColumn("bad", F.xxhash64("text")).join(bad, "bad", "left_anti").select("doc_id", "text", "lang", "source", "n_chars")

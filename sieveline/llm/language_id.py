@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import fold, fold_column, map_rows
+from sieveline.llm.common import fold, fold_column, keep_rows, map_rows
 from sieveline.llm.ngrams import PartTable, hashed_ngrams
 
 BUCKETS = 1 << 16
@@ -231,3 +231,14 @@ def identify(docs: DataFrame, max_rows: int = MAX_ROWS, penalty: float = SWITCH_
         return step
 
     return map_rows(docs, ["doc_id", "text"], make, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def accepted(docs: DataFrame, least: float = 0.25, max_rows: int = MAX_ROWS, penalty: float = SWITCH_PENALTY) -> DataFrame:
+    """The rows of docs whose texts have a language with a score of `least` or more."""
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, max_rows))
+
+    def make():
+        label = Labeller(sent.value, penalty)
+        return lambda texts: [lang != "und" and score >= least for lang, score in label(texts)]
+
+    return keep_rows(docs, make)

@@ -357,3 +357,11 @@ def jaccard_components(docs: DataFrame, percent: int = 90) -> DataFrame:
     named = named.join(joined, named.lead == joined.node, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "lead"))
     return named.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, percent: int = 90) -> DataFrame:
+    """The document of the least doc_id of each component, with the columns of documents; rows without a doc_id stay."""
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    kept = jaccard_components(docs, percent).where("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
+    stay = docs.select(columns).join(kept, F.col("doc_id") == F.col("kept"), "left_semi").dropDuplicates(["doc_id"])
+    return stay.unionByName(docs.where("doc_id IS NULL").select(columns))
