@@ -12,6 +12,11 @@ def _col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(x: Column, use) -> Column:
+    """use(x) with x computed once: what stands outside a lambda is computed anew for each element inside it, a lambda's variable isn't."""
+    return F.element_at(F.transform(F.array(x), use), 1)
+
+
 def split_identifier(x) -> Column:
     """Lower-case parts of an identifier: at underscores, case changes, acronyms and digits."""
     return F.transform(F.regexp_extract_all(_col(x), F.lit(C.CAMEL), F.lit(0)), F.lower)
@@ -22,8 +27,7 @@ def tokenize(x) -> Column:
     dropped = F.array(*(F.lit(w) for w in sorted({*C.C_KEYWORDS, *C.STOP_WORDS})))
 
     def parts(word: Column) -> Column:
-        own = split_identifier(word)
-        return F.when(F.size(own) > 1, F.concat(F.array(F.lower(word)), own)).otherwise(own)
+        return let(split_identifier(word), lambda own: F.when(F.size(own) > 1, F.concat(F.array(F.lower(word)), own)).otherwise(own))
 
     words = F.regexp_extract_all(_col(x), F.lit(C.WORD), F.lit(0))
     return F.filter(F.flatten(F.transform(words, parts)), lambda t: (F.length(t) > 1) & ~F.array_contains(dropped, t) & ~t.rlike("^[0-9]+$"))
@@ -55,9 +59,9 @@ def dense_text(name, file, text) -> Column:
 
 def query_text(comment) -> Column:
     """The query that a comment gives: null when it is too short, has no tokens or is a licence note; cut to its first words."""
-    own, low = words(comment), F.lower(_col(comment))
-    usable = (F.size(own) >= C.MIN_QUERY_WORDS) & (F.size(tokenize(comment)) > 0) & ~low.contains("copyright") & ~low.contains("license")
-    return F.when(usable, F.array_join(F.slice(own, 1, C.MAX_QUERY_WORDS), " "))
+    low = F.lower(_col(comment))
+    usable = (F.size(tokenize(comment)) > 0) & ~low.contains("copyright") & ~low.contains("license")
+    return let(words(comment), lambda own: F.when((F.size(own) >= C.MIN_QUERY_WORDS) & usable, F.array_join(F.slice(own, 1, C.MAX_QUERY_WORDS), " ")))
 
 
 def clean_comment(raw) -> Column:
@@ -95,12 +99,16 @@ def code_hash(code) -> Column:
 
 def shingles(tokens: Column, k: int) -> Column:
     """Distinct runs of k tokens; one of all where there are fewer; none without tokens."""
-    starts = F.sequence(F.lit(1), F.size(tokens) - (k - 1))
-    return (
-        F.when(F.size(tokens) >= k, F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, k), " "))))
-        .when(F.size(tokens) > 0, F.array(F.array_join(tokens, " ")))
-        .otherwise(F.array().cast("array<string>"))
-    )
+
+    def runs(own: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(own) - (k - 1))
+        return (
+            F.when(F.size(own) >= k, F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(own, i, k), " "))))
+            .when(F.size(own) > 0, F.array(F.array_join(own, " ")))
+            .otherwise(F.array().cast("array<string>"))
+        )
+
+    return let(tokens, runs)
 
 
 def code_shingles(code, k: int = C.CODE_SHINGLE) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline import constants as C
+from sieveline.sources.scratch import written
 
 #: Query rows that are broadcast to the postings; beyond, Spark shuffles both by term.
 BROADCAST_QUERY_TERMS = 2_000_000
@@ -30,13 +31,16 @@ def terms(posted: DataFrame, one: DataFrame) -> DataFrame:
 def scores(docs: DataFrame, queries: DataFrame, k1: float = C.BM25_K1, b: float = C.BM25_B) -> DataFrame:
     """docs(ordinal, tokens), queries(query_id, tokens) -> query_id, ordinal, score, for documents that share a term.
 
-    Postings of terms that no query has are dropped at the scan by a semi join with the query terms, before they are counted.
+    The documents are tokenized once. Postings of terms that no query has are dropped by a semi join with the query terms before they are
+    counted.
     """
-    wanted = queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("term"))
+    docs = written(docs.select("ordinal", "tokens"), "tokens")
+    wanted = written(queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("term")), "query-terms")
     if wanted.limit(BROADCAST_QUERY_TERMS + 1).count() <= BROADCAST_QUERY_TERMS:
         wanted = F.broadcast(wanted)
     lean = docs.select("ordinal", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
     posted = lean.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term", "ordinal").agg(F.count("*").cast("int").alias("tf"), F.first("len").alias("len"))
+    posted = written(posted, "postings")
     one = corpus(docs)
     weighed = terms(posted, one)
     norm = k1 * (1 - b + b * F.col("len") / F.col("avgdl"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sieveline import constants as C
 from sieveline.functions import text as T
 from sieveline.operators import lexical, rank
+from sieveline.sources.scratch import written
 
 
 def max_jaccard(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -25,7 +26,7 @@ def max_jaccard(left: DataFrame, right: DataFrame) -> DataFrame:
 def reasons(rows: DataFrame, bench: DataFrame, exact, near_shingles, cut: float, prefix: str) -> DataFrame:
     """rows(a, x), bench(x) -> a, reason: exact before near, null where neither holds. exact and near_shingles are functions of x."""
     keys = bench.select(exact("x").alias("k")).distinct().withColumn("is_exact", F.lit(True))
-    keyed = rows.select("a", "x", exact("x").alias("k")).join(keys, "k", "left")
+    keyed = written(rows.select("a", "x", exact("x").alias("k")).join(keys, "k", "left"), "guarded")
     # The costly test only for what the exact one lets pass.
     rest = keyed.where("is_exact IS NULL").select("a", near_shingles("x").alias("shingles"))
     sets = bench.select(F.monotonically_increasing_id().alias("b"), near_shingles("x").alias("shingles"))
@@ -69,7 +70,7 @@ def mining_funnel(units: DataFrame, bench: DataFrame | None = None, val_fraction
     duplicate_comment; null for what is kept. Units past the code guard are in the pool of negatives.
     """
     own = units.withColumns({"code": T.dense_text("name", "file", "body"), "query": T.query_text("comment"), "split": T.split_of("repo", "file", val_fraction)})
-    own = own.withColumn("hash", T.code_hash("code"))
+    own = written(own.withColumn("hash", T.code_hash("code")), "mined-units")
     first = own.groupBy("repo", "hash").agg(F.min("ordinal").alias("kept")).select("repo", "hash", "kept")
     own = own.join(first, ["repo", "hash"]).withColumn("copy", F.col("ordinal") != F.col("kept"))
     key = F.struct("repo", "ordinal")
@@ -87,7 +88,7 @@ def mining_funnel(units: DataFrame, bench: DataFrame | None = None, val_fraction
         .when(F.col("n_lines") < C.MIN_BODY_LINES, "too_short")
         .when(F.col("comment_reason").isNotNull(), F.col("comment_reason"))
     )
-    own = own.withColumns({"reason": reason, "in_pool": ~F.col("copy") & F.col("code_reason").isNull()})
+    own = written(own.withColumns({"reason": reason, "in_pool": ~F.col("copy") & F.col("code_reason").isNull()}), "reasons")
     shared = own.where("reason IS NULL").groupBy("repo", "query").agg(F.count("*").alias("n")).where("n > 1").select("repo", "query", F.lit(True).alias("ambiguous"))
     own = own.join(shared, ["repo", "query"], "left")
     own = own.withColumn("reason", F.when(F.col("reason").isNull() & F.col("ambiguous"), "duplicate_comment").otherwise(F.col("reason")))

@@ -12,6 +12,7 @@ from sieveline.plans import sql as S
 from sieveline.plans.registering import query
 from sieveline.plans.standins import UNITS, table, units
 from sieveline.sources import registry, store
+from sieveline.sources.scratch import new_path
 
 _QUERIES = f"""texts AS (SELECT repo, ordinal, {S.query_text('comment')} AS text FROM units),
 queries AS (SELECT repo, min(ordinal) AS query_id, text, min(ordinal) AS target FROM texts WHERE text IS NOT NULL GROUP BY repo, text HAVING count(*) = 1)"""
@@ -174,12 +175,10 @@ def report_rows(spark, sf):
 @query("pairs_roundtrip")
 def pairs_roundtrip(spark, sf):
     """Pairs written as JSON lines and read again."""
-    import uuid
-
     from sieveline.operators import mining
 
     kept = mining.mining_funnel(units(spark, sf)).where("reason IS NULL").select("repo", F.col("id").alias("unit_id"), "query", "code", "split", F.lit("").alias("negative"))
-    path = f"{Q._scratch(spark)}/pairs-{uuid.uuid4().hex}"
+    path = new_path(spark, "pairs")
     store.save_pairs(kept, path)
     return store.load_pairs(spark, path)
 

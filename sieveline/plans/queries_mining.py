@@ -10,15 +10,16 @@ from sieveline.operators import mining
 from sieveline.plans import sql as S
 from sieveline.plans.registering import query
 from sieveline.plans.standins import UNITS, table, units
+from sieveline.sources.scratch import written
 
 # Lines of documents are comments to be guarded; benchmark items are what they must not overlap with.
-_LINES = "ls AS (SELECT doc_id * 1000 + i AS a, x FROM (SELECT doc_id, generate_subscripts(p, 1) AS i, unnest(p) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM d)) WHERE x <> '' AND i < 1000)"
+_LINES = "ls AS (SELECT doc_id * 1000000 + i AS a, x FROM (SELECT doc_id, generate_subscripts(p, 1) AS i, unnest(p) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM d)) WHERE x <> '')"
 _BENCH = "bl AS (SELECT DISTINCT x FROM (SELECT unnest(string_split(text, chr(10))) AS x FROM benchmark) WHERE x <> '')"
 
 
 def _lines(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "x"))
-    return docs.where("x <> '' AND i < 999").select((F.col("doc_id") * 1000 + F.col("i") + 1).alias("a"), "x")
+    return docs.where("x <> ''").select((F.col("doc_id") * 1_000_000 + F.col("i") + 1).alias("a"), "x")
 
 
 def _bench(spark, sf):
@@ -75,7 +76,7 @@ _MINED = f"WITH {UNITS}, {_FUNNEL}"
 
 def _funnel(spark, sf):
     bench = table(spark, sf, "benchmark").select(F.lit("").alias("name"), F.lit("").alias("file"), F.col("text").alias("comment"), "text")
-    return mining.mining_funnel(units(spark, sf), bench.select("name", "file", "comment", F.col("text").alias("body")))
+    return written(mining.mining_funnel(units(spark, sf), bench.select("name", "file", "comment", F.col("text").alias("body"))), "funnel")
 
 
 @query("mining_funnel", f"{_MINED} SELECT repo, ordinal, query, split, reason, in_pool FROM funnel")

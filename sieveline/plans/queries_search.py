@@ -11,6 +11,8 @@ from sieveline.plans import api, search
 from sieveline.plans import sql as S
 from sieveline.plans.registering import query
 from sieveline.plans.standins import CORPUS, UNITS, corpus, table, units
+from sieveline.sources import store
+from sieveline.sources.scratch import new_path
 
 _DOCS = f"docs AS (SELECT doc_id AS ordinal, {S.tokenize('text')} AS tokens FROM d)"
 _ITEMS = f"items AS (SELECT item_id AS query_id, {S.tokenize('text')} AS tokens FROM benchmark)"
@@ -238,10 +240,8 @@ def api_lookup(spark, sf):
 @query("index_roundtrip")
 def index_roundtrip(spark, sf):
     """A saved and loaded index gives the same ranking."""
-    import uuid
-
     index, wanted = _index(spark, sf)
-    path = f"{_scratch(spark)}/index-{uuid.uuid4().hex}"
+    path = new_path(spark, "index")
     search.SearchIndex(index.units.drop("embedding"), vectors=index.vectors).save(path)
     return _found(search.SearchIndex.load(spark, path), wanted, "hybrid_graph")
 
@@ -249,18 +249,8 @@ def index_roundtrip(spark, sf):
 @query("cache_reuse")
 def cache_reuse(spark, sf):
     """Opening an index again takes its saved vectors, as its fingerprint is the same."""
-    import uuid
-
-    own = units(spark, sf).where("repo = 'es'")
-    path = f"{_scratch(spark)}/cache-{uuid.uuid4().hex}"
-    from sieveline.sources import store
-
+    own = units(spark, sf)
+    path = new_path(spark, "cache")
     store.open_or_build(search.SearchIndex(own), path)
     again = store.open_or_build(search.SearchIndex(own), path)
     return again.vectors.select("ordinal", F.size("embedding").alias("dim"))
-
-
-def _scratch(spark) -> str:
-    import tempfile
-
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sieveline-")).rstrip("/")

@@ -91,7 +91,7 @@ def array_distinct_order(spark, sf):
 
 
 @query("comment_runs", """WITH t AS (SELECT conv_id, turn, role, turn - lag(turn) OVER w > 2 OR lag(role) OVER w IS DISTINCT FROM role AS new FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
-r AS (SELECT *, sum(CASE WHEN new OR new IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM t)
+r AS (SELECT *, (sum(CASE WHEN new OR new IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn))::BIGINT AS run FROM t)
 SELECT conv_id, run, any_value(role) AS role, min(turn) AS first_turn, count(*) AS n FROM r GROUP BY conv_id, run""")
 def comment_runs(spark, sf):
     """Runs of neighbouring rows of a kind, as runs of comments above a definition: a new one begins after a gap or another kind."""
