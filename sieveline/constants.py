@@ -3,6 +3,8 @@
 # Scanning.
 SOURCE_SUFFIXES = (".c", ".h")
 SKIPPED_DIRECTORIES = (".git", ".hg", ".svn", "build", "node_modules", ".codesearch")
+#: Where the command line saves an index in a repository; no sources are read there either.
+INDEX_DIRECTORY = ".sieveline"
 
 # Scoring and fusion.
 BM25_K1, BM25_B = 1.2, 0.75
