@@ -251,6 +251,17 @@ def cut(tree: list, decisions: dict) -> str:
     return " ".join("".join(pieces).split())
 
 
+def main_text(html: str, decisions: dict) -> str:
+    """The page's text by its host's wrapper; a page without an article, on a host whose pages have one, is judged by its own tree."""
+    tree = parse(html)
+    text = cut(tree, decisions)
+    return text if text or _has_article(tree) else cut(tree, decide(generalize(tree)))
+
+
+def _has_article(node: list) -> bool:
+    return any(not isinstance(c, str) and (c[2] == "article" or _has_article(c)) for c in node[1])
+
+
 def _collect(node: list, decisions: dict, pieces: list[str]) -> None:
     own = "+" in decisions
     for child in node[1]:
@@ -339,7 +350,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 own = [known.get(host_of(u), {}) for u in urls.to_pylist()]
             else:
                 own = [loaded[d] if d else {} for d in batch.column("decisions").to_pylist()]
-            texts = [cut(parse(h), d) if h else "" for h, d in zip(htmls, own, strict=True)]
+            texts = [main_text(h, d) if h else "" for h, d in zip(htmls, own, strict=True)]
             return {"page_id": batch.column("page_id"), "url": urls, "text": texts, "n_chars": [len(t) for t in texts]}
 
         return step

@@ -42,6 +42,11 @@ def test_folding_in_any_order_covers_all_pages():
     assert one[H.PAGES] == 4 and body[H.CHILDREN][1][H.TEXT] is None
 
 
+def test_pages_without_the_hosts_article(spark):
+    rows = [("http://m.example/%d" % i, page(f"<article>text {i}</article>")) for i in range(3)] + [("http://m.example/x", page("<div><p>other kind of page</p></div>")), ("http://m.example/y", page("<article></article><div>promise</div>"))]
+    assert texts(spark, rows) == ["text 0", "text 1", "text 2", "other kind of page", ""]
+
+
 def test_odd_pages(spark):
     good = page("<article>x</article>")
     rows = [(None, good), ("http://[bad", good), ("http://a.example", None), ("http://a.example", ""), ("http://a.example", "no tags at all"), ("http://a.example", "<"), ("http://b.example", good), ("http://b.example", good), ("http://c.example", page("<article>" + "<p>w</p>" * 30_000 + "</article>"))]
