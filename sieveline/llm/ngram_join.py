@@ -23,6 +23,7 @@ from __future__ import annotations
 from bisect import bisect_right
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +31,12 @@ from pyspark.sql import functions as F
 from sieveline.llm.common import Remembered, map_rows, materialize
 from sieveline.llm.components import connected_components
 
-#: Documents of a chunk of a block, shuffled entries of a task, and entries that a task holds before it passes them on.
-CHUNK, ENTRIES, FLUSH = 192, 1_500_000, 2_000_000
+#: Documents that a centre is multiplied with in a task, bytes of sets of a chunk of a cluster.
+CHUNK, CHUNK_BYTES = 192, 8_000_000
+#: Shuffled entries of a task, and entries that a task holds before it passes them on.
+ENTRIES, FLUSH = 1_500_000, 2_000_000
+#: Bits of the filter for documents that any pair has, at least and at most; it is broadcast.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 26
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
@@ -103,8 +108,11 @@ def links(size_a, size_b, overlap, percent: int):
     return 100 * overlap >= percent * (size_a + size_b - overlap)
 
 
-def block_product(rows: list[np.ndarray], columns: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """(row, column) of the pairs that link: overlap counts of a few rows at a time with all columns, by their common n-grams."""
+def block_product(rows: list[np.ndarray], columns: list[np.ndarray], percent: int, row_parts: np.ndarray | None = None, column_parts: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """(row, column) of the pairs that link: overlap counts of a row at a time with all columns, by their common n-grams.
+
+    Pairs of the same part, where parts are given, are known to be joined and are left out.
+    """
     if not rows or not columns:
         return []
     sizes = np.array([len(c) for c in columns])
@@ -113,7 +121,9 @@ def block_product(rows: list[np.ndarray], columns: list[np.ndarray], percent: in
     grams, owner = grams[order], np.repeat(np.arange(len(columns)), sizes)[order]
     found = []
     for i, row in enumerate(rows):
-        near = (100 * np.minimum(sizes, len(row)) >= percent * np.maximum(sizes, len(row)))
+        near = 100 * np.minimum(sizes, len(row)) >= percent * np.maximum(sizes, len(row))
+        if row_parts is not None:
+            near &= column_parts != row_parts[i]
         if not near.any():
             continue
         first, last = np.searchsorted(grams, row, "left"), np.searchsorted(grams, row, "right")
@@ -128,23 +138,59 @@ def block_product(rows: list[np.ndarray], columns: list[np.ndarray], percent: in
     return found
 
 
-def _sets(docs: DataFrame, with_set: bool) -> DataFrame:
-    """doc_id, n, and a 128-bit hash of the set as h1, h2, or the set itself."""
+def _bits(ids: DataFrame, hashes: int = 3) -> tuple[np.ndarray, int]:
+    """A Bloom filter of ids(doc) as words of 64 bits. Its size is bounded, whatever there is in it: when it is full it only lets more pass."""
+    size = max(LEAST_BITS, min(MOST_BITS, 1 << (16 * ids.count()).bit_length()))
+    places = ids.select(F.explode(F.array(*_places("doc", size, hashes))).alias("p"))
+    words = places.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("bits")).toArrow()
+    out = np.zeros(size >> 6, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out.view(np.uint64), size
+
+
+def _places(column: str, size: int, hashes: int = 3) -> list:
+    return [F.pmod(F.xxhash64(column, F.lit(k)), F.lit(size)) for k in range(hashes)]
+
+
+def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, grams of the documents in ids(doc), and of a few others: a filter keeps the texts of nearly all others from being
+    cut up or moved. Joins on doc_id leave the others out."""
+    bits, size = _bits(ids)
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def make():
+        shingled, words = Shingler(), sent.value
+
+        def step(batch):
+            wanted = np.ones(batch.num_rows, bool)
+            for column in ("p0", "p1", "p2"):
+                p = batch.column(column).to_numpy().astype(np.uint64)
+                wanted &= (words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+            some = batch.filter(pa.array(wanted))
+            if not some.num_rows:
+                return None
+            return {"doc_id": some.column("doc_id"), "grams": [shingled(t).tobytes() for t in some.column("text").to_pylist()]}
+
+        return step
+
+    placed = docs.select("doc_id", "text", *(p.alias(f"p{k}") for k, p in enumerate(_places("doc_id", size))))
+    return map_rows(placed, ["doc_id", "text", "p0", "p1", "p2"], make, "doc_id long, grams binary")
+
+
+def _sets(docs: DataFrame) -> DataFrame:
+    """doc_id, n, and a 128-bit hash of the set as h1, h2."""
 
     def make():
         shingled = Shingler()
 
         def step(batch):
             own = [shingled(t) for t in batch.column("text").to_pylist()]
-            out = {"doc_id": batch.column("doc_id"), "n": [len(x) for x in own]}
-            if with_set:
-                return out | {"grams": [x.tobytes() for x in own]}
             hashes = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in own), np.int64).reshape(-1, 2)
-            return out | {"h1": hashes[:, 0], "h2": hashes[:, 1]}
+            return {"doc_id": batch.column("doc_id"), "n": [len(x) for x in own], "h1": hashes[:, 0], "h2": hashes[:, 1]}
 
         return step
 
-    return map_rows(docs, ["doc_id", "text"], make, "doc_id long, n long, " + ("grams binary" if with_set else "h1 long, h2 long"))
+    return map_rows(docs, ["doc_id", "text"], make, "doc_id long, n long, h1 long, h2 long")
 
 
 def _entries(docs: DataFrame, buckets: int, percent: int) -> DataFrame:
@@ -274,28 +320,38 @@ def _star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _rest_links(open_blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b of all links within the open blocks: the clusters that these form are multiplied chunk by chunk."""
+    """a, b of all further links within the open blocks (block, doc, component): the clusters that these form are multiplied chunk by chunk."""
     heads = materialize(open_blocks.groupBy("block").agg(F.min("doc").alias("head")), "heads")
-    cluster = materialize(connected_components(open_blocks.join(heads, "block").select("doc", "head"), "doc", "head"), "clusters")
-    chunks = materialize(cluster.groupBy("component").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")), "chunks")
-    placed = cluster.join(chunks, "component").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int"))
+    cluster = connected_components(open_blocks.join(heads, "block").select("doc", "head"), "doc", "head").withColumnRenamed("component", "cluster")
+    parts = open_blocks.select("doc", F.col("component").alias("part")).distinct()
+    sized = cluster.join(parts, cluster.node == parts.doc).select("cluster", "doc", "part").join(sets.select("doc_id", F.octet_length("grams").alias("b")), F.col("doc") == F.col("doc_id"))
+    sized = materialize(sized.select("cluster", "doc", "part", "b"), "clusters")
+    chunks = materialize(sized.groupBy("cluster").agg(F.ceil(F.sum("b") / CHUNK_BYTES).cast("int").alias("chunks")), "chunks")
+    placed = sized.join(chunks, "cluster").withColumn("chunk", F.pmod(F.xxhash64("doc", F.lit(1)), F.col("chunks")).cast("int"))
     # A document goes to the pairs of chunks (i, j), i <= j, that have its own: as many as its cluster has chunks.
-    pairs = placed.select("component", "node", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    task = pairs.select("component", "node", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk")
-    rows = task.join(sets, task.node == sets.doc_id).select("component", "i", "j", "chunk", F.col("node").alias("doc"), "grams")
+    pairs = placed.select("cluster", "doc", "part", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    task = pairs.select("cluster", "doc", "part", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk")
+    rows = task.join(sets, task.doc == sets.doc_id).select("cluster", "i", "j", "chunk", "doc", "part", "grams")
 
     def product(rows):
         import pandas as pd
 
         i, j = rows["i"].iloc[0], rows["j"].iloc[0]
-        own = rows[rows["chunk"] == i]
-        other = own if i == j else rows[rows["chunk"] == j]
-        found = block_product([np.frombuffer(g, np.uint64) for g in own["grams"]], [np.frombuffer(g, np.uint64) for g in other["grams"]], percent)
-        a, b = own["doc"].to_numpy(), other["doc"].to_numpy()
-        edges = pd.DataFrame({"a": [int(a[x]) for x, _ in found], "b": [int(b[y]) for _, y in found]}, dtype="int64")
-        return _forest(edges)
+        # Pairs within the largest part are known to be joined: only the other documents are rows, against all columns.
+        largest = rows["part"].mode().iloc[0]
+        own, other = rows[rows["chunk"] == i], rows[rows["chunk"] == j]
+        found = _links_between(own[own["part"] != largest], other, percent)
+        if i != j:
+            found += _links_between(other[other["part"] != largest], own[own["part"] == largest], percent)
+        return _forest(pd.DataFrame({"a": [a for a, _ in found], "b": [b for _, b in found]}, dtype="int64"))
+
+    return rows.groupBy("cluster", "i", "j").applyInPandas(product, "a long, b long")
 
-    return rows.groupBy("component", "i", "j").applyInPandas(product, "a long, b long")
+
+def _links_between(own, other, percent: int) -> list[tuple[int, int]]:
+    found = block_product(*([np.frombuffer(g, np.uint64) for g in x["grams"]] for x in (own, other)), percent, own["part"].to_numpy(), other["part"].to_numpy())
+    a, b = own["doc"].to_numpy(), other["doc"].to_numpy()
+    return [(int(a[x]), int(b[y])) for x, y in found]
 
 
 def _forest(edges):
@@ -322,33 +378,39 @@ def _forest(edges):
 def jaccard_components(docs: DataFrame, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs."""
     spark = docs.sparkSession
-    figures = materialize(_sets(docs, False), "sets")
+    figures = materialize(_sets(docs), "sets")
     ids = figures.where("doc_id IS NOT NULL AND n > 0")
     classes = materialize(ids.groupBy("h1", "h2").agg(F.min("doc_id").alias("lead")), "classes")
     # Rows of a doc_id that has several texts are one document: its least class stands for it, and its other classes are linked to it below.
-    members = materialize(ids.join(classes, ["h1", "h2"]).select("doc_id", "lead"), "members")
+    members = materialize(ids.join(classes, ["h1", "h2"]).select("doc_id", "n", "lead"), "members")
 
     total = ids.agg(F.sum("n").alias("n")).first()["n"] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total * 0.3) // ENTRIES))
     known = docs.where(F.col("doc_id").isNotNull())
     blocks = materialize(_blocks(_entries(known, buckets, percent), buckets), "blocks")
-    firsts = blocks.join(members, blocks.doc == members.doc_id).select("block", F.col("lead").alias("doc")).distinct()
+    firsts = blocks.join(members, blocks.doc == members.doc_id).select("block", F.col("lead").alias("doc"), "n").distinct()
     firsts = materialize(firsts, "firsts")
-    order = F.struct(F.xxhash64("doc").alias("h"), F.col("doc").alias("doc"))
-    centres = materialize(firsts.groupBy("block").agg(F.count("*").alias("n"), F.min(order)["doc"].alias("centre")).where("n > 1"), "centres")
-    pairs = materialize(firsts.join(centres, "block").where("doc <> centre").select("doc", "centre").distinct(), "pairs")
-
-    active = pairs.select("doc").unionByName(pairs.select(F.col("centre").alias("doc"))).distinct()
-    sets = materialize(_sets(known.join(active, known.doc_id == active.doc, "left_semi"), True).select("doc_id", "grams"), "grams")
+    # The document of the most blocks is a block's centre: what others are copies of is in most blocks, so there are few pairs.
+    degree = firsts.groupBy("doc").agg(F.count("*").alias("degree"))
+    ordered = firsts.join(materialize(degree, "degree"), "doc")
+    best = F.max_by(F.struct("doc", "n"), F.struct("degree", F.xxhash64("doc"), "doc"))
+    centres = ordered.groupBy("block").agg(F.count("*").alias("size"), best.alias("best")).where("size > 1")
+    centres = materialize(centres.select("block", "size", F.col("best.doc").alias("centre"), F.col("best.n").alias("m")), "centres")
+    # Sizes alone rule out pairs: the overlap is at most the lesser size, the union at least the greater.
+    sizes_fit = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+    pairs = materialize(firsts.join(centres, "block").where((F.col("doc") != F.col("centre")) & sizes_fit).select("doc", "centre").distinct(), "pairs")
+
+    active = firsts.join(centres.select("block"), "block", "left_semi").select("doc").distinct()
+    sets = materialize(_sets_of(known, active), "grams")
     same_id = members.groupBy("doc_id").agg(F.min("lead").alias("b"), F.max("lead").alias("a")).where("a <> b").select("a", "b")
     found = materialize(_star_links(pairs, sets, percent).unionByName(same_id), "links")
 
     joined = materialize(connected_components(found, "a", "b"), "components")
     # Blocks of three or more whose documents aren't in one component yet may hold more links.
-    placed = firsts.join(centres.where("n > 2").select("block"), "block").join(joined, firsts.doc == joined.node, "left").select("block", "doc", F.coalesce("component", "doc").alias("component"))
+    placed = firsts.join(centres.where("size > 2").select("block"), "block").join(joined, firsts.doc == joined.node, "left").select("block", "doc", F.coalesce("component", "doc").alias("component"))
     placed = materialize(placed, "placed")
     undone = materialize(placed.groupBy("block").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("block"), "undone")
-    rest = materialize(placed.join(undone, "block").select("block", "doc"), "open-blocks")
+    rest = materialize(placed.join(undone, "block").select("block", "doc", "component"), "open-blocks")
     if rest.limit(1).count():
         more = materialize(_rest_links(rest, sets, percent), "more-links")
         joined = materialize(connected_components(found.unionByName(more), "a", "b"), "components")
