@@ -74,7 +74,7 @@ class Bags:
         return _sums(x[rows] * w, columns, self.shape[1])
 
 
-def train(texts: Bags, words: Bags, labels: np.ndarray, weights: np.ndarray, dim: int = 4, steps: int = 80, rate: float = 0.12, decay: float = 1e-5) -> tuple[np.ndarray, float]:
+def train(texts: Bags, words: Bags, labels: np.ndarray, weights: np.ndarray, dim: int = 4, steps: int = 160, rate: float = 0.12, decay: float = 1e-5) -> tuple[np.ndarray, float]:
     """A number for each n-gram and the bias: the logit of label 1 is their mean by word and text, plus the bias. Adam on all rows at once."""
     draw = np.random.default_rng(6)
     n = words.shape[1]
