@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline import constants as C
+from sieveline.sources.scratch import written
 
 #: Scores are ranked at these decimals, so that the order in which a sum ran can't decide.
 RAW_DECIMALS, FUSED_DECIMALS = 9, 12
@@ -47,9 +48,10 @@ def graph_expand(fused: DataFrame, neighbours: DataFrame, seeds: int = C.GRAPH_S
     A seed shares weight * score among its neighbours but itself; other seeds count in the number of neighbours and get nothing. Where
     another document reaches the least seed, all seeds are lifted above it.
     """
-    top = rank_order(fused.where("score > 0"), seeds, FUSED_DECIMALS).select("query_id", F.col("ordinal").alias("seed"), F.col("score").alias("seed_score"))
+    fused = written(fused.select("query_id", "ordinal", "score"), "fused")
+    top = written(rank_order(fused.where("score > 0"), seeds, FUSED_DECIMALS).select("query_id", F.col("ordinal").alias("seed"), F.col("score").alias("seed_score")), "seeds")
     edges = neighbours.where("a <> b").select("a", "b").distinct()
-    mine = edges.join(top.select(F.col("seed").alias("a")).distinct(), "a", "left_semi")
+    mine = written(edges.join(top.select(F.col("seed").alias("a")).distinct(), "a", "left_semi"), "seed-edges")
     degree = mine.groupBy("a").agg(F.count("*").alias("degree"))
     gains = top.join(mine.join(degree, "a"), F.col("seed") == F.col("a")).select("query_id", F.col("b").alias("ordinal"), (weight * F.col("seed_score") / F.col("degree")).alias("score"))
     marks = top.select("query_id", F.col("seed").alias("ordinal"), F.lit(True).alias("is_seed"))

@@ -83,7 +83,7 @@ def bench_methods(spark, sf):
 _DRAW = "('0x' || substr(sha1(concat_ws('/', '0', resample::VARCHAR, grp, pos::VARCHAR)), 1, 8))::BIGINT"
 
 
-@query("paired_bootstrap", f"""WITH v AS (SELECT l_returnflag AS grp, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber) - 1 AS pos, l_discount - l_tax AS diff FROM lineitem WHERE l_partkey <= 20),
+@query("paired_bootstrap", f"""WITH v AS (SELECT l_returnflag AS grp, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_discount, l_tax) - 1 AS pos, l_discount - l_tax AS diff FROM lineitem WHERE l_partkey <= 20),
 s AS (SELECT grp, count(*) AS n, avg(diff) AS mean FROM v GROUP BY grp), r AS (SELECT unnest(range(200)) AS resample),
 p AS (SELECT resample, grp, {_DRAW} % n AS pick FROM v JOIN s USING (grp) CROSS JOIN r),
 m AS (SELECT resample, avg(m) AS m FROM (SELECT resample, p.grp, avg(diff) AS m FROM p JOIN v ON v.grp = p.grp AND v.pos = p.pick GROUP BY resample, p.grp) GROUP BY resample)
@@ -93,7 +93,7 @@ def paired_bootstrap(spark, sf):
     from pyspark.sql import Window
 
     rows = table(spark, sf, "lineitem").where("l_partkey <= 20")
-    pos = F.row_number().over(Window.partitionBy("l_returnflag").orderBy("l_orderkey", "l_linenumber")) - 1
+    pos = F.row_number().over(Window.partitionBy("l_returnflag").orderBy("l_orderkey", "l_linenumber", "l_discount", "l_tax")) - 1
     values = rows.select(F.col("l_returnflag").alias("grp"), pos.cast("long").alias("pos"), (F.col("l_discount") - F.col("l_tax")).alias("diff"))
     return evaluate.bootstrap_table(values, 200).select(*(F.round(c, 6).alias(c) for c in ("diff", "lo", "hi", "p_le_0")))
 

@@ -12,7 +12,7 @@ from sieveline.plans import sql as S
 from sieveline.plans.registering import query
 from sieveline.plans.standins import CORPUS, UNITS, corpus, table, units
 from sieveline.sources import store
-from sieveline.sources.scratch import new_path
+from sieveline.sources.scratch import new_path, written
 
 _DOCS = f"docs AS (SELECT doc_id AS ordinal, {S.tokenize('text')} AS tokens FROM d)"
 _ITEMS = f"items AS (SELECT item_id AS query_id, {S.tokenize('text')} AS tokens FROM benchmark)"
@@ -199,7 +199,7 @@ def _top(rows: str) -> str:
 
 
 def _index(spark, sf):
-    own = corpus(spark, sf)
+    own = written(corpus(spark, sf), "corpus")
     index = search.SearchIndex(own, vectors=own.select("ordinal", "embedding"))
     wanted = own.where("ordinal % 100 = 0").select(F.col("ordinal").alias("query_id"), T.tokenize("comment").alias("tokens"), "embedding")
     return index, wanted

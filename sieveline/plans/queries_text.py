@@ -135,7 +135,7 @@ def prefix_lookup(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.concat(T.query_prefix(model, meta), F.coalesce("text", F.lit(""))).alias("query"))
 
 
-@query("rank_transforms", "SELECT l_orderkey, l_linenumber, round(1.0 / l_linenumber, 9) AS rr, CASE WHEN l_linenumber <= 1 THEN 1.0 ELSE 0.0 END AS hit_1, CASE WHEN l_linenumber <= 5 THEN 1.0 ELSE 0.0 END AS hit_5 FROM lineitem")
+@query("rank_transforms", "SELECT l_orderkey, l_linenumber, round(1.0 / l_linenumber, 9) AS rr, CASE WHEN l_linenumber <= 1 THEN 1.0::DOUBLE ELSE 0.0 END AS hit_1, CASE WHEN l_linenumber <= 5 THEN 1.0::DOUBLE ELSE 0.0 END AS hit_5 FROM lineitem")
 def rank_transforms(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.round(T.reciprocal_rank("l_linenumber"), 9).alias("rr"), T.recall_at("l_linenumber", 1).alias("hit_1"), T.recall_at("l_linenumber", 5).alias("hit_5"))
 

@@ -1,3 +1,5 @@
+from decimal import Decimal
+
 import duckdb
 import pytest
 
@@ -17,7 +19,7 @@ def sql(sf):
 
 def normal(rows, columns):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
-    return sorted(repr(tuple(float(r[i]) if isinstance(r[i], float) else r[i] for i in order)) for r in rows)
+    return sorted(repr(tuple(float(r[i]) if isinstance(r[i], (float, Decimal)) else r[i] for i in order)) for r in rows)
 
 
 def test_every_oracle_has_a_query():
