@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: Rows of a batch that Python holds at once, and characters of text after which a batch ends.
 BATCH_ROWS = 2_000
-BATCH_CHARS = 8_000_000
+BATCH_CHARS = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.llm.common import fold, fold_column, keep_rows, map_rows
-from sieveline.llm.ngrams import PartTable, hashed_ngrams
+from sieveline.llm.ngrams import AT_ONCE, PartTable, hashed_ngrams
 
 BUCKETS = 1 << 16
 #: Labelled rows that the model is fitted to, about.
@@ -193,8 +193,10 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS) -> Model:
             for lang, chunks in counts.items():
                 words, owner = split_letters(list(chunks))
                 times = np.fromiter(chunks.values(), np.int64, len(chunks))[owner] if words else np.zeros(0, np.int64)
-                word, bucket = grams(words)
-                total = np.bincount(bucket, weights=times[word], minlength=BUCKETS)
+                total = np.zeros(BUCKETS)
+                for at in range(0, len(words), AT_ONCE):
+                    word, bucket = grams(words[at : at + AT_ONCE])
+                    total += np.bincount(bucket, weights=times[at + word], minlength=BUCKETS)
                 letters: Counter = Counter()
                 for w, k in zip(words, times.tolist(), strict=True):
                     if w.isascii():

@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 import numpy as np
 
+#: Words whose n-grams are in memory at once.
+AT_ONCE = 40_000
+
 _M = np.uint32(0x01000193)
 
 
@@ -46,7 +49,7 @@ def hashed_ngrams(words: list[str], sizes: tuple[int, ...], buckets: int, whole:
 class PartTable:
     """Figures of the space-separated parts of texts. Parts that are new in a batch get theirs together; when full it starts anew."""
 
-    def __init__(self, figures: Callable[[list[str]], np.ndarray], most: int = 500_000) -> None:
+    def __init__(self, figures: Callable[[list[str]], np.ndarray], most: int = 300_000) -> None:
         self.figures, self.most = figures, most
         self._start()
 
@@ -57,13 +60,16 @@ class PartTable:
         """The numbers in `rows` of each text's parts."""
         if len(self.index) > self.most:
             self._start()
-        parts = [t.split() if t else [] for t in texts]
-        at = [np.fromiter(map(self.index.__getitem__, p), np.int64, len(p)) for p in parts]
+        at = [self._numbers(t.split() if t else []) for t in texts]
         if self.index.fresh:
-            self.rows = np.concatenate([self.rows, self.figures(self.index.fresh)])
+            fresh = self.index.fresh
+            self.rows = np.concatenate([self.rows, *(self.figures(fresh[a : a + AT_ONCE]) for a in range(0, len(fresh), AT_ONCE))])
             self.index.fresh = []
         return at
 
+    def _numbers(self, parts: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.index.__getitem__, parts), np.int64, len(parts))
+
 
 class _Numbers(dict):
     """Numbers in order of first use; `fresh` has the keys that are new."""
