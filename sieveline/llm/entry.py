@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sieveline.llm import decontamination, html_extraction, language_id, ngram_join, oracles, packing, quality_rules, secret_scans, token_counts, toxicity
+from sieveline.llm import decontamination, html_extraction, language_id, ngram_join, oracles, packing, quality_classifier, quality_rules, secret_scans, token_counts, toxicity
 from sieveline.llm.common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -15,6 +15,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.grade(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
@@ -47,6 +51,6 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_best_fit_packing, op4_quality_rules, op5_decontamination, op6_toxicity, op7_token_counts, op8_language_id, op9_secret_scans, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_classifier, op3_best_fit_packing, op4_quality_rules, op5_decontamination, op6_toxicity, op7_token_counts, op8_language_id, op9_secret_scans, op10_html_extraction)}
 #: The others learn, tokenize, parse or lex: they are tested against brute force, the libraries and held-out labels.
 ORACLES = {"op1_ngram_jaccard_join": oracles.NGRAM_JACCARD, "op4_quality_rules": oracles.QUALITY_RULES, "op5_decontamination": oracles.DECONTAMINATION}
