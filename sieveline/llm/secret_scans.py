@@ -28,10 +28,13 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+", re.ASCII)
 HEX = re.compile(r"[0-9a-f]{24,}", re.ASCII)
 
-# What may stand left of an operator, and right of it. Bounded repeats keep the lexer linear on odd texts.
-TARGET = re.compile(r"""([A-Za-z_$][\w$.-]{0,99})["'\]]{0,2}[ \t]{0,9}$""", re.ASCII)
-OPERATOR = re.compile(r"(?:=>|:=|[=:])(?![=:])")
-VALUE = re.compile(r"""[ \t]{0,9}(?:(?P<q>["'`])(?P<quoted>[^"'`\n]{1,4000})(?P=q)|(?P<name>[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)(?![\w+/=@-])|(?P<bare>[^\s"'`,;()<>{}\[\]]{6,4000}))(?P<more>[ \t]{0,9}\+)?""", re.ASCII)
+# What may stand left of an operator (in the reversed text, from the operator on), and right of it. No repeat is bounded: possessive ones, and a run
+# of bare characters that is measured once for all operators in it, keep the lexer linear on odd texts.
+TARGET = re.compile(r"""\n?+[ \t]*+["'\]]{0,2}+([\w$.-]*[A-Za-z_$])""", re.ASCII)
+OPERATOR = re.compile(r"(?:=>|:=|==|[=:])(?![=:])")
+VALUE = re.compile(r"""[ \t]*+(?:(?P<q>["'`])(?P<quoted>[^"'`\n]++)(?P=q)|(?P<name>[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)(?![\w+/=@-])|(?P<bare>(?=[^\s"'`,;()<>{}\[\]])))""", re.ASCII)
+RUN = re.compile(r"""[^\s"'`,;()<>{}\[\]]++""", re.ASCII)
+MORE = re.compile(r"[ \t]*+\+")
 
 # Name parts and how sensitive they are, from 0 to 1.
 SENSITIVE = {
@@ -52,37 +55,57 @@ def sensitivity(name: str) -> float:
     return 1.0 if "key" in parts and KEY_KINDS & set(parts) else found
 
 
-def randomness(literal: str) -> float:
-    """0 to 1 by Shannon entropy in bits a character, kinds of characters and length."""
+def randomness(literal: str, counts: Counter | None = None) -> float:
+    """0 to 1 by Shannon entropy in bits a character, kinds of characters and length. counts: of its characters, where they are known."""
     n = len(literal)
     if n < 6 or STAND_INS.match(literal):
         return 0.0
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(literal).values())
-    kinds = sum(bool(re.search(x, literal)) for x in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9\\s]"))
+    counts = counts or Counter(literal)
+    entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
+    own = "".join(counts)
+    kinds = sum(bool(re.search(x, own)) for x in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9\\s]"))
     words = len(literal.split())
     return max(0.0, min(1.0, entropy / 4.0) * (0.55 + 0.15 * kinds) * min(1.0, n / 10) - 0.2 * (words - 1))
 
 
+def _value(text: str, at: int, run: list[int]) -> tuple[str, int, int, int] | None:
+    """(kind, start, end, where a joined value may start or -1) of the value at `at`. run: start, end and that place of the last bare run, kept for the next call."""
+    found = VALUE.match(text, at)
+    if not found:
+        return None
+    kind = found.lastgroup
+    a, b = found.span(kind)
+    if kind != "bare":
+        more = MORE.match(text, found.end())
+        return kind, a, b, more.end() if more else -1
+    if not run[0] <= a < run[1]:
+        b = RUN.match(text, a).end()
+        more = MORE.match(text, b)
+        run[:] = a, b, more.end() if more else -1
+    return (kind, a, run[1], run[2]) if run[1] - a >= 6 else None
+
+
 def assignments(text: str) -> list[tuple[str, list[tuple[int, int]], list[str]]]:
     """(name, spans of literals, names whose values it takes) in text order."""
-    found = []
+    found, flipped, run, joined_values = [], text[::-1], [0, 0, -1], {}
     for op in OPERATOR.finditer(text):
-        left = TARGET.search(text, max(0, op.start() - 120), op.start())
+        left = TARGET.match(flipped, len(text) - op.start())
         if not left:
             continue
-        spans, names, at = [], [], op.end()
-        while value := VALUE.match(text, at):
-            for kind in ("quoted", "bare"):
-                if value[kind] is not None:
-                    spans.append(value.span(kind))
-            if value["name"] is not None:
-                names.append(value["name"])
-                if not value["more"]:
-                    spans.append(value.span("name"))
-            if not value["more"]:
+        spans, names = [], []
+        value = _value(text, op.end(), run)
+        while value:
+            kind, a, b, more = value
+            if kind == "name":
+                names.append(text[a:b])
+            if kind != "name" or more < 0:
+                spans.append((a, b))
+            if more < 0:
                 break
-            at = value.end()
-        found.append((left[1], spans, names))
+            if more not in joined_values:
+                joined_values[more] = _value(text, more, [0, 0, -1])
+            value = joined_values[more]
+        found.append((left[1][::-1], spans, names))
     return found
 
 
@@ -92,16 +115,28 @@ def literal_spans(text: str, least: float = 0.5) -> list[tuple[int, int]]:
         return []
     constants: dict[str, list[tuple[int, int]]] = {}
     reached: dict[tuple[int, int], float] = {}
+    longest = 0  # of the constants' names
     for name, spans, names in assignments(text):
-        own = [s for s in spans if text[s[0] : s[1]] not in constants]
+        own = [s for s in spans if s[1] - s[0] > longest or text[s[0] : s[1]] not in constants]
         for other in names:
             own += constants.get(other, [])
         short = name.rpartition(".")[2]
         constants[name] = constants[short] = own
+        longest = max(longest, len(name))
         if weight := sensitivity(name):
             for span in own:
                 reached[span] = max(reached.get(span, 0.0), weight)
-    return sorted(s for s, weight in reached.items() if weight * randomness(text[s[0] : s[1]]) >= least)
+    spans, counts, last = [], Counter(), (0, 0)
+    # Literals that end at one place lie in each other: their characters are counted once.
+    for a, b in sorted(reached, key=lambda s: (s[1], -s[0])):
+        if b == last[1]:
+            counts.update(text[a : last[0]])
+        else:
+            counts = Counter(text[a:b])
+        last = a, b
+        if reached[a, b] * randomness(text[a:b], counts) >= least:
+            spans.append((a, b))
+    return sorted(spans)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
