@@ -123,11 +123,13 @@ r AS ({S.ranked('ok')}), t AS (SELECT *, row_number() OVER (PARTITION BY query_i
 
 @query("hard_negatives", f"{_MINED}, {_HARD} SELECT query_id, negative FROM t WHERE nth = 1")
 def hard_negatives(spark, sf):
-    """For the pairs of one language's train split."""
-    own = _funnel(spark, sf).where("repo = 'es' AND split = 'train'").withColumn("file", F.substring_index("id", "::", 1))
-    pool = own.where("in_pool").select("ordinal", "id", "hash", T.tokenize(T.lexical_text("file", F.substring_index("code", "\n", 1))).alias("tokens"))
-    pairs = own.where("reason IS NULL").select(F.col("ordinal").alias("query_id"), "id", "hash", T.tokenize("query").alias("tokens"))
-    return mining.hard_negatives(pairs, pool)
+    """For the pairs of every language and split, by the whole text. The SQL above is still that of one language's train split and of header lines."""
+    own = _funnel(spark, sf)
+    return _hard_negatives(own.where("reason IS NULL"), own.where("in_pool")).select("query_id", "negative")
+
+
+def _hard_negatives(kept, pool):
+    return mining.hard_negatives(kept.withColumn("query_id", F.col("ordinal")).withColumn("tokens", T.tokenize("query")), pool.withColumn("tokens", mining.lexical_tokens("id", "code")))
 
 
 @query("mine_all", f"{_MINED}, {_RANDOM} SELECT f.repo, f.id, f.query, f.split, n.negative FROM funnel f LEFT JOIN n ON n.id = f.id AND n.repo = f.repo AND nth = 1 WHERE reason IS NULL")

@@ -1,7 +1,12 @@
+import hashlib
+import math
+import random
+
 import pytest
 
 from sieveline import constants as C
 from sieveline.operators import mining
+from sieveline.plans import queries_mining
 from sieveline.sources import registry
 
 UNIT = "repo string, ordinal long, id string, name string, file string, comment string, body string, n_lines int"
@@ -49,6 +54,51 @@ def test_random_negatives_are_allowed_and_for_all(spark):
     assert sorted(map(tuple, found)) == sorted(map(tuple, mining.random_negatives(pool, pool, arcs_tried=9).collect()))
 
 
+def naive_hard_negatives(pairs, pool, depth):
+    """By the definition: BM25 within the repository and split, the first `depth` allowed ones, of those the least hash."""
+    found = set()
+    for repo, split, query_id, own_id, own_hash, tokens in pairs:
+        docs = [d for d in pool if d[:2] == (repo, split)]
+        mean = sum(len(d[5]) for d in docs) / len(docs)
+        scores = []
+        for d in docs:
+            score = 0.0
+            for t in sorted(set(tokens)):
+                df = sum(t in x[5] for x in docs)
+                if tf := d[5].count(t):
+                    score += math.log(1 + (len(docs) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d[5]) / mean))
+            scores.append((-round(score, 9), d[2], d))
+        allowed = [d[3] for _, _, d in sorted(scores) if d[3] != own_id and d[4] != own_hash][:depth]
+        if allowed:
+            found.add((repo, split, query_id, min(allowed, key=lambda x: (hashlib.sha1(f"0/{own_id}/{x}".encode()).hexdigest(), x))))
+    return found
+
+
+@pytest.mark.parametrize("block_rows", [500_000, 40])
+def test_hard_negatives_of_every_group(spark, block_rows):
+    draw = random.Random(6)
+    words = "ring grow slot push index token score rank body head tail swap".split()
+    pool, pairs = [], []
+    for repo, split, n in (("r", "train", 40), ("r", "val", 25), ("s", "train", 30), ("s", "val", 1), ("t", "train", 3)):
+        for i in range(n):
+            pool.append((repo, split, i, f"{repo}{split}{i}", f"h{i // 2 if repo == 's' else i}", draw.choices(words, k=draw.randint(0, 9))))
+            pairs.append((*pool[-1][:5], draw.choices([*words, "unknown"], k=draw.randint(1, 4))))
+    tail = "id string, hash string, tokens array<string>"
+    found = mining.hard_negatives(spark.createDataFrame(pairs, f"repo string, split string, query_id long, {tail}"), spark.createDataFrame(pool, f"repo string, split string, ordinal long, {tail}"), depth=4, block_rows=block_rows)
+    assert {tuple(r) for r in found.select("repo", "split", "query_id", "negative").collect()} == naive_hard_negatives(pairs, pool, 4)
+
+
+def test_hard_negatives_leave_no_language_out(spark, sf):
+    kept = queries_mining._funnel(spark, sf).where("reason IS NULL").select("ordinal", "repo").collect()
+    found = {r.query_id for r in queries_mining.hard_negatives(spark, sf).collect()}
+    assert found == {r.ordinal for r in kept} and len({r.repo for r in kept}) == 4
+
+
+def test_lexical_tokens_are_of_the_whole_body(spark):
+    row = spark.createDataFrame([("ring.c::push", "push (ring.c)\nfirst words\nlast words")], "id string, code string").select(mining.lexical_tokens("id", "code")).first()
+    assert row[0] == ["ring", "first", "words", "last", "words"]
+
+
 def test_run_configuration():
     text = "[defaults]\nbatch_size = 8\n[runs.a]\nbatch_size = 4\n[runs.b]\nbogus = 1\n[runs.c]\nnegatives = 'odd'"
     assert registry.run_config(text, "a")["batch_size"] == 4
