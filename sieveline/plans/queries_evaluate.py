@@ -158,7 +158,7 @@ def train_metric_log(spark, sf):
     """Loss by step of the in-batch contrastive loss over batches of 16 pairs of vectors."""
     from sieveline.operators import dense
 
-    pairs = Q._vector_pairs(spark, sf).withColumn("step", F.floor(F.col("pair_id") / 160))
+    pairs = Q._vector_pairs(spark, sf).withColumn("step", F.floor(F.col("pair_id") / 16))
     every = pairs.select("step", F.col("pair_id").alias("other_id"), F.col("d").alias("other"))
     scored = pairs.select("step", "pair_id", "q").join(every, "step").select("step", "pair_id", "other_id", (20.0 * dense.dot("q", "other")).alias("s"))
     own = F.max(F.when(F.col("pair_id") == F.col("other_id"), F.col("s")))

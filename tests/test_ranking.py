@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from sieveline.operators import dense, evaluate, lexical, rank
+from sieveline.plans import queries_evaluate, queries_search
 
 
 def ranking(spark, order):
@@ -95,6 +96,27 @@ def test_vectors(spark):
     assert [len(r[0]) for r in texts.select(dense.embed_column("t")).collect()] == [64, 64]
 
 
+@pytest.mark.parametrize("block_bytes", [32_000_000, 300])
+def test_ranks_and_losses_against_all_pairs(spark, block_bytes):
+    draw = np.random.default_rng(3)
+    q, d = (np.round(draw.normal(size=(45, 6)), 1) for _ in range(2))
+    d[7] = d[9] = d[30]
+    pairs = spark.createDataFrame([(i, q[i].tolist(), d[i].tolist()) for i in range(45)], "pair_id long, q array<double>, d array<double>")
+    products = q @ d.T
+    ranks = {r.pair_id: r["rank"] for r in dense.validation_ranks(pairs, block_bytes).collect()}
+    assert ranks == {i: 1 + sum(round(x, 9) > round(products[i, i], 9) for x in products[i]) for i in range(45)}
+    losses = {r.pair_id: r.loss for r in dense.mnr_loss(pairs, 5.0, block_bytes).collect()}
+    assert losses == pytest.approx({i: math.log(sum(math.exp(5 * x) for x in products[i])) - 5 * products[i, i] for i in range(45)})
+    assert dense.validation_ranks(pairs.limit(0)).count() == 0 and dense.mnr_loss(pairs.limit(0)).count() == 0
+
+
+def test_every_vector_is_paired(spark, sf):
+    ids = {r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect()}
+    pairs = {i for i in ids if i + 1 in ids}
+    assert {r.pair_id for r in queries_search.mnr_loss(spark, sf).collect()} == pairs and queries_search.validation_mrr(spark, sf).first().n == len(pairs)
+    assert queries_evaluate.train_metric_log(spark, sf).count() == len({i // 16 for i in pairs})
+
+
 def test_rank_dump(spark, tmp_path):
     path = tmp_path / "ranks.json"
     path.write_text('{"models": {}, "ranks": {"m": {"r": {"dense": [1, 4]}}, "n": {"r": {"dense": [1, 1]}}}}')
