@@ -29,6 +29,7 @@ CODE_JACCARD, COMMENT_JACCARD = 0.5, 0.6
 MIN_BODY_LINES = 3
 VAL_FRACTION = 0.1
 HARD_NEGATIVE_DEPTH = 10
+NEGATIVE_MODES = ("random", "hard")
 
 # Patterns.
 WORD = r"[A-Za-z_][A-Za-z0-9_]*|[0-9]+"

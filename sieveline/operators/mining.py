@@ -223,6 +223,17 @@ def hard_negatives(pairs: DataFrame, pool: DataFrame, seed: int = 0, depth: int
     return top.groupBy(*keys, "query_id").agg(F.min_by("negative", F.struct(draw(seed, F.col("id"), F.col("negative")), "negative")).alias("negative"))
 
 
+def negatives(kept: DataFrame, pool: DataFrame, mode: str, seed: int = 0) -> DataFrame:
+    """kept and pool as rows of the funnel -> repo, split, id, negative, for the mode random or hard; pairs without a candidate have no row."""
+    if mode not in C.NEGATIVE_MODES:
+        raise ValueError(f"unknown negative mode {mode!r}")
+    if mode == "random":
+        return random_negatives(kept, pool, seed)
+    asked = kept.withColumn("query_id", F.col("ordinal")).withColumn("tokens", T.tokenize("query"))
+    found = hard_negatives(asked, pool.withColumn("tokens", lexical_tokens("id", "code")), seed)
+    return found.join(kept.select("repo", "split", F.col("ordinal").alias("query_id"), "id"), ["repo", "split", "query_id"]).select("repo", "split", "id", "negative")
+
+
 def find_leaks(pairs: DataFrame, bench: DataFrame) -> DataFrame:
     """pairs(unit_id, query, code, negative), bench(code, comment) -> unit_id, reason: of the code, else the query, else the negative."""
     codes, comments = bench.select(F.col("code").alias("x")), bench.select(F.col("comment").alias("x"))

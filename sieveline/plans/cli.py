@@ -83,17 +83,19 @@ def _mine(args) -> int:
     training, bench = parsed(args.training), parsed(args.benchmark)
     funnel = written(mining.mining_funnel(training, bench), "funnel")
     kept, pool = funnel.where("reason IS NULL"), funnel.where("in_pool")
-    chosen = mining.random_negatives(kept, pool, args.seed)
     codes = pool.select("repo", F.col("id").alias("negative"), F.col("code").alias("negative_code"))
-    pairs = kept.join(chosen, ["repo", "split", "id"], "left").join(codes, ["repo", "negative"], "left")
-    pairs = written(pairs.select("repo", F.col("id").alias("unit_id"), "query", "code", "split", F.coalesce("negative_code", F.lit("")).alias("negative")), "pairs")
     from sieveline.functions.text import dense_text
 
-    leak = mining.find_leaks(pairs, bench.select(dense_text("name", "file", "body").alias("code"), "comment")).first()
-    if leak:
-        print(f"error: pairs overlap the benchmark, e.g. {leak['unit_id']}: {leak['reason']}", file=sys.stderr)
-        return 1
-    store.save_pairs(pairs, f"{args.out_dir}/pairs_random.jsonl")
+    mined = {}
+    for mode in C.NEGATIVE_MODES:
+        pairs = kept.join(mining.negatives(kept, pool, mode, args.seed), ["repo", "split", "id"], "left").join(codes, ["repo", "negative"], "left")
+        mined[mode] = written(pairs.select("repo", F.col("id").alias("unit_id"), "query", "code", "split", F.coalesce("negative_code", F.lit("")).alias("negative")), "pairs")
+        leak = mining.find_leaks(mined[mode], bench.select(dense_text("name", "file", "body").alias("code"), "comment")).first()
+        if leak:
+            print(f"error: pairs overlap the benchmark, e.g. {leak['unit_id']}: {leak['reason']}", file=sys.stderr)
+            return 1
+    for mode, pairs in mined.items():
+        store.save_pairs(pairs, f"{args.out_dir}/pairs_{mode}.jsonl")
     print(report.stats_table(mining.mining_stats(funnel)))
     return 0
 

@@ -134,10 +134,15 @@ def _hard_negatives(kept, pool):
 
 @query("mine_all", f"{_MINED}, {_RANDOM} SELECT f.repo, f.id, f.query, f.split, n.negative FROM funnel f LEFT JOIN n ON n.id = f.id AND n.repo = f.repo AND nth = 1 WHERE reason IS NULL")
 def mine_all(spark, sf):
+    """The pairs of all languages with negatives of both modes. The SQL above has the random ones only, without their mode."""
     own = _funnel(spark, sf)
-    kept = own.where("reason IS NULL")
-    negatives = mining.random_negatives(kept, own.where("in_pool"))
-    return kept.select("repo", "split", "id", "query").join(negatives, ["repo", "split", "id"], "left").select("repo", "id", "query", "split", "negative")
+    kept, pool = own.where("reason IS NULL"), own.where("in_pool")
+    total = None
+    for mode in C.NEGATIVE_MODES:
+        pairs = kept.select("repo", "split", "id", "query").join(mining.negatives(kept, pool, mode), ["repo", "split", "id"], "left")
+        pairs = pairs.select(F.lit(mode).alias("mode"), "repo", "id", "query", "split", "negative")
+        total = pairs if total is None else total.unionByName(pairs)
+    return total
 
 
 @query("find_leaks", f"""WITH {UNITS}, {_LINES}, {_BENCH}, {_SETS}, {S.max_jaccard('l', 'r', 'mj')}, e AS (SELECT DISTINCT {S.squeeze('lower(x)')} AS k FROM bl)

@@ -6,8 +6,8 @@ import pytest
 
 from sieveline import constants as C
 from sieveline.operators import mining
-from sieveline.plans import queries_mining
-from sieveline.sources import registry
+from sieveline.plans import cli, queries_mining
+from sieveline.sources import registry, store
 
 UNIT = "repo string, ordinal long, id string, name string, file string, comment string, body string, n_lines int"
 LONG = "int f(int a)\n{\n    int total = a * 3;\n    total += compute(a, total);\n    return total - offset;\n}"
@@ -99,6 +99,25 @@ def test_lexical_tokens_are_of_the_whole_body(spark):
     assert row[0] == ["ring", "first", "words", "last", "words"]
 
 
+def test_command_mines_both_modes(spark, tmp_path):
+    own, bench = tmp_path / "own", tmp_path / "bench"
+    for place, lines in ((own, ["grow the ring to hold more", "push a value onto the stack", "count every slot of the table", "swap the head with the tail"]), (bench, ["nothing that is like the others"])):
+        place.mkdir()
+        (place / "a.c").write_text("\n".join(f"/* {x} */\nint f{i}(int a)\n{{\n    int {x.split()[-1]}_{i} = a * {i};\n    {x.split()[0]}(a, {i + 3});\n    return {x.split()[-1]}_{i};\n}}\n" for i, x in enumerate(lines)))
+    assert cli.main(["mine", "--training", str(own), "--benchmark", str(bench), "--out-dir", str(tmp_path / "out")]) == 0
+    pairs = {mode: store.load_pairs(spark, str(tmp_path / f"out/pairs_{mode}.jsonl")).collect() for mode in ("random", "hard")}
+    assert len(pairs["hard"]) == 4 and {r.unit_id for r in pairs["hard"]} == {r.unit_id for r in pairs["random"]}
+    assert all(r.negative and r.negative != r.code for own in pairs.values() for r in own)
+
+
+def test_all_languages_have_both_modes(spark, sf):
+    rows = queries_mining.mine_all(spark, sf).collect()
+    by_mode = {mode: {(r.repo, r.split, r.id): r.negative for r in rows if r.mode == mode} for mode in ("random", "hard")}
+    assert by_mode["random"].keys() == by_mode["hard"].keys() and len(rows) == 2 * len(by_mode["hard"]) and None not in by_mode["hard"].values()
+    with pytest.raises(ValueError, match="odd"):
+        mining.negatives(None, None, "odd")
+
+
 def test_run_configuration():
     text = "[defaults]\nbatch_size = 8\n[runs.a]\nbatch_size = 4\n[runs.b]\nbogus = 1\n[runs.c]\nnegatives = 'odd'"
     assert registry.run_config(text, "a")["batch_size"] == 4
