@@ -6,7 +6,7 @@ case. In a document, words that no item has break the text into stretches; windo
 hash and each hit is verified word by word.
 
 Null texts have no words. An item without words has no window. Repeated rows are judged each; items with the same
-id count once. A null doc_id stays null, an empty table gives an empty result, an empty benchmark leaves all clean. Other columns
+id count once, those without an id are hit but not counted. A null doc_id stays null, an empty table gives an empty result, an empty benchmark leaves all clean. Other columns
 are not read.
 """
 
@@ -42,7 +42,7 @@ class Windows:
             own = [self.ids.setdefault(w, len(self.ids) + 1) for w in words_of(text)]
             size = min(n, len(own))
             for at in range(len(own) - size + 1 if own else 0):
-                self.items.setdefault(size, {}).setdefault(tuple(own[at : at + size]), set()).add(str(item_id))
+                self.items.setdefault(size, {}).setdefault(tuple(own[at : at + size]), set()).update(() if item_id is None else (str(item_id),))
         self.hashes = {size: np.unique(np.array([self._one(w) for w in found], np.uint64)) for size, found in sorted(self.items.items())}
 
     @staticmethod
@@ -75,7 +75,7 @@ class Windows:
                 near = np.minimum(np.searchsorted(hashes, rolled), len(hashes) - 1)
                 for at in np.flatnonzero(hashes[near] == rolled).tolist():
                     items = windows.get(tuple(ids[a + at : a + at + size].tolist()))
-                    if items:
+                    if items is not None:
                         found.append((a + at, size, items))
         return found
 
@@ -91,7 +91,7 @@ def digest(n_words: int, hits: list[tuple[int, int, Iterable[str]]]) -> tuple[in
 
 def _blocks(benchmark: DataFrame, block_bytes: int):
     """Lists of items, each of bounded size; which block an item is in depends on its text."""
-    own = benchmark.where(F.col("item_id").isNotNull()).select("item_id", "text")
+    own = benchmark.select("item_id", "text")
     size = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
     n = -(-(size["b"] + 64 * size["n"]) // block_bytes) or 1
     if n == 1:
@@ -103,7 +103,8 @@ def _blocks(benchmark: DataFrame, block_bytes: int):
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (hit word ranges) for each row of docs."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of docs. The passages of items without an item_id count
+    in n_hit, and so for contaminated, but not as items."""
     spark, schema = docs.sparkSession, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
     blocks = _blocks(benchmark, block_bytes)
     n_blocks, items = next(blocks)

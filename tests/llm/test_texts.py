@@ -72,6 +72,17 @@ def test_contamination_is_the_naive_one(spark, block_bytes):
     assert not any(r.contaminated for r in decontamination.decontaminate(documents(spark, rows), bench.limit(0)).collect())
 
 
+@pytest.mark.parametrize("block_bytes", [16_000_000, 200])
+def test_items_without_an_id_are_hit_but_not_counted(spark, block_bytes):
+    passage, other = prose(60, 20), prose(61, 20)
+    bench = spark.createDataFrame([(None, passage), (1, other), (None, None), (2, prose(62, 20)), (3, prose(63, 20))], "item_id long, text string")
+    docs = documents(spark, [(1, f"{prose(80, 30)} {passage}", "en", "a"), (2, f"{passage} {other}", "en", "a"), (3, prose(81, 60), "en", "b")])
+    found = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontamination.decontaminate(docs, bench, block_bytes=block_bytes).collect()}
+    none, one = (hashlib.sha256(x).hexdigest() for x in (b"", b"1"))
+    assert found == {1: (20, 0, none, True), 2: (40, 1, one, True), 3: (0, 0, none, False)}
+    assert [r.doc_id for r in decontamination.clean(docs, bench, block_bytes=block_bytes).collect()] == [3]
+
+
 def naive_base(text):
     out = [(m.start(), m.end(), "assign") for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.ASCII) if len(m[2]) >= 6]
     out += [(m.start(), m.end(), "access") for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
