@@ -28,14 +28,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import Remembered, map_rows, materialize
+from sieveline.llm.common import DOCUMENT, map_rows, materialize
 from sieveline.llm.components import connected_components
 
-#: Documents that a centre is multiplied with in a task, bytes of sets of a chunk of a cluster.
-CHUNK, CHUNK_BYTES = 192, 8_000_000
-#: Shuffled entries of a task, and entries that a task holds before it passes them on.
-ENTRIES, FLUSH = 1_500_000, 2_000_000
-#: Bits of the filter for documents that any pair has, at least and at most; it is broadcast.
+#: Documents that a centre is multiplied with in a task, bytes of sets and documents of a chunk of a cluster.
+CHUNK, CHUNK_BYTES, CHUNK_ROWS = 192, 8_000_000, 1_000
+#: Sets that a task remembers as seen; it forgets them all when there are more.
+SEEN = 100_000
+#: Bytes of a word that are hashed eight at a time with those of all other words; longer words are hashed alone.
+LONG_WORD = 64
+#: Bits of a filter of ids or marks, at least and at most; it is broadcast.
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 26
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
@@ -47,23 +49,74 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+#: A-Z as a-z and every white space of the words' definition as a space.
+_BYTES = np.array([32 if b in (9, 10, 11, 12, 13) else b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+#: The first k bytes of eight.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column's texts, one after the other, and where each starts and the last one ends."""
+    column = column.fill_null("") if column.null_count else column
+    wide = pa.types.is_large_string(column.type)
+    _, places, data = column.buffers()
+    if not len(column) or data is None:
+        return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
+    at = np.frombuffer(places, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
+
+
+def hashed_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words of a column's texts, and where each text's begin and the last one's end. No word becomes an object."""
+    data, at = text_bytes(column)
+    data = _BYTES[data]
+    inside = data != 32
+    before = np.concatenate(([False], inside[:-1]))
+    before[at[:-1][at[:-1] < len(data)]] = False
+    after = np.concatenate((inside[1:], [False]))
+    after[(at[1:] - 1)[at[1:] > at[:-1]]] = False
+    starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+    lengths = ends - starts
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    found = lengths.astype(np.uint64) * _B
+    left = np.arange(len(starts))
+    for k in range(0, LONG_WORD, 8):
+        left = left[lengths[left] > k]
+        if not len(left):
+            break
+        own = eight[starts[left] + k] & _FIRST[np.minimum(lengths[left] - k, 8)]
+        found[left] = _mixed((found[left] ^ own) * _A)
+    for i in np.flatnonzero(lengths > LONG_WORD).tolist():
+        found[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return found, np.searchsorted(starts, at)
+
+
 class Shingler:
-    """Sets of texts; remembers the hashes of words."""
+    """Sets of texts, as sorted hashes."""
 
     def __init__(self, width: int = 3) -> None:
-        self.width, self.words = width, Remembered(lambda w: xxhash.xxh3_64_intdigest(w), 1_000_000)
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-        n = len(words)
-        if not n:
-            return np.zeros(0, np.uint64)
-        h = np.fromiter(map(self.words.__getitem__, words), np.uint64, n)
-        width = min(n, self.width)
-        total = np.full(n - width + 1, width, np.uint64)
+        self.width = width
+
+    def __call__(self, column: pa.Array) -> list[np.ndarray]:
+        """The set of each text of a column."""
+        h, at = hashed_words(column)
+        whole = self._windows(h, self.width) if len(h) >= self.width else None
+        sets = []
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            if b - a >= self.width:
+                sets.append(np.unique(whole[a : b - self.width + 1]))
+            else:
+                sets.append(self._windows(h[a:b], b - a) if b > a else np.zeros(0, np.uint64))
+        return sets
+
+    @staticmethod
+    def _windows(h: np.ndarray, width: int) -> np.ndarray:
+        n = len(h) - width + 1
+        total = np.full(n, width, np.uint64)
         for k in range(width):
-            total = _mixed(total * _A + h[k : n - width + 1 + k])
-        return np.unique(total)
+            total = _mixed(total * _A + h[k : n + k])
+        return total
 
 
 class Sizes:
@@ -139,9 +192,10 @@ def block_product(rows: list[np.ndarray], columns: list[np.ndarray], percent: in
 
 
 def _bits(ids: DataFrame, hashes: int = 3) -> tuple[np.ndarray, int]:
-    """A Bloom filter of ids(doc) as words of 64 bits. Its size is bounded, whatever there is in it: when it is full it only lets more pass."""
+    """A Bloom filter of the one column of ids as words of 64 bits. Its size is bounded, whatever there is in it: when it is full it only lets more pass."""
+    (column,) = ids.columns
     size = max(LEAST_BITS, min(MOST_BITS, 1 << (16 * ids.count()).bit_length()))
-    places = ids.select(F.explode(F.array(*_places("doc", size, hashes))).alias("p"))
+    places = ids.select(F.explode(F.array(*_places(column, size, hashes))).alias("p"))
     words = places.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("bits")).toArrow()
     out = np.zeros(size >> 6, np.int64)
     out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
@@ -152,29 +206,41 @@ def _places(column: str, size: int, hashes: int = 3) -> list:
     return [F.pmod(F.xxhash64(column, F.lit(k)), F.lit(size)) for k in range(hashes)]
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id, grams of the documents in ids(doc), and of a few others: a filter keeps the texts of nearly all others from being
-    cut up or moved. Joins on doc_id leave the others out."""
-    bits, size = _bits(ids)
-    sent = docs.sparkSession.sparkContext.broadcast(bits)
+def _filtered(rows: DataFrame, column: str, ids: tuple[np.ndarray, int], columns: list[str], schema: str, make, text: str, inside: bool = True) -> DataFrame:
+    """make()(batch) of the rows whose column is in the filter `ids`, or of the others: those in it are all that went in and a few more."""
+    bits, size = ids
+    sent = rows.sparkSession.sparkContext.broadcast(bits)
+    names = ["place0", "place1", "place2"]
 
-    def make():
-        shingled, words = Shingler(), sent.value
+    def filtering():
+        step, words = make(), sent.value
 
-        def step(batch):
-            wanted = np.ones(batch.num_rows, bool)
-            for column in ("p0", "p1", "p2"):
-                p = batch.column(column).to_numpy().astype(np.uint64)
-                wanted &= (words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
-            some = batch.filter(pa.array(wanted))
-            if not some.num_rows:
-                return None
-            return {"doc_id": some.column("doc_id"), "grams": [shingled(t).tobytes() for t in some.column("text").to_pylist()]}
+        def filtered(batch):
+            found = np.ones(batch.num_rows, bool)
+            for name in names:
+                p = batch.column(name).to_numpy().astype(np.uint64)
+                found &= (words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+            some = batch.filter(pa.array(found == inside))
+            return step(some) if some.num_rows else None
 
-        return step
+        return filtered
+
+    placed = rows.select(*columns, *(p.alias(name) for name, p in zip(names, _places(column, size), strict=True)))
+    return map_rows(placed, [*columns, *names], filtering, schema, text=text)
+
+
+def _as_it_is(columns: list[str]):
+    return lambda: lambda batch: {c: batch.column(c) for c in columns}
+
+
+def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, grams of the documents in ids(doc), and of a few others. Joins on doc_id leave the others out."""
+
+    def make():
+        shingled = Shingler()
+        return lambda batch: {"doc_id": batch.column("doc_id"), "grams": [own.tobytes() for own in shingled(batch.column("text"))]}
 
-    placed = docs.select("doc_id", "text", *(p.alias(f"p{k}") for k, p in enumerate(_places("doc_id", size))))
-    return map_rows(placed, ["doc_id", "text", "p0", "p1", "p2"], make, "doc_id long, grams binary")
+    return _filtered(docs, "doc_id", _bits(ids), ["doc_id", "text"], "doc_id long, grams binary", make, text="text")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -184,7 +250,7 @@ def _sets(docs: DataFrame) -> DataFrame:
         shingled = Shingler()
 
         def step(batch):
-            own = [shingled(t) for t in batch.column("text").to_pylist()]
+            own = shingled(batch.column("text"))
             hashes = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in own), np.int64).reshape(-1, 2)
             return {"doc_id": batch.column("doc_id"), "n": [len(x) for x in own], "h1": hashes[:, 0], "h2": hashes[:, 1]}
 
@@ -193,91 +259,43 @@ def _sets(docs: DataFrame) -> DataFrame:
     return map_rows(docs, ["doc_id", "text"], make, "doc_id long, n long, h1 long, h2 long")
 
 
-def _entries(docs: DataFrame, buckets: int, percent: int) -> DataFrame:
-    """Signatures with their documents, packed by bucket."""
+def _entries(docs: DataFrame, percent: int) -> DataFrame:
+    """mark, doc: the signatures of the documents' ranges. Of the equal sets that a task remembers one stands for all, so a text
+    that a third of all rows repeat leaves few entries."""
 
     def make():
         shingled, sizes, seen = Shingler(), Sizes(percent), set()
-        marks: list[np.ndarray] = []
-        ids: list[np.ndarray] = []
-        held = [0]
 
         def step(batch):
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                own = shingled(text)
-                if not len(own):
-                    continue
+            marks, ids = [], []
+            for doc_id, own in zip(batch.column("doc_id").to_pylist(), shingled(batch.column("text")), strict=True):
                 key = xxhash.xxh3_128_digest(own.tobytes())
-                if key in seen:  # an equal set of this task stands for it
+                if not len(own) or key in seen:
                     continue
+                if len(seen) >= SEEN:
+                    seen.clear()
                 seen.add(key)
                 found = signatures(own, sizes)
                 marks.append(found)
                 ids.append(np.full(len(found), doc_id, np.int64))
-                held[0] += len(found)
-            return last() if held[0] >= FLUSH else None
-
-        def last():
-            if not marks:
-                return None
-            mark, doc = np.concatenate(marks), np.concatenate(ids)
-            marks.clear()
-            ids.clear()
-            held[0] = 0
-            bucket = (mark % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            bucket, short, doc = bucket[order], (mark[order] >> np.uint64(32)).astype(np.uint32), doc[order]
-            edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
-            spans = list(zip(edges, edges[1:], strict=False))
-            return {"bucket": [int(bucket[a]) for a, _ in spans], "marks": [short[a:b].tobytes() for a, b in spans], "docs": [doc[a:b].tobytes() for a, b in spans]}
-
-        step.last = last
-        return step
+            return {"mark": np.concatenate(marks).view(np.int64), "doc": np.concatenate(ids)} if marks else None
 
-    return map_rows(docs, ["doc_id", "text"], make, "bucket int, marks binary, docs binary")
+        return step
 
+    return map_rows(docs, ["doc_id", "text"], make, "mark long, doc long")
 
-def _blocks(entries: DataFrame, buckets: int) -> DataFrame:
-    """block, doc: the documents of each block of two or more; blocks of the same documents are one."""
 
-    def make():
-        keys: list[np.ndarray] = []
-        docs: list[np.ndarray] = []
-
-        def step(batch):
-            for bucket, marks, ids in zip(*(batch.column(c).to_pylist() for c in ("bucket", "marks", "docs")), strict=True):
-                keys.append((np.uint64(bucket) << np.uint64(32)) + np.frombuffer(marks, np.uint32).astype(np.uint64))
-                docs.append(np.frombuffer(ids, np.int64))
-            return None
-
-        def last():
-            if not keys:
-                return None
-            key, doc = np.concatenate(keys), np.concatenate(docs)
-            keys.clear()
-            docs.clear()
-            order = np.lexsort((doc, key))
-            key, doc = key[order], doc[order]
-            new = np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])))
-            key, doc = key[new], doc[new]
-            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            size = np.diff(np.concatenate((first, [len(key)])))
-            several = size > 1
-            first, size = first[several], size[several]
-            if not len(first):
-                return None
-            at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
-            doc = doc[at]
-            block = np.add.reduceat(_mixed(doc.astype(np.uint64) + _B), np.cumsum(size) - size, dtype=np.uint64)
-            kept = np.zeros(len(block), bool)
-            kept[np.unique(block, return_index=True)[1]] = True
-            rows = np.repeat(kept, size)
-            return {"block": np.repeat(block, size)[rows].astype(np.int64), "doc": doc[rows]}
-
-        step.last = last
-        return step
+def _blocks(entries: DataFrame) -> DataFrame:
+    """block, doc: the documents of each mark that two or more have. Marks of the same least and greatest document and number of entries
+    are one block: nearly always they have the same documents, and a block of more documents loses nothing.
 
-    return map_rows(entries.repartition(buckets, "bucket"), ["bucket", "marks", "docs"], make, "block long, doc long", text="docs")
+    Marks are counted before they move, so a very frequent one is a row a task; then only the entries of shared marks move to be joined,
+    where a very frequent mark can be split.
+    """
+    counted = entries.groupBy("mark").agg(F.min("doc").alias("x"), F.max("doc").alias("y"), F.count("*").alias("c")).where("x <> y")
+    shared = materialize(counted.select("mark", F.xxhash64("x", "y", "c").alias("block")), "shared-marks")
+    some = _filtered(entries, "mark", _bits(shared.select("mark")), ["mark", "doc"], "mark long, doc long", _as_it_is(["mark", "doc"]), text="mark")
+    return some.join(shared, "mark").select("block", "doc").distinct()
 
 
 def _star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -326,7 +344,7 @@ def _rest_links(open_blocks: DataFrame, sets: DataFrame, percent: int) -> DataFr
     parts = open_blocks.select("doc", F.col("component").alias("part")).distinct()
     sized = cluster.join(parts, cluster.node == parts.doc).select("cluster", "doc", "part").join(sets.select("doc_id", F.octet_length("grams").alias("b")), F.col("doc") == F.col("doc_id"))
     sized = materialize(sized.select("cluster", "doc", "part", "b"), "clusters")
-    chunks = materialize(sized.groupBy("cluster").agg(F.ceil(F.sum("b") / CHUNK_BYTES).cast("int").alias("chunks")), "chunks")
+    chunks = materialize(sized.groupBy("cluster").agg(F.ceil(F.greatest(F.sum("b") / CHUNK_BYTES, F.count("*") / CHUNK_ROWS)).cast("int").alias("chunks")), "chunks")
     placed = sized.join(chunks, "cluster").withColumn("chunk", F.pmod(F.xxhash64("doc", F.lit(1)), F.col("chunks")).cast("int"))
     # A document goes to the pairs of chunks (i, j), i <= j, that have its own: as many as its cluster has chunks.
     pairs = placed.select("cluster", "doc", "part", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
@@ -377,17 +395,17 @@ def _forest(edges):
 
 def jaccard_components(docs: DataFrame, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs."""
-    spark = docs.sparkSession
-    figures = materialize(_sets(docs), "sets")
+    return _components(docs, materialize(_sets(docs), "sets"), percent)
+
+
+def _components(docs: DataFrame, figures: DataFrame, percent: int) -> DataFrame:
     ids = figures.where("doc_id IS NOT NULL AND n > 0")
     classes = materialize(ids.groupBy("h1", "h2").agg(F.min("doc_id").alias("lead")), "classes")
     # Rows of a doc_id that has several texts are one document: its least class stands for it, and its other classes are linked to it below.
     members = materialize(ids.join(classes, ["h1", "h2"]).select("doc_id", "n", "lead"), "members")
 
-    total = ids.agg(F.sum("n").alias("n")).first()["n"] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total * 0.3) // ENTRIES))
     known = docs.where(F.col("doc_id").isNotNull())
-    blocks = materialize(_blocks(_entries(known, buckets, percent), buckets), "blocks")
+    blocks = materialize(_blocks(materialize(_entries(known, percent), "entries")), "blocks")
     firsts = blocks.join(members, blocks.doc == members.doc_id).select("block", F.col("lead").alias("doc"), "n").distinct()
     firsts = materialize(firsts, "firsts")
     # The document of the most blocks is a block's centre: what others are copies of is in most blocks, so there are few pairs.
@@ -422,8 +440,19 @@ def jaccard_components(docs: DataFrame, percent: int = 90) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, percent: int = 90) -> DataFrame:
-    """The document of the least doc_id of each component, with the columns of documents; rows without a doc_id stay."""
+    """The document of the least doc_id of each component, with the columns of documents; rows without a doc_id stay. Of the rows of a
+    doc_id the least one by text, lang, source and n_chars stays.
+
+    Texts move only where a row may have to go: of a document that isn't its component's least or of a doc_id that repeats.
+    """
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
-    kept = jaccard_components(docs, percent).where("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
-    stay = docs.select(columns).join(kept, F.col("doc_id") == F.col("kept"), "left_semi").dropDuplicates(["doc_id"])
-    return stay.unionByName(docs.where("doc_id IS NULL").select(columns))
+    figures = materialize(_sets(docs), "sets")
+    found = materialize(_components(docs, figures, percent).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows")), "verdicts")
+    doubtful = found.where("doc_id <> component_id OR rows > 1")
+    known = docs.where("doc_id IS NOT NULL")
+    ids = _bits(doubtful.select("doc_id"))
+    some = materialize(_filtered(known, "doc_id", ids, columns, DOCUMENT, _as_it_is(columns), text="text"), "doubtful")
+    # The filter lets a few others pass: they come with their verdicts too.
+    heads = some.join(found.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*columns[1:])).alias("row"))
+    rest = _filtered(known, "doc_id", ids, columns, DOCUMENT, _as_it_is(columns), text="text", inside=False)
+    return rest.unionByName(heads.select("doc_id", "row.*").select(columns)).unionByName(docs.where("doc_id IS NULL").select(columns))
