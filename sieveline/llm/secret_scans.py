@@ -14,7 +14,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
@@ -113,18 +115,26 @@ def literal_spans(text: str, least: float = 0.5) -> list[tuple[int, int]]:
     """Spans of the literals that reach a sensitive name, in order."""
     if "=" not in text and ":" not in text:
         return []
-    constants: dict[str, list[tuple[int, int]]] = {}
-    reached: dict[tuple[int, int], float] = {}
+    # An assignment is a node with its own literals and the nodes that its names had at that time; a name's value is its last node. So a
+    # text of n assignments takes as many nodes and references as it names, however often values are joined to themselves.
+    current: dict[str, int] = {}
+    literals: list[list[tuple[int, int]]] = []
+    sources: list[set[int]] = []
+    weights: list[float] = []
     longest = 0  # of the constants' names
     for name, spans, names in assignments(text):
-        own = [s for s in spans if s[1] - s[0] > longest or text[s[0] : s[1]] not in constants]
-        for other in names:
-            own += constants.get(other, [])
+        literals.append([s for s in spans if s[1] - s[0] > longest or text[s[0] : s[1]] not in current])
+        sources.append({current[other] for other in names if other in current})
+        weights.append(sensitivity(name))
         short = name.rpartition(".")[2]
-        constants[name] = constants[short] = own
+        current[name] = current[short] = len(weights) - 1
         longest = max(longest, len(name))
-        if weight := sensitivity(name):
-            for span in own:
+    reached: dict[tuple[int, int], float] = {}
+    for at in range(len(weights) - 1, -1, -1):  # sources come before what takes their values
+        if weight := weights[at]:
+            for other in sources[at]:
+                weights[other] = max(weights[other], weight)
+            for span in literals[at]:
                 reached[span] = max(reached.get(span, 0.0), weight)
     spans, counts, last = [], Counter(), (0, 0)
     # Literals that end at one place lie in each other: their characters are counted once.
@@ -153,7 +163,8 @@ def _in_order(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
 def find_secrets(text: str, least: float = 0.5) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Base spans, and all spans, as (start, end, kind) in order."""
     base = _in_order(base_spans(text))
-    more = [(a, b, "literal") for a, b in literal_spans(text, least) if not any(x <= a and b <= y for x, y, _ in base)]
+    starts, ends = [a for a, _, _ in base], list(accumulate((b for _, b, _ in base), max))
+    more = [(a, b, "literal") for a, b in literal_spans(text, least) if not (at := bisect_right(starts, a)) or ends[at - 1] < b]
     return base, _in_order(base + more)
 
 
