@@ -1,36 +1,43 @@
 """HTML main text by wrappers that are inferred from the pages of each host.
 
-A page is parsed into a tree of labelled nodes (tag with class and id). Runs of like siblings are one repeated group. The trees of a host
-are aligned two at a time into one expression without unions: like children match in order, a child without a partner becomes
-optional, and text that differs becomes a slot while text that stays is part of the template. Each partition folds its pages, then the
-partial wrappers of a host are merged in salted rounds, so a host of any number of pages is no task of its own.
-
-The wrapper then decides by path what is main text: the article's region less menus, forms, notices and the like; without an article
-(or main element, or content class) the element below which most of the varying unlinked text lies, where template text goes too. Each page is
-cut by its host's decisions; a page whose host has no other pages is judged by its own tree.
-
-Null html is empty; a null url is a host of its own. Empty pages have empty text. Repeated rows give repeated rows; a null page_id stays
-null; an empty table gives an empty result; other columns are not read.
+A page is a stream of tokens: open tags (labelled by tag, class and id), close tags and texts. The streams of a host are aligned into one
+expression without unions. An open tag is aligned by its label below what its parent was aligned with; the mismatches are resolved so: a label that comes again
+below the same parent goes back to where it was, which makes what lies between a repeated group; a label that some streams lack is optional; the
+texts at a place either agree in all streams, then they are template, or they are a slot. In a repeated group texts are aligned from its
+front and from its end, so a notice before or behind the paragraphs is told from them. An alignment is sums, minima and maxima over places, so the
+streams may be aligned in any order, a partition at a time: the result doesn't depend on how pages are dealt out, and no task holds a host.
+
+Template text goes wherever it stands, also within an article. It is what at least LEAST_PAGES pages and half of the pages of a host have at one place, if it is
+the same on all that have the place; where it would be more than half of a host's text, the pages are copies of one another, and it stays.
+What is left is cut by the page's own tree: the article, main element or content class less menus, forms, notices and the like by tag and
+class words, else the element below which most of the unlinked text lies.
+
+Null html is empty; a null url is a host of its own. Empty pages have empty text. Elements may be nested and left open at will. Repeated rows give repeated
+rows and count as often in alignments; a null page_id stays null; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import html as entities
-import json
 import re
-import zlib
+from collections import Counter
 from urllib.parse import urlsplit
 
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.llm.common import Remembered, map_rows, materialize
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
-#: Bytes of decisions of all hosts that are broadcast; beyond, they are joined by host.
+#: Bytes of template places of all hosts that are broadcast; beyond, they are joined by host.
 BROADCAST_BYTES = 32_000_000
-#: Partial wrappers that one merge takes, and wrappers that a task holds.
-FAN_IN, HELD = 64, 5_000
+#: Places that a task holds before it passes them on.
+HELD = 100_000
+#: Pages of a host that must have a text at one place before it can be template.
+LEAST_PAGES = 5
+#: Texts that are aligned from the front and from the end of a repeated group.
+ENDS = 2
 
 # Elements by what they are.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -43,7 +50,7 @@ SCOPES = {"ul", "ol", "dl", "table", "div", "article", "section", "main", "body"
 BOILERPLATE = {"ad", "ads", "advert", "advertisement", "adverts", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "complementary", "contentinfo", "dialog", "disqus", "footer", "gdpr", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "popup", "promo", "promoted", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
 CONTENT = {"article", "content", "entry", "post", "story", "main", "body", "text"}
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|iframe|title|svg|select)\b(?P<rawattrs>[^>]*)>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<tag>/?[a-zA-Z][^\s/>"'<]*)(?P<attrs>(?:[^<>"']|"[^"]*"|'[^']*')*)>|<[!?/a-zA-Z][^>]*(?:>|\Z)|(?P<text>[^<]+|<)""", re.DOTALL | re.IGNORECASE)
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|iframe|title|svg|select)\b(?P<rawattrs>[^>]*)>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<tag>/?[a-zA-Z][^\s/>"'<]*+)(?P<attrs>(?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/a-zA-Z][^>]*+(?:>|\Z)|(?P<text>[^<]++|<)""", re.DOTALL | re.IGNORECASE)
 ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 
 
@@ -68,113 +75,100 @@ def _label(tag: str, attrs: str) -> str:
     return ".".join([tag, *sorted({w.lower() for w in words})]) + hidden
 
 
-_labels = Remembered(lambda key: _label(*key), 100_000)
-
-
-def parse(html: str) -> list:
-    """The page's tree: a node is [label, children], a text is a str with character references decoded."""
-    root: list = ["", []]
-    stack = [root]
-    for m in TOKEN.finditer(html):
-        text = m["text"]
-        if text is not None:
-            own = stack[-1][1]
-            text = entities.unescape(text) if "&" in text else text
-            if own and isinstance(own[-1], str):
-                own[-1] += text
-            else:
-                own.append(text)
-            continue
-        tag = m["tag"]
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if tag[0] == "/":
-            tag = tag[1:]
-            for at in range(len(stack) - 1, 0, -1):
-                if stack[at][2] == tag:
-                    del stack[at:]
-                    break
-                if stack[at][2] in SCOPES and tag in INLINE:
-                    break
-            continue
-        closes = CLOSES_SAME.get(tag) or ({"p"} if tag in CLOSES_P else None)
-        if closes:
-            for at in range(len(stack) - 1, 0, -1):
-                if stack[at][2] in closes:
-                    del stack[at:]
-                    break
-                if stack[at][2] in SCOPES:
-                    break
-        node = [_labels[tag, m["attrs"]], [], tag]
-        stack[-1][1].append(node)
-        if tag not in VOID and not m["attrs"].endswith("/"):
-            stack.append(node)
-    return root
-
-
-# A wrapper is {label: node} trees in order: node = [label, pages, repeated, optional, text, chars, linked chars, slot chars, children];
-# text is a checksum that all pages share, or None for a slot, or 0 before any text.
-LABEL, PAGES, REPEATED, OPTIONAL, TEXT, CHARS, LINKED, CHILDREN = range(8)
-
-
-def generalize(node: list, linked: bool = False) -> list:
-    """A page's tree as a wrapper of one page: runs of like siblings are merged into a repeated group."""
-    tag = node[0].partition(".")[0]
-    linked = linked or tag == "a"
-    out = [node[0], 1, False, False, 0, 0, 0, []]
-    for child in node[1]:
-        if isinstance(child, str):
-            text = " ".join(child.split())
-            if text:
-                out[TEXT] = zlib.crc32(text.encode("utf-8", "surrogatepass"), out[TEXT])
-                out[CHARS] += len(text)
-                out[LINKED] += len(text) if linked else 0
-            continue
-        own, last = generalize(child, linked), out[CHILDREN]
-        if last and last[-1][LABEL] == own[LABEL]:
-            last[-1] = merge(last[-1], own)
-            last[-1][PAGES], last[-1][REPEATED] = 1, True
-        else:
-            last.append(own)
-    return out
-
-
-def merge(a: list, b: list) -> list:
-    """The expression that covers both: like children are matched in order, others become optional."""
-    text = a[TEXT] if a[TEXT] == b[TEXT] else None
-    return [a[LABEL], a[PAGES] + b[PAGES], a[REPEATED] or b[REPEATED], a[OPTIONAL] or b[OPTIONAL], text, a[CHARS] + b[CHARS], a[LINKED] + b[LINKED], _align(a[CHILDREN], b[CHILDREN])]
-
-
-def _align(a: list, b: list) -> list:
-    if [x[LABEL] for x in a] == [x[LABEL] for x in b]:
-        return [merge(x, y) for x, y in zip(a, b, strict=True)]
-    # Longest common subsequence of labels; both sides are short, as runs of like siblings are one node.
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i][LABEL] == b[j][LABEL] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and a[i][LABEL] == b[j][LABEL]:
-            out.append(merge(a[i], b[j]))
-            i, j = i + 1, j + 1
-        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            out.append([*a[i][:OPTIONAL], True, *a[i][TEXT:]])
-            i += 1
-        else:
-            out.append([*b[j][:OPTIONAL], True, *b[j][TEXT:]])
-            j += 1
-    folded: list = []  # neighbours that became alike are one repeated group
-    for x in out:
-        if folded and folded[-1][LABEL] == x[LABEL]:
-            pages = max(folded[-1][PAGES], x[PAGES])
-            folded[-1] = merge(folded[-1], x)
-            folded[-1][PAGES], folded[-1][REPEATED] = pages, True
-        else:
-            folded.append(x)
-    return folded
+_labels = Remembered(lambda key: _label(*key), 20_000)
+_below = Remembered(lambda key: xxhash.xxh3_64_intdigest(f"{key[0]} {key[1]}"), 50_000)
+
+
+class Page:
+    """A page's elements in the order of their open tags, and its texts.
+
+    tags, labels, parents: of each element; 0 is the page. tokens: (element, text) in page order, where a text of None is a border of a block.
+    """
+
+    def __init__(self, html: str) -> None:
+        self.tags, self.labels, self.parents = [""], [""], [-1]
+        self.tokens: list[tuple[int, str | None]] = []
+        stack = [0]
+        opened: dict[str, list[int]] = {}  # places in the stack by tag
+        scopes = [0]  # places in the stack of elements that end tags don't reach beyond
+
+        def close_from(at: int) -> None:
+            while len(stack) > at:
+                tag = self.tags[stack.pop()]
+                opened[tag].pop()
+                if scopes[-1] == len(stack):
+                    scopes.pop()
+                if tag not in INLINE:
+                    self.tokens.append((0, None))
+
+        for m in TOKEN.finditer(html):
+            text = m["text"]
+            if text is not None:
+                self.tokens.append((stack[-1], text))
+                continue
+            tag = m["tag"]
+            if tag is None:
+                continue
+            tag = tag.lower()
+            if tag[0] == "/":
+                tag = tag[1:]
+                if (places := opened.get(tag)) and (tag not in INLINE or places[-1] >= scopes[-1]):
+                    close_from(places[-1])
+                elif tag not in INLINE:
+                    self.tokens.append((0, None))
+                continue
+            closes = CLOSES_SAME.get(tag) or (("p",) if tag in CLOSES_P else ())
+            at = max((opened[t][-1] for t in closes if opened.get(t)), default=-1)
+            if at >= scopes[-1] and at > 0:
+                close_from(at)
+            self.tags.append(tag)
+            self.labels.append(_labels[tag, m["attrs"]])
+            self.parents.append(stack[-1])
+            if tag not in INLINE:
+                self.tokens.append((0, None))
+            if tag not in VOID and not m["attrs"].endswith("/"):
+                opened.setdefault(tag, []).append(len(stack))
+                if tag in SCOPES:
+                    scopes.append(len(stack))
+                stack.append(len(self.tags) - 1)
+        own: dict[int, list[str]] = {}
+        for at, (i, text) in enumerate(self.tokens):
+            if text is not None:
+                if "&" in text:
+                    text = entities.unescape(text)
+                    self.tokens[at] = i, text
+                own.setdefault(i, []).append(text)
+        #: The text of each element that has some of its own, white space as single spaces.
+        self.texts = {i: t for i in sorted(own) if (t := " ".join("".join(own[i]).split()))}
+
+    def __len__(self) -> int:
+        return len(self.tags)
+
+    def passed_down(self, own) -> list[bool]:
+        """For each element whether own(element) holds for it or for one that it lies in."""
+        out: list[bool] = []
+        for i, parent in enumerate(self.parents):
+            out.append((parent >= 0 and out[parent]) or own(i))
+        return out
+
+    def places(self) -> list[int]:
+        """Where each element is in its host's expression."""
+        out = [0]
+        for i in range(1, len(self)):
+            out.append(_below[out[self.parents[i]], self.labels[i]])
+        return out
+
+    def aligned_texts(self, places: list[int]) -> list[tuple[int, dict[str, int]]]:
+        """Each element with text that is aligned, and the labels and places of its text: among its place's texts from the front, and from the end."""
+        by_place: dict[int, list[int]] = {}
+        for i in self.texts:
+            by_place.setdefault(places[i], []).append(i)
+        found = []
+        for place, own in by_place.items():
+            n = len(own)
+            for k in range(min(n, 2 * ENDS)) if n < 2 * ENDS else (*range(ENDS), *range(n - ENDS, n)):
+                found.append((own[k], {f"#{e}": _below[place, f"#{e}"] for e in (k, k - n) if -ENDS <= e < ENDS}))
+        return found
 
 
 def _dropped(label: str, in_region: bool) -> bool:
@@ -185,172 +179,163 @@ def _dropped(label: str, in_region: bool) -> bool:
     return bool(words & BOILERPLATE) and not (tag in ("article", "main", "body") and words & CONTENT)
 
 
-def decide(wrapper: list) -> dict:
-    """Main text by path, as nested {label: decisions}; "+" marks a node whose own text counts. Paths that are missing have none."""
-    region = _regions(wrapper, lambda tag, words: tag == "article") or _regions(wrapper, lambda tag, words: tag == "main" or "main" in words and tag in ("div", "section")) or _regions(wrapper, lambda tag, words: bool(words & CONTENT) and tag in ("div", "section", "td"))
-    if region:
-        return _within(wrapper, region, False, False)
-    found = _densest(wrapper)
-    return _within(wrapper, {id(found)}, False, found[PAGES] > 1 and _varies(found))
-
-
-def _regions(node: list, wanted) -> set[int]:
-    """The outermost wanted nodes that have text and aren't in a dropped one."""
-    found: set[int] = set()
-    for child in node[CHILDREN]:
-        if _dropped(child[LABEL], False):
-            continue
-        tag, _, words = child[LABEL].partition(".")
-        if wanted(tag, set(words.split("."))) and _mass(child):
-            found.add(id(child))
-        else:
-            found |= _regions(child, wanted)
-    return found
-
-
-def _mass(node: list) -> int:
-    """Characters of unlinked text at and below a node, less what is dropped."""
-    return node[CHARS] - node[LINKED] + sum(_mass(c) for c in node[CHILDREN] if not _dropped(c[LABEL], True))
-
-
-def _varies(node: list) -> bool:
-    return node[CHARS] > 0 and node[TEXT] is None or any(_varies(c) for c in node[CHILDREN])
-
-
-def _densest(node: list) -> list:
-    """Down from the root while one child has most of the text."""
-    while True:
-        total = _mass(node)
-        big = [c for c in node[CHILDREN] if not _dropped(c[LABEL], False) and c[LABEL].partition(".")[0] not in ("p", *INLINE) and _mass(c) > 0.6 * total]
-        if not big:
-            return node
-        node = big[0]
-
-
-def _within(node: list, region: set[int], inside: bool, only_slots: bool) -> dict:
-    inside = inside or id(node) in region
-    template = only_slots and node[TEXT] is not None and not node[OPTIONAL] and not node[REPEATED]
-    linked = node[CHARS] > 0 and node[LINKED] == node[CHARS] and node[REPEATED] and only_slots
-    out = {"+": 1} if inside and not template and not linked else {}
-    for child in node[CHILDREN]:
-        if not _dropped(child[LABEL], inside):
-            own = _within(child, region, inside, only_slots)
-            if own:
-                out[child[LABEL]] = own if child[LABEL] not in out else _both(out[child[LABEL]], own)
-    return out
-
-
-def _both(a: dict, b: dict) -> dict:
-    return a | {k: (_both(a[k], v) if k in a and k != "+" else v) for k, v in b.items()}
-
-
-def cut(tree: list, decisions: dict) -> str:
-    """The page's main text: blocks in page order, joined by a space."""
-    pieces: list[str] = []
-    _collect(tree, decisions, pieces)
+_out = Remembered(lambda label: (_dropped(label, False), _dropped(label, True)), 20_000)
+
+
+def _is_article(tag: str, words: set[str]) -> bool:
+    return tag == "article"
+
+
+def _is_main(tag: str, words: set[str]) -> bool:
+    return tag == "main" or "main" in words and tag in ("div", "section")
+
+
+def _is_content(tag: str, words: set[str]) -> bool:
+    return bool(words & CONTENT) and tag in ("div", "section", "td")
+
+
+def main_text(html: str, template: frozenset | set = frozenset()) -> str:
+    """The page's main text: blocks in page order, joined by a space. template: places of its host's template texts."""
+    page = Page(html)
+    texts = page.texts
+    if template:
+        gone = {i for i, keys in page.aligned_texts(page.places()) if not template.isdisjoint(keys.values())}
+        texts = {i: t for i, t in texts.items() if i not in gone}
+    else:
+        gone = set()
+    outside = page.passed_down(lambda i: _out[page.labels[i]][0])
+    linked = page.passed_down(lambda i: page.tags[i] == "a")
+    # Characters of unlinked text at and below an element, less what is dropped.
+    mass = [0] * len(page)
+    for i, t in texts.items():
+        if not linked[i]:
+            mass[i] = len(t)
+    for i in range(len(page) - 1, 0, -1):
+        if not _out[page.labels[i]][1]:
+            mass[page.parents[i]] += mass[i]
+    region: set[int] = set()
+    for wanted in (_is_article, _is_main, _is_content):
+        region = {i for i in range(1, len(page)) if not outside[i] and mass[i] and wanted(page.tags[i], set(page.labels[i].split(".")[1:]))}
+        if region:
+            break
+    else:
+        if any(tag == "article" for tag in page.tags):
+            return ""
+        region = {_densest(page, mass)}
+        if template:  # lists of links
+            times = Counter(own := page.places())
+            gone |= {i for i in texts if linked[i] and times[own[i]] > 2}
+    inside, dropped = [False] * len(page), [False] * len(page)
+    for i, parent in enumerate(page.parents):
+        below = parent >= 0 and inside[parent]
+        inside[i] = below or i in region
+        dropped[i] = parent >= 0 and dropped[parent] or below and _out[page.labels[i]][1]
+    pieces = [" " if text is None else text for i, text in page.tokens if text is None or inside[i] and not dropped[i] and i not in gone]
     return " ".join("".join(pieces).split())
 
 
-def main_text(html: str, decisions: dict) -> str:
-    """The page's text by its host's wrapper; a page without an article, on a host whose pages have one, is judged by its own tree."""
-    tree = parse(html)
-    text = cut(tree, decisions)
-    return text if text or _has_article(tree) else cut(tree, decide(generalize(tree)))
-
-
-def _has_article(node: list) -> bool:
-    return any(not isinstance(c, str) and (c[2] == "article" or _has_article(c)) for c in node[1])
-
-
-def _collect(node: list, decisions: dict, pieces: list[str]) -> None:
-    own = "+" in decisions
-    for child in node[1]:
-        if isinstance(child, str):
-            if own:
-                pieces.append(child)
-            continue
-        block = child[2] not in INLINE
-        if block:
-            pieces.append(" ")
-        if (below := decisions.get(child[0])) is not None:
-            _collect(child, below, pieces)
-        if block:
-            pieces.append(" ")
-
-
-def _dump(node: list) -> str:
-    return json.dumps(node, separators=(",", ":"))
+def _densest(page: Page, mass: list[int]) -> int:
+    """Down from the page while one child has most of the text."""
+    found = 0
+    for i in range(1, len(page)):
+        if page.parents[i] == found and mass[i] > 0.6 * mass[found] and page.tags[i] != "p" and page.tags[i] not in INLINE and not _out[page.labels[i]][0]:
+            found = i
+    return found
 
 
-def _partial_wrappers(pages: DataFrame) -> DataFrame:
-    """Wrappers of each host by partition."""
+def _expressions(pages: DataFrame) -> DataFrame:
+    """The places of each host's expression with their figures, and whether they are template."""
 
     def make():
-        held: dict[str, list] = {}
+        held: dict[tuple, list] = {}
 
         def step(batch):
             for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 if html:
-                    host, own = host_of(url), generalize(parse(html))
-                    held[host] = merge(held[host], own) if host in held else own
+                    _align(held, host_of(url), Page(html))
             return last() if len(held) > HELD else None
 
         def last():
-            rows = {"host": list(held), "salt": [zlib.crc32(_dump(w).encode()) for w in held.values()], "wrapper": [_dump(w) for w in held.values()]}
+            if not held:
+                return None
+            columns = list(map(list, zip(*((*key, *figures) for key, figures in held.items()), strict=True)))
             held.clear()
-            return rows if rows["host"] else None
+            return dict(zip(names, columns, strict=True))
 
         step.last = last
         return step
 
-    return map_rows(pages, ["url", "html"], make, "host string, salt long, wrapper string", text="html")
-
-
-def _merged(partial: DataFrame) -> DataFrame:
-    """One wrapper by host. Rounds of FAN_IN at most each, so no task gathers a host's many partial wrappers."""
-
-    def together(rows):
-        import pandas as pd
+    names = ["host", "place", "parent", "label", "pages", "times", "least", "most", "chars"]
+    found = map_rows(pages, ["url", "html"], make, "host string, place long, parent long, label string, pages long, times long, least long, most long, chars long", text="html")
+    # A host of very many pages comes as a row for each place and task.
+    places = found.groupBy("host", "place").agg(*(F.min(c).alias(c) for c in ("parent", "label", "least")), F.max("most").alias("most"), *(F.sum(c).alias(c) for c in ("pages", "times", "chars")))
+    places = materialize(places, "places")
+    of_host = places.where("place = 0").select("host", F.col("pages").alias("host_pages"), F.col("chars").alias("host_chars"))
+    agrees = F.col("label").startswith("#") & (F.col("least") == F.col("most")) & (F.col("pages") >= LEAST_PAGES) & (2 * F.col("pages") >= F.col("host_pages"))
+    told = places.join(of_host, "host").withColumn("agrees", agrees)
+    share = told.where("agrees").groupBy("host").agg(F.sum("chars").alias("agreed"))
+    return told.join(share, "host", "left").withColumn("template", F.col("agrees") & (2 * F.coalesce("agreed", F.lit(0)) <= F.col("host_chars")))
 
-        total = None
-        for w in rows["wrapper"]:
-            own = json.loads(w)
-            total = own if total is None else merge(total, own)
-        return pd.DataFrame({"host": [rows["host"].iloc[0]], "salt": [int(rows["salt"].min())], "wrapper": [_dump(total)]})
 
-    while True:
-        most = partial.groupBy("host").count().agg(F.max("count").alias("n")).first()["n"] or 1
-        if most == 1:
-            return partial
-        groups = -(-most // FAN_IN)
-        salted = partial.withColumn("group", F.pmod(F.xxhash64("salt", "wrapper"), F.lit(groups)) if groups > 1 else F.lit(0))
-        partial = materialize(salted.groupBy("host", "group").applyInPandas(together, "host string, salt long, wrapper string"), "wrappers")
+def infer_wrappers(pages: DataFrame) -> DataFrame:
+    """host, place, parent, label, pages, optional, repeated, slot, template of each place of each host's expression.
+
+    A text's label is #0, #1 (from the front) or #-1, #-2 (from the end of its group); slot says whether it differs between pages. The row of place 0 counts the host's pages.
+    """
+    places = _expressions(pages)
+    above = places.select("host", F.col("place").alias("parent"), F.col("pages").alias("parent_pages"))
+    slot = F.col("label").startswith("#") & (F.col("least") != F.col("most"))
+    return places.join(above, ["host", "parent"], "left").select("host", "place", "parent", "label", "pages", (F.col("pages") < F.col("parent_pages")).alias("optional"), (F.col("times") > F.col("pages")).alias("repeated"), slot.alias("slot"), "template")
+
+
+def _align(held: dict[tuple, list], host: str, page: Page) -> None:
+    """The page's stream aligned with its host's expression so far, whose places are in held: pages, times, least and greatest hash of a text, characters."""
+    places = page.places()
+    outside = page.passed_down(lambda i: _out[page.labels[i]][0])
+    rows: dict[tuple, list] = {(host, 0, 0, ""): [1, 1, 0, 0, sum(len(t) for i, t in page.texts.items() if not outside[i])]}
+    for i in range(1, len(page)):
+        key = host, _signed(places[i]), _signed(places[page.parents[i]]), page.labels[i]
+        if key in rows:
+            rows[key][1] += 1
+        else:
+            rows[key] = [1, 1, 0, 0, 0]
+    for i, keys in page.aligned_texts(places):
+        text = page.texts[i]
+        hashed, chars = _signed(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))), 0 if outside[i] else len(text)
+        for label, k in keys.items():
+            rows[host, _signed(k), _signed(places[i]), label] = [1, 1, hashed, hashed, chars]
+            chars = 0  # a text counts once, however it is aligned
+    for key, own in rows.items():
+        if key in held:
+            old = held[key]
+            held[key] = [old[0] + own[0], old[1] + own[1], min(old[2], own[2]), max(old[3], own[3]), old[4] + own[4]]
+        else:
+            held[key] = own
 
 
-def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (JSON) for each host."""
-    return _merged(materialize(_partial_wrappers(pages), "partial-wrappers")).select("host", "wrapper")
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages."""
     spark = pages.sparkSession
-    decisions = map_rows(infer_wrappers(pages), ["host", "wrapper"], lambda: lambda b: {"host": b.column("host"), "decisions": [_dump(decide(json.loads(w))) for w in b.column("wrapper").to_pylist()]}, "host string, decisions string", text="wrapper")
-    decisions = materialize(decisions, "decisions")
-    size = decisions.agg(F.sum(F.octet_length("host") + F.octet_length("decisions") + 200).alias("b")).first()["b"] or 0
-    sent = spark.sparkContext.broadcast({r["host"]: json.loads(r["decisions"]) for r in decisions.collect()} if size <= BROADCAST_BYTES else None)
+    # A host has no more template places than half of its pages have on average.
+    template = _expressions(pages).where("template").groupBy("host").agg(F.collect_list("place").alias("places"))
+    template = materialize(template, "templates")
+    size = template.agg(F.sum(F.octet_length("host") + 64 * F.size("places") + 200).alias("b")).first()["b"] or 0
+    sent = spark.sparkContext.broadcast({r["host"]: frozenset(x % (1 << 64) for x in r["places"]) for r in template.collect()} if size <= BROADCAST_BYTES else None)
 
     def make():
         known = sent.value
-        loaded = Remembered(json.loads, 10_000)
 
         def step(batch):
             urls, htmls = batch.column("url"), batch.column("html").to_pylist()
             if known is not None:
-                own = [known.get(host_of(u), {}) for u in urls.to_pylist()]
+                own = [known.get(host_of(u), frozenset()) for u in urls.to_pylist()]
             else:
-                own = [loaded[d] if d else {} for d in batch.column("decisions").to_pylist()]
-            texts = [main_text(h, d) if h else "" for h, d in zip(htmls, own, strict=True)]
+                own = [{x % (1 << 64) for x in p or ()} for p in batch.column("places").to_pylist()]
+            texts = [main_text(h, t) if h else "" for h, t in zip(htmls, own, strict=True)]
             return {"page_id": batch.column("page_id"), "url": urls, "text": texts, "n_chars": [len(t) for t in texts]}
 
         return step
@@ -358,5 +343,4 @@ def extract(pages: DataFrame) -> DataFrame:
     if sent.value is not None:
         return map_rows(pages, ["page_id", "url", "html"], make, SCHEMA, text="html")
     hosts = map_rows(pages, ["page_id", "url", "html"], lambda: lambda b: {c: b.column(c) for c in ("page_id", "url", "html")} | {"host": [host_of(u) for u in b.column("url").to_pylist()]}, "page_id long, url string, html string, host string", text="html")
-    joined = hosts.join(decisions, "host", "left")
-    return map_rows(joined, ["page_id", "url", "html", "decisions"], make, SCHEMA, text="html")
+    return map_rows(hosts.join(template, "host", "left"), ["page_id", "url", "html", "places"], make, SCHEMA, text="html")

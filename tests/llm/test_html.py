@@ -1,3 +1,7 @@
+import random
+import time
+from html.parser import HTMLParser
+
 import pytest
 
 from sieveline.llm import html_extraction as H
@@ -34,12 +38,68 @@ def test_wrappers_tell_template_from_slots(spark):
         assert text == f"Story {i} is {'long ' * (20 + i)}. More of {i}."
 
 
-def test_folding_in_any_order_covers_all_pages():
-    trees = [H.generalize(H.parse(page(b))) for b in ("<p>a</p>", "<p>a</p><ul><li>1<li>2</ul>", "<h2>t</h2><p>b</p><p>c</p>", "<ul><li>3</ul>")]
-    one = H.merge(H.merge(trees[0], trees[1]), H.merge(trees[2], trees[3]))
-    body = one[H.CHILDREN][0][H.CHILDREN][1]
-    assert [(c[H.LABEL], c[H.REPEATED], c[H.OPTIONAL]) for c in body[H.CHILDREN]] == [("h2", False, True), ("p", True, True), ("ul", False, True)]
-    assert one[H.PAGES] == 4 and body[H.CHILDREN][1][H.TEXT] is None
+def sentence(i, n=14):
+    draw = random.Random(i)
+    return " ".join("".join(draw.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+
+
+@pytest.mark.parametrize("fan", [1, 7])
+def test_boilerplate_without_a_telling_class_or_tag(spark, fan):
+    """Pages put together of known parts: what they share at one place goes, also in an article and between paragraphs; what differs stays."""
+    rows, want = [], []
+    for i in range(30):
+        own = [sentence(100 * i + k) for k in range(2 + i % 4)]
+        promo = "<section><b>Read us daily</b></section>" if i % 3 else ""
+        rows.append((f"http://b.example/{i}", page(f"<article><div>By the desk</div><h1>{sentence(9000 + i, 4)}</h1><p>Please sign in to reply.</p>{promo}" + "".join(f"<p>{x}</p>" for x in own) + "<p>All of it is ours.</p></article>")))
+        want.append(" ".join([sentence(9000 + i, 4), *own]))
+    df = spark.createDataFrame([(i, u, h, "x", "y") for i, (u, h) in enumerate(rows)], SCHEMA).repartition(fan)
+    assert [r.text for r in sorted(H.extract(df).collect(), key=lambda r: r.page_id)] == want
+    wrapper = {(r.label, r.optional, r.repeated, r.slot, r.template) for r in H.infer_wrappers(df).collect()}
+    assert {("section", True, False, False, False), ("p", False, True, False, False), ("#-1", False, False, False, True), ("#1", False, False, True, False)} <= wrapper
+
+
+def test_copies_and_few_pages_keep_their_texts(spark):
+    same = page(f"<article><h1>Title</h1><p>{sentence(1)}</p></article>")
+    rows = [("http://s.example/%d" % i, same) for i in range(8)] + [("http://f.example/%d" % i, page(f"<article><p>{sentence(i)}</p><p>Shared.</p></article>")) for i in range(4)]
+    found = texts(spark, rows)
+    assert found == [f"Title {sentence(1)}"] * 8 + [f"{sentence(i)} Shared." for i in range(4)]
+
+
+class Plain(HTMLParser):
+    """Text of articles, without inline elements' borders."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.out = 0, []
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        self.out += [] if tag in H.INLINE else [" "]
+
+    def handle_endtag(self, tag):
+        self.depth -= tag == "article"
+        self.out += [] if tag in H.INLINE else [" "]
+
+    def handle_data(self, data):
+        self.out += [data] if self.depth else []
+
+
+def test_all_pages_equal_a_plain_parser(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    html = {r.page_id: r.html for r in pages.collect()}
+    for r in H.extract(pages).collect():
+        plain = Plain()
+        plain.feed(html[r.page_id])
+        plain.close()
+        assert r.text == " ".join("".join(plain.out).split()) and r.n_chars == len(r.text)
+
+
+@pytest.mark.parametrize("html", ["<div>" * 100_000 + "x", "<div>" * 100_000 + "x" + "</div>" * 100_000, "<b><div>" + "<i>" * 100_000 + "</b>" * 100_000 + "x", "<a '" * 50_000, "<p>x" * 50_000, "<td><th>" * 50_000 + "x", "<!--" * 100_000, "<p class='" * 50_000, "<p " * 100_000])
+def test_odd_markup_stays_linear(html):
+    began = time.process_time()
+    assert set(H.main_text(html, frozenset({1}))) <= {"x", " "}
+    H._align({}, "h", H.Page(html))
+    assert time.process_time() - began < 10
 
 
 def test_pages_without_the_hosts_article(spark):
@@ -59,5 +119,5 @@ def test_joining_by_host_is_the_same(spark, monkeypatch):
     rows = [("http://h%d.example/%d" % (i % 3, i), page(f"<article>text {i}</article>")) for i in range(12)]
     want = texts(spark, rows)
     monkeypatch.setattr(H, "BROADCAST_BYTES", 10)
-    monkeypatch.setattr(H, "FAN_IN", 2)
+    monkeypatch.setattr(H, "HELD", 2)
     assert texts(spark, rows) == want
