@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: Rows of a batch that Python holds at once, and characters of text after which a batch ends.
 BATCH_ROWS = 2_000
 BATCH_CHARS = 2_000_000
+#: Characters of the longest text that a cache keeps.
+LONGEST_KEY = 40
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -104,19 +106,30 @@ def map_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable], sc
 DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def keep_rows(docs: DataFrame, make: Callable[[], Callable]) -> DataFrame:
-    """The rows of docs, with the columns of documents, for whose texts make()(texts) says so."""
+def keep_batches(docs: DataFrame, make: Callable[[], Callable]) -> DataFrame:
+    """The rows of docs, with the columns of documents, for which make()(batch) says so."""
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
 
     def filtering():
         keeps = make()
 
         def step(batch):
-            mask = pa.array([bool(x) for x in keeps(batch.column("text").to_pylist())], pa.bool_())
-            return {c: batch.column(c).filter(mask) for c in ("doc_id", "text", "lang", "source", "n_chars")}
+            kept = batch.filter(pa.array(keeps(batch), pa.bool_()))
+            return {c: kept.column(c) for c in columns}
 
         return step
 
-    return map_rows(docs, ["doc_id", "text", "lang", "source", "n_chars"], filtering, DOCUMENT)
+    return map_rows(docs, columns, filtering, DOCUMENT)
+
+
+def keep_rows(docs: DataFrame, make: Callable[[], Callable]) -> DataFrame:
+    """As keep_batches, by the texts alone: make()(texts)."""
+
+    def by_text():
+        keeps = make()
+        return lambda batch: [bool(x) for x in keeps(batch.column("text").to_pylist())]
+
+    return keep_batches(docs, by_text)
 
 
 def fold(doc_id) -> int:
@@ -130,14 +143,23 @@ def fold_column(doc_id: str = "doc_id"):
 
 
 class Remembered(dict):
-    """A bounded cache as a dict: a missing key is computed; when full it starts anew."""
+    """A bounded cache as a dict: a missing key is computed. It holds two generations of half of `most` each: what is asked for again stays.
+
+    Long texts aren't kept as keys, so that the cache is bounded in bytes too.
+    """
 
     def __init__(self, compute: Callable, most: int) -> None:
         super().__init__()
-        self.compute, self.most = compute, most
+        self.compute, self.half, self.before = compute, most // 2, {}
 
     def __missing__(self, key):
-        if len(self) >= self.most:
+        value = self.before.get(key, self)
+        if value is self:
+            value = self.compute(key)
+            if type(key) is str and len(key) > LONGEST_KEY:
+                return value
+        if len(self) >= self.half:
+            self.before = dict(self)
             self.clear()
-        value = self[key] = self.compute(key)
+        self[key] = value
         return value

@@ -30,66 +30,13 @@ from pyspark.sql import functions as F
 
 from sieveline.llm.common import DOCUMENT, map_rows, materialize
 from sieveline.llm.components import connected_components
+from sieveline.llm.filters import as_it_is, filter_of, in_filter
+from sieveline.llm.words import A, mixed, words_in
 
 #: Documents that a centre is multiplied with in a task, bytes of sets and documents of a chunk of a cluster.
 CHUNK, CHUNK_BYTES, CHUNK_ROWS = 192, 8_000_000, 1_000
 #: Sets that a task remembers as seen; it forgets them all when there are more.
 SEEN = 100_000
-#: Bytes of a word that are hashed eight at a time with those of all other words; longer words are hashed alone.
-LONG_WORD = 64
-#: Bits of a filter of ids or marks, at least and at most; it is broadcast.
-LEAST_BITS, MOST_BITS = 1 << 20, 1 << 26
-
-_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * _C
-    x = (x ^ (x >> np.uint64(29))) * _B
-    return x ^ (x >> np.uint64(32))
-
-
-#: A-Z as a-z and every white space of the words' definition as a space.
-_BYTES = np.array([32 if b in (9, 10, 11, 12, 13) else b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
-#: The first k bytes of eight.
-_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
-
-
-def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a column's texts, one after the other, and where each starts and the last one ends."""
-    column = column.fill_null("") if column.null_count else column
-    wide = pa.types.is_large_string(column.type)
-    _, places, data = column.buffers()
-    if not len(column) or data is None:
-        return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
-    at = np.frombuffer(places, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
-
-
-def hashed_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all words of a column's texts, and where each text's begin and the last one's end. No word becomes an object."""
-    data, at = text_bytes(column)
-    data = _BYTES[data]
-    inside = data != 32
-    before = np.concatenate(([False], inside[:-1]))
-    before[at[:-1][at[:-1] < len(data)]] = False
-    after = np.concatenate((inside[1:], [False]))
-    after[(at[1:] - 1)[at[1:] > at[:-1]]] = False
-    starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    lengths = ends - starts
-    padded = np.concatenate((data, np.zeros(8, np.uint8)))
-    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
-    found = lengths.astype(np.uint64) * _B
-    left = np.arange(len(starts))
-    for k in range(0, LONG_WORD, 8):
-        left = left[lengths[left] > k]
-        if not len(left):
-            break
-        own = eight[starts[left] + k] & _FIRST[np.minimum(lengths[left] - k, 8)]
-        found[left] = _mixed((found[left] ^ own) * _A)
-    for i in np.flatnonzero(lengths > LONG_WORD).tolist():
-        found[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
-    return found, np.searchsorted(starts, at)
 
 
 class Shingler:
@@ -100,7 +47,7 @@ class Shingler:
 
     def __call__(self, column: pa.Array) -> list[np.ndarray]:
         """The set of each text of a column."""
-        h, at = hashed_words(column)
+        _, _, _, h, at = words_in(column)
         whole = self._windows(h, self.width) if len(h) >= self.width else None
         sets = []
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
@@ -115,7 +62,7 @@ class Shingler:
         n = len(h) - width + 1
         total = np.full(n, width, np.uint64)
         for k in range(width):
-            total = _mixed(total * _A + h[k : n + k])
+            total = mixed(total * A + h[k : n + k])
         return total
 
 
@@ -143,14 +90,14 @@ class Sizes:
 
 def signatures(own: np.ndarray, sizes: Sizes) -> np.ndarray:
     """64-bit signatures of the set's ranges, as a set of its own size class and as the smaller of a pair with one of the next."""
-    ahead = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mixed(own + _A), dtype=np.uint64)))
+    ahead = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(own + A), dtype=np.uint64)))
     found, mine = [], sizes.of(len(own))
     for size_class in (mine, mine + 1):
         k, spare = sizes.ranges(size_class)
         edges = (np.arange(1, k, dtype=np.uint64)) * np.uint64((1 << 64) // max(2, k))
         at = np.concatenate(([0], np.searchsorted(own, edges), [len(own)]))
         sums = ahead[at[1:]] - ahead[at[:-1]]
-        marks = _mixed(sums + _mixed(np.arange(k, dtype=np.uint64) + np.uint64(size_class << 32)))
+        marks = mixed(sums + mixed(np.arange(k, dtype=np.uint64) + np.uint64(size_class << 32)))
         filled = at[1:] > at[:-1]
         found.append(marks if k - filled.sum() > spare else marks[filled])
     return np.concatenate(found)
@@ -191,48 +138,6 @@ def block_product(rows: list[np.ndarray], columns: list[np.ndarray], percent: in
     return found
 
 
-def _bits(ids: DataFrame, hashes: int = 3) -> tuple[np.ndarray, int]:
-    """A Bloom filter of the one column of ids as words of 64 bits. Its size is bounded, whatever there is in it: when it is full it only lets more pass."""
-    (column,) = ids.columns
-    size = max(LEAST_BITS, min(MOST_BITS, 1 << (16 * ids.count()).bit_length()))
-    places = ids.select(F.explode(F.array(*_places(column, size, hashes))).alias("p"))
-    words = places.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("bits")).toArrow()
-    out = np.zeros(size >> 6, np.int64)
-    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    return out.view(np.uint64), size
-
-
-def _places(column: str, size: int, hashes: int = 3) -> list:
-    return [F.pmod(F.xxhash64(column, F.lit(k)), F.lit(size)) for k in range(hashes)]
-
-
-def _filtered(rows: DataFrame, column: str, ids: tuple[np.ndarray, int], columns: list[str], schema: str, make, text: str, inside: bool = True) -> DataFrame:
-    """make()(batch) of the rows whose column is in the filter `ids`, or of the others: those in it are all that went in and a few more."""
-    bits, size = ids
-    sent = rows.sparkSession.sparkContext.broadcast(bits)
-    names = ["place0", "place1", "place2"]
-
-    def filtering():
-        step, words = make(), sent.value
-
-        def filtered(batch):
-            found = np.ones(batch.num_rows, bool)
-            for name in names:
-                p = batch.column(name).to_numpy().astype(np.uint64)
-                found &= (words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
-            some = batch.filter(pa.array(found == inside))
-            return step(some) if some.num_rows else None
-
-        return filtered
-
-    placed = rows.select(*columns, *(p.alias(name) for name, p in zip(names, _places(column, size), strict=True)))
-    return map_rows(placed, [*columns, *names], filtering, schema, text=text)
-
-
-def _as_it_is(columns: list[str]):
-    return lambda: lambda batch: {c: batch.column(c) for c in columns}
-
-
 def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """doc_id, grams of the documents in ids(doc), and of a few others. Joins on doc_id leave the others out."""
 
@@ -240,7 +145,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
         shingled = Shingler()
         return lambda batch: {"doc_id": batch.column("doc_id"), "grams": [own.tobytes() for own in shingled(batch.column("text"))]}
 
-    return _filtered(docs, "doc_id", _bits(ids), ["doc_id", "text"], "doc_id long, grams binary", make, text="text")
+    return in_filter(docs, "doc_id", filter_of(ids), ["doc_id", "text"], "doc_id long, grams binary", make, text="text")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -294,7 +199,7 @@ def _blocks(entries: DataFrame) -> DataFrame:
     """
     counted = entries.groupBy("mark").agg(F.min("doc").alias("x"), F.max("doc").alias("y"), F.count("*").alias("c")).where("x <> y")
     shared = materialize(counted.select("mark", F.xxhash64("x", "y", "c").alias("block")), "shared-marks")
-    some = _filtered(entries, "mark", _bits(shared.select("mark")), ["mark", "doc"], "mark long, doc long", _as_it_is(["mark", "doc"]), text="mark")
+    some = in_filter(entries, "mark", filter_of(shared.select("mark")), ["mark", "doc"], "mark long, doc long", as_it_is(["mark", "doc"]), text="mark")
     return some.join(shared, "mark").select("block", "doc").distinct()
 
 
@@ -450,9 +355,9 @@ def one_of_each(docs: DataFrame, percent: int = 90) -> DataFrame:
     found = materialize(_components(docs, figures, percent).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows")), "verdicts")
     doubtful = found.where("doc_id <> component_id OR rows > 1")
     known = docs.where("doc_id IS NOT NULL")
-    ids = _bits(doubtful.select("doc_id"))
-    some = materialize(_filtered(known, "doc_id", ids, columns, DOCUMENT, _as_it_is(columns), text="text"), "doubtful")
+    ids = filter_of(doubtful.select("doc_id"))
+    some = materialize(in_filter(known, "doc_id", ids, columns, DOCUMENT, as_it_is(columns), text="text"), "doubtful")
     # The filter lets a few others pass: they come with their verdicts too.
     heads = some.join(found.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*columns[1:])).alias("row"))
-    rest = _filtered(known, "doc_id", ids, columns, DOCUMENT, _as_it_is(columns), text="text", inside=False)
+    rest = in_filter(known, "doc_id", ids, columns, DOCUMENT, as_it_is(columns), text="text", inside=False)
     return rest.unionByName(heads.select("doc_id", "row.*").select(columns)).unionByName(docs.where("doc_id IS NULL").select(columns))
