@@ -12,18 +12,25 @@ from __future__ import annotations
 import json
 import re
 import struct
+from array import array
 
 from sieveline.llm.common import Remembered
 
 #: Last code point of the range in which classes of letters, numbers and white space are taken from Python's tables.
 SAFE_END = 0x24F
 #: Entries of a worker's caches of space-led parts and of pre-tokens.
-PARTS, PIECES = 600_000, 300_000
+PARTS, PIECES = 600_000, 100_000
 
 # Fixed value: the pre-token pattern of byte-level BPE files.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+_ONE = struct.Struct("<I").pack
+
+#: The same for a part of printable ASCII with the space before it.
+_ascii_pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ A-Za-z0-9]+").findall
+
+
 def _byte_alphabet() -> dict[str, int]:
     """The printable stand-in character of each byte, to the byte: printable Latin-1 stands for itself, the rest follows from 256 on."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -71,8 +78,9 @@ class Bpe:
         self.pieces_of = regex.compile(PRE_TOKEN).findall
         self.merge = tiktoken.Encoding("ranks", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary if self.fast else None
         self.unproved = {bytes(alphabet[c] for c in t).decode(errors="replace") for t in spec["model"]["vocab"] if all(c in alphabet for c in t)} - whole.keys()
+        self.plain = not any(t.isalpha() for t in special)
         self.piece_ids = Remembered(self._piece_ids, PIECES)
-        self.part_ids = Remembered(lambda part: self._part(" " + part, part), PARTS)
+        self.part_ids = Remembered(self._part_ids, PARTS)
         self.part_counts = Remembered(self._part_count, PARTS)
 
     def _library(self, text: str) -> bytes:
@@ -82,22 +90,32 @@ class Bpe:
     def _piece_ids(self, piece: str) -> bytes:
         token = self.whole.get(piece)
         if token is not None:
-            return struct.pack("<I", token)
+            return _ONE(token)
         if piece in self.unproved:
             return self._library(piece)
-        ids = self.merge(piece)
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return array("I", self.merge(piece)).tobytes()
 
-    def _part(self, text: str, after_space: str | None = None) -> bytes | None:
-        """Packed ids of a part; None where its border isn't surely one of a pre-token."""
-        if after_space is not None and (not after_space or after_space[0].isspace()):
-            return None
+    def _part(self, text: str) -> bytes:
+        """Packed ids of a text's beginning or, with the space before it, of a part."""
         if self.odd(text):
             return self._library(text)
         return b"".join(map(self.piece_ids.__getitem__, self.pieces_of(text)))
 
+    def _part_ids(self, part: str) -> bytes | None:
+        """Packed ids of a part after a space; None where its border isn't surely one of a pre-token."""
+        text = " " + part
+        if part.isascii() and part.isprintable():
+            if self.plain and part.isalpha():  # one pre-token
+                return self._piece_ids(text)
+            if part and not self.odd(text):
+                return b"".join(map(self.piece_ids.__getitem__, _ascii_pieces(text)))
+        return None if not part or part[0].isspace() else self._part(text)
+
     def _part_count(self, part: str) -> int | None:
-        packed = self._part(" " + part, part)
+        text = " " + part
+        if self.plain and part.isascii() and part.isalpha() and text not in self.unproved:
+            return 1 if text in self.whole else len(self.merge(text))
+        packed = self._part_ids(part)
         return None if packed is None else len(packed) // 4
 
     def packed(self, text: str) -> bytes:

@@ -11,14 +11,16 @@ repeated rows; a null doc_id stays null and counts as held out; other columns ar
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import fold, fold_column, keep_rows, map_rows
+from sieveline.llm.common import fold, fold_column, keep_batches, map_rows
 from sieveline.llm.ngrams import AT_ONCE, PartTable, hashed_ngrams
 
 BUCKETS = 1 << 16
@@ -37,16 +39,30 @@ SCRIPT_RANGES = [
 ]
 _STARTS = [start for start, _ in SCRIPT_RANGES]
 SCRIPTS = sorted({name for _, name in SCRIPT_RANGES})
+_SCRIPT_NUMBERS = np.array([SCRIPTS.index(name) for _, name in SCRIPT_RANGES])
 
 
 def script_of(c: str) -> str:
     return SCRIPT_RANGES[bisect_right(_STARTS, ord(c)) - 1][1]
 
 
+_ascii_letters = re.compile("[a-z]+").findall
+
+
+def main_scripts(words: list[str]) -> np.ndarray:
+    """The number in SCRIPTS of the script that most of each word's letters have; none of the words is empty."""
+    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    owner = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
+    script = _SCRIPT_NUMBERS[np.searchsorted(_STARTS, codes, "right") - 1]
+    return np.bincount(owner * len(SCRIPTS) + script, minlength=len(words) * len(SCRIPTS)).reshape(len(words), len(SCRIPTS)).argmax(axis=1)
+
+
 def letters_of(chunk: str) -> list[str]:
     """The runs of letters in lower case."""
     if chunk.isalpha():
         return [chunk.lower()]
+    if chunk.isascii():
+        return _ascii_letters(chunk.lower())
     return "".join(c if c.isalpha() else " " for c in chunk).lower().split()
 
 
@@ -78,7 +94,7 @@ class Model:
         self.logs = np.log(own / own.sum(axis=0)).astype(np.float32)
         letters = n[BUCKETS:]
         share = letters / np.maximum(1.0, letters.sum(axis=0))
-        self.candidates = {s: share[i] >= 0.01 for i, s in enumerate(SCRIPTS)}
+        self.candidates = share >= 0.01  # by script and language
 
     def words(self, words: list[str]) -> np.ndarray:
         """Scores by word and language; languages that never use the word's script get none of its evidence and a fixed loss."""
@@ -88,8 +104,7 @@ class Model:
             return scores
         first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
         scores[owner[first]] = np.add.reduceat(self.logs[bucket], first, axis=0) / 3.0
-        scripts = ["latin" if w.isascii() else Counter(map(script_of, w)).most_common(1)[0][0] for w in words]
-        narrowed = np.array([self.candidates[s] for s in scripts])
+        narrowed = self.candidates[main_scripts(words)]
         scores -= np.where(narrowed, scores, -np.inf).max(axis=1, initial=-1e30)[:, None]
         scores = np.where(narrowed, np.maximum(scores, -20.0), -30.0)
         return np.where(narrowed.any(axis=1)[:, None], scores, 0.0).astype(np.float32)
@@ -126,7 +141,7 @@ class Labeller:
         total = np.concatenate(([0.0], np.cumsum(rest.max(axis=1) - scores[:, best], dtype=np.float64)))
         return float((total - np.minimum.accumulate(total)).max()) <= self.penalty
 
-    def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
+    def __call__(self, texts: pa.Array) -> list[tuple[str, float]]:
         """Language and score of each text."""
         numbers = self.table.numbers(texts)
         return [self._one(self.table.rows[at]) for at in numbers]
@@ -145,7 +160,7 @@ class Labeller:
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         """(first word, end word, language) of the text's spans; words are its space-separated parts."""
-        (at,) = self.table.numbers([text])
+        (at,) = self.table.numbers(pa.array([text]))
         rows = self.table.rows[at]
         path = self.path(rows[:, :-1]) if len(rows) else np.zeros(0, int)
         edges = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
@@ -184,7 +199,7 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS) -> Model:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if text:
                     counts.setdefault(lang, Counter()).update(text.split())
-            if sum(map(len, counts.values())) > 500_000:
+            if sum(map(len, counts.values())) > 100_000:
                 return last()
             return None
 
@@ -227,7 +242,7 @@ def identify(docs: DataFrame, max_rows: int = MAX_ROWS, penalty: float = SWITCH_
         label = Labeller(sent.value, penalty)
 
         def step(batch):
-            found = label(batch.column("text").to_pylist())
+            found = label(batch.column("text"))
             return {"doc_id": batch.column("doc_id"), "held_out": [fold(d) == 2 for d in batch.column("doc_id").to_pylist()], "lang_pred": [x for x, _ in found], "score": [x for _, x in found]}
 
         return step
@@ -241,6 +256,6 @@ def accepted(docs: DataFrame, least: float = 0.25, max_rows: int = MAX_ROWS, pen
 
     def make():
         label = Labeller(sent.value, penalty)
-        return lambda texts: [lang != "und" and score >= least for lang, score in label(texts)]
+        return lambda batch: [lang != "und" and score >= least for lang, score in label(batch.column("text"))]
 
-    return keep_rows(docs, make)
+    return keep_batches(docs, make)

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+
+from sieveline.llm.words import AS_WRITTEN, words_in
 
 #: Words whose n-grams are in memory at once.
 AT_ONCE = 40_000
@@ -47,38 +51,38 @@ def hashed_ngrams(words: list[str], sizes: tuple[int, ...], buckets: int, whole:
 
 
 class PartTable:
-    """Figures of the space-separated parts of texts. Parts that are new in a batch get theirs together; when full it starts anew."""
+    """Figures of the parts of texts between ASCII white space. Parts that are new in a batch get theirs together; when there are too many, those that were not met
+    again go."""
 
-    def __init__(self, figures: Callable[[list[str]], np.ndarray], most: int = 300_000) -> None:
+    def __init__(self, figures: Callable[[list[str]], np.ndarray], most: int = 200_000) -> None:
         self.figures, self.most = figures, most
-        self._start()
-
-    def _start(self) -> None:
-        self.index, self.rows = _Numbers(), self.figures([])
+        self.index: dict[int, int] = {}
+        self.rows = figures([])
+        self.used = np.zeros(0, np.int32)
 
-    def numbers(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The numbers in `rows` of each text's parts."""
+    def numbers(self, texts: pa.Array) -> list[np.ndarray]:
+        """The numbers in `rows` of each text's parts; they hold until the next call."""
         if len(self.index) > self.most:
-            self._start()
-        at = [self._numbers(t.split() if t else []) for t in texts]
-        if self.index.fresh:
-            fresh = self.index.fresh
-            self.rows = np.concatenate([self.rows, *(self.figures(fresh[a : a + AT_ONCE]) for a in range(0, len(fresh), AT_ONCE))])
-            self.index.fresh = []
-        return at
-
-    def _numbers(self, parts: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.index.__getitem__, parts), np.int64, len(parts))
-
-
-class _Numbers(dict):
-    """Numbers in order of first use; `fresh` has the keys that are new."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.fresh: list[str] = []
-
-    def __missing__(self, key: str) -> int:
-        self.fresh.append(key)
-        n = self[key] = len(self)
-        return n
+            self._forget()
+        words = words_in(texts, AS_WRITTEN)
+        hashes, first, back = np.unique(words.hashes, return_index=True, return_inverse=True)
+        numbers = np.fromiter(map(self.index.get, hashes.tolist(), repeat(-1)), np.int64, len(hashes))
+        fresh = np.flatnonzero(numbers < 0)
+        if len(fresh):
+            numbers[fresh] = np.arange(len(fresh)) + len(self.rows)
+            self.index.update(zip(hashes[fresh].tolist(), numbers[fresh].tolist(), strict=True))
+            data, place = words.data.tobytes(), first[fresh]
+            parts = [data[a:b].decode(errors="replace") for a, b in zip(words.starts[place].tolist(), words.ends[place].tolist(), strict=True)]
+            self.rows = np.concatenate([self.rows, *(self.figures(parts[a : a + AT_ONCE]) for a in range(0, len(parts), AT_ONCE))])
+            self.used = np.concatenate([self.used, np.zeros(len(fresh), np.int32)])
+        self.used[numbers] += 1
+        return np.split(numbers[back], words.at[1:-1])
+
+    def _forget(self) -> None:
+        """Parts that only one batch had go; of the others no more than half of `most` stay, the most frequent ones."""
+        bound = max(2, int(np.partition(self.used, -(self.most // 2))[-(self.most // 2)]) + 1)
+        kept = np.flatnonzero(self.used >= bound)
+        places = np.full(len(self.rows), -1)
+        places[kept] = np.arange(len(kept))
+        self.index = {h: int(n) for h, i in self.index.items() if (n := places[i]) >= 0}
+        self.rows, self.used = self.rows[kept], np.zeros(len(kept), np.int32)

@@ -124,7 +124,7 @@ class Model:
         owner = np.array(owner, np.int64)
         return np.stack([np.bincount(owner, weights=self.words(words), minlength=len(chunks)), np.bincount(owner, minlength=len(chunks))], axis=1)
 
-    def logits(self, table: PartTable, texts: list[str | None]) -> np.ndarray:
+    def logits(self, table: PartTable, texts: pa.Array) -> np.ndarray:
         return self.bias + self.slope * np.array([self._mean(table, at) for at in table.numbers(texts)])
 
     @staticmethod
@@ -214,7 +214,7 @@ def score(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, threshol
         seen = PartTable(model.parts) if model else None
 
         def step(batch):
-            texts = batch.column("text").to_pylist()
+            texts = batch.column("text")
             scores = 1 / (1 + np.exp(-np.clip(model.logits(seen, texts), -60, 60))) if model else np.zeros(len(texts))
             scores = scores.tolist()
             return {"doc_id": batch.column("doc_id"), "held_out": [fold(d) == 2 for d in batch.column("doc_id").to_pylist()], "score": scores, "predicted": [int(x >= threshold) for x in scores]}
