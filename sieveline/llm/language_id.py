@@ -4,7 +4,7 @@ Each word's script narrows the languages that it may be in; character n-grams sc
 a penalty for each switch (Viterbi) cuts it into spans of one language; the language with the most letters is the text's. A text
 whose best labelling provably has one language, as no stretch of words gains more than a switch costs, needs no full Viterbi pass.
 
-The model is fitted to a bounded sample of labelled rows (`max_rows`, chosen by a hash of doc_id). Null texts and texts without a letter
+The model is fitted to a bounded sample of labelled rows (`max_rows`, chosen by a hash of doc_id and text). Null texts and texts without a letter
 are `und`, score 0. Rows with a null label are not learnt from. Without any labelled row all texts are `und`. Repeated rows give
 repeated rows; a null doc_id stays null and counts as held out; other columns are not read.
 """
@@ -190,7 +190,8 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     labelled = docs.where(F.col("lang").isNotNull() & (fold_column() != 2))
     n = labelled.count()
     share = int(min(1.0, max_rows / max(1, n)) * (1 << 30))
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 30)) < share)
+    # By id and text, so that neither a repeated id nor a repeated text is all of the sample or none; what is collected are sums by language and bucket.
+    sample = labelled.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(8)), F.lit(1 << 30)) < share)
 
     def make():
         counts: dict[str, Counter] = {}

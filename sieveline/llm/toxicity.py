@@ -7,7 +7,8 @@ number for each n-gram, and a worker remembers the numbers of the words it has s
 
 The model is fitted to a bounded sample of labelled rows (`max_rows` of each label, chosen by a hash of doc_id); rows that the sample has too
 many of weigh less, so scores keep the labels' rates. Null texts are empty; empty texts get the score of the labels' rate.
-Rows of labels with null doc_id or label aren't learnt from; of several labels of a doc_id the largest counts. Repeated rows give repeated rows,
+Rows of labels with null doc_id or label aren't learnt from; of several labels of a doc_id the largest counts, of several rows of a sampled doc_id one, so
+the sample is bounded however often they repeat. Repeated rows give repeated rows,
 a null doc_id stays null and counts as held out, other columns are not read. Without labelled rows all scores are 0.
 """
 
@@ -155,13 +156,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model |
         wanted = sent.value
 
         def step(batch):
-            rows = [(d, Counter(words_in(t.lower()))) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) if d in wanted and t]
-            return {"doc_id": [d for d, _ in rows], "words": [list(c) for _, c in rows], "n": [list(c.values()) for _, c in rows]} if rows else None
+            rows = [(d, sorted(Counter(words_in(t.lower())).items())) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) if d in wanted and t]
+            return {"doc_id": [d for d, _ in rows], "words": [[w for w, _ in c] for _, c in rows], "n": [[n for _, n in c] for _, c in rows]} if rows else None
 
         return step
 
     ids = docs.where(F.col("doc_id").isNotNull())
-    found = map_rows(ids, ["doc_id", "text"], make, "doc_id long, words array<string>, n array<int>").toArrow().combine_chunks()
+    # A row for each sampled id, whatever the number of rows that have it; in order, so that the fit doesn't depend on the partitioning.
+    found = map_rows(ids, ["doc_id", "text"], make, "doc_id long, words array<string>, n array<int>").groupBy("doc_id").agg(F.min(F.struct("words", "n")).alias("x"))
+    found = found.select("doc_id", "x.*").toArrow().sort_by("doc_id").combine_chunks()
     if not found.num_rows:
         return None
     lists = found.column("words").combine_chunks() if isinstance(found.column("words"), pa.ChunkedArray) else found.column("words")

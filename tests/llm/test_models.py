@@ -1,11 +1,13 @@
-"""Language identification and toxicity: exact parts against brute force, models by held-out accuracy."""
+"""Language identification, toxicity and quality: exact parts against brute force, models by held-out accuracy."""
 
 import itertools
+import math
 
 import numpy as np
 from tests.llm.cases import ROWS, documents, empty
 
 from sieveline.llm import language_id, toxicity
+from sieveline.llm import quality_classifier as Q
 from sieveline.llm.common import fold
 from sieveline.llm.ngrams import hashed_ngrams
 
@@ -92,3 +94,82 @@ def test_toxicity_of_odd_rows(spark):
     assert toxicity.score(documents(spark), labels).count() == len(ROWS)
     assert toxicity.score(empty(spark), labels).count() == 0
     assert {r.score for r in toxicity.score(documents(spark), labels.limit(0)).collect()} == {0.0}
+
+
+def plain_loss(weights, gaps, rows, grades):
+    """Summed over texts and cuts, one at a time."""
+    cuts = [gaps[0] + sum(math.exp(g) for g in gaps[1 : k + 1]) for k in range(len(gaps))]
+    total = 0.0
+    for own, grade in zip(rows, grades, strict=True):
+        score = sum(weights[b] * x for b, x in own)
+        total += sum(-math.log(p if grade > k else 1 - p) for k, c in enumerate(cuts) for p in [1 / (1 + math.exp(c - score))])
+    return total / len(rows) + 1e-6 / 2 * sum(w * w for w in weights)
+
+
+def test_ordinal_gradients_are_those_of_the_plain_loss():
+    draw = np.random.default_rng(5)
+    rows = [[(int(b), float(draw.normal())) for b in draw.integers(0, 6, 4)] for _ in range(12)]
+    grades, weights, gaps = draw.integers(0, 4, 12), draw.normal(size=6), draw.normal(size=3)
+    features = tuple(map(np.array, zip(*((i, b, x) for i, own in enumerate(rows) for b, x in own), strict=True)))
+    loss, by_weight, by_gap = Q.loss_and_gradients(weights, gaps, features, grades)
+    assert abs(loss - plain_loss(weights, gaps, rows, grades)) < 1e-9
+    for params, grads in ((weights, by_weight), (gaps, by_gap)):
+        for i in range(len(params)):
+            old = params[i]
+            params[i] = old + 1e-5
+            up = plain_loss(weights, gaps, rows, grades)
+            params[i] = old - 1e-5
+            down = plain_loss(weights, gaps, rows, grades)
+            params[i] = old
+            assert abs((up - down) / 2e-5 - grads[i]) < 1e-6
+
+
+def graded(spark, levels):
+    """Texts of which one kind of words is the more frequent, the higher the grade."""
+    draw, rows, labels = np.random.default_rng(7), [], []
+    for i in range(900):
+        k = i % len(levels)
+        rows.append((i, " ".join(f"{'fine' if draw.random() < 0.1 + 0.25 * k else 'poor'}{draw.integers(0, 20)}" for _ in range(60)), "en", "a"))
+        labels.append((i, levels[k]))
+    return documents(spark, rows), spark.createDataFrame(labels + [(None, levels[0]), (3, None)], "doc_id long, quality int"), dict(labels)
+
+
+def test_several_grades_are_ordered(spark):
+    docs, labels, true = graded(spark, [-2, 0, 3, 4])
+    model = Q.fit(docs, labels)
+    assert model.levels == [-2, 0, 3, 4] and (np.diff(model.cuts) > 0).all()
+    found = Q.grade(docs, labels, least=3).collect()
+    held = [r for r in found if r.held_out]
+    means = [np.mean([r.expected_grade for r in held if true[r.doc_id] == level]) for level in model.levels]
+    assert means == sorted(means) and np.mean([abs(r.expected_grade - true[r.doc_id]) for r in held]) < 1.0
+    assert all(-2 <= r.expected_grade <= 4 and r.selected == (r.p_tail >= 0.5) for r in found)
+    assert np.mean([r.selected == (true[r.doc_id] >= 3) for r in held]) > 0.9
+
+
+def test_quality_of_odd_rows(spark):
+    labels = spark.createDataFrame([(1, 0), (3, 1), (11, 1), (11, 0)], "doc_id long, quality int")
+    found = Q.grade(documents(spark), labels).collect()
+    assert len(found) == len(ROWS) and all(0 <= r.expected_grade <= 1 for r in found)
+    assert len({r.p_tail for r in found if r.doc_id in (4, 5, 6)}) == 1 and all(r.held_out for r in found if r.doc_id is None)
+    assert len({r.p_tail for r in found if r.doc_id in (1, 2)}) == 1
+    assert Q.grade(empty(spark), labels).count() == 0
+    assert {(r.expected_grade, r.selected) for r in Q.grade(documents(spark), labels.limit(0)).collect()} == {(0.0, False)}
+    one = spark.createDataFrame([(1, 2), (3, 2)], "doc_id long, quality int")
+    assert {(r.expected_grade, r.p_tail) for r in Q.grade(documents(spark), one).collect()} == {(2.0, 1.0)}
+
+
+def test_a_repeated_id_is_one_row_of_the_sample(spark):
+    docs, labels, _ = graded(spark, [0, 1])
+    again = docs.unionByName(docs.where("doc_id < 40")).unionByName(docs.where("doc_id < 40"))
+    assert np.allclose(Q.fit(docs, labels).cuts, Q.fit(again, labels).cuts)
+    marked = labels.withColumnRenamed("quality", "toxic")
+    assert np.allclose(toxicity.fit(docs, marked).by_gram, toxicity.fit(again, marked).by_gram)
+
+
+def test_quality_tells_held_out_rows_apart(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    true = {r.doc_id: r.quality for r in labels.collect()}
+    held = [(r.p_tail, true[r.doc_id]) for r in Q.grade(docs, labels).collect() if r.held_out and r.doc_id in true]
+    good, bad = [p for p, x in held if x], [p for p, x in held if not x]
+    assert np.mean([(a > b) + (a == b) / 2 for a in good for b in bad]) > 0.75
