@@ -24,13 +24,13 @@ def split_identifier(x) -> Column:
 
 def tokenize(x) -> Column:
     """Search tokens: each word's parts, with the whole word before them when it has several."""
-    dropped = F.array(*(F.lit(w) for w in sorted({*C.C_KEYWORDS, *C.STOP_WORDS})))
+    dropped = sorted({*C.C_KEYWORDS, *C.STOP_WORDS})
 
     def parts(word: Column) -> Column:
         return let(split_identifier(word), lambda own: F.when(F.size(own) > 1, F.concat(F.array(F.lower(word)), own)).otherwise(own))
 
     words = F.regexp_extract_all(_col(x), F.lit(C.WORD), F.lit(0))
-    return F.filter(F.flatten(F.transform(words, parts)), lambda t: (F.length(t) > 1) & ~F.array_contains(dropped, t) & ~t.rlike("^[0-9]+$"))
+    return F.filter(F.flatten(F.transform(words, parts)), lambda t: (F.length(t) > 1) & ~t.isin(dropped) & ~t.rlike("^[0-9]+$"))
 
 
 def squeeze(x) -> Column:

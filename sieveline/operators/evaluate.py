@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline import constants as C
 from sieveline.functions.text import query_text
+from sieveline.sources.scratch import written
 
 
 def build_queries(units: DataFrame) -> DataFrame:
@@ -46,21 +48,39 @@ def macro_average(by_repo: DataFrame, *keys: str) -> DataFrame:
     return by_repo.groupBy(*keys).agg(*(F.avg(c).alias(c) for c in (*(f"recall_{k}" for k in C.RECALL_KS), "mrr")))
 
 
+#: Poisson draws that a Python worker holds at once.
+DRAWS_AT_ONCE = 2_000_000
+
+
 def bootstrap_table(values: DataFrame, resamples: int, seed: int = 0, confidence: float = C.CONFIDENCE) -> DataFrame:
-    """values(grp, pos, diff) with pos 0..n-1 within grp -> one row diff, lo, hi, p_le_0.
+    """values(grp, diff) -> one row diff, lo, hi, p_le_0: the mean over groups of the mean difference, with its percentile interval.
 
-    Draws are a hash of (seed, resample, group, position), so every engine draws the same ones. Resamples are the parallel dimension.
+    Resampling with replacement is a Poisson number of times that each row is drawn; equal values of a group are drawn together, as their numbers add up to
+    one Poisson number. So a resample is a weighted mean that partitions sum up: nothing is broadcast, and a task passes on resamples x groups sums. The draws
+    hang on seed, group and value alone. Null differences aren't drawn; an empty table gives nulls.
     """
-    spark = values.sparkSession
-    sizes = values.groupBy("grp").agg(F.count("*").alias("n"), F.avg("diff").alias("mean"))
-    draws = spark.range(resamples).withColumnRenamed("id", "resample").crossJoin(F.broadcast(values.select("grp", "pos").join(sizes, "grp")))
-    key = F.concat_ws("/", F.lit(str(seed)), F.col("resample").cast("string"), F.col("grp").cast("string"), F.col("pos").cast("string"))
-    pick = F.conv(F.substring(F.sha1(key), 1, 8), 16, 10).cast("long") % F.col("n")
-    chosen = draws.select("resample", "grp", pick.alias("pick")).join(F.broadcast(values.select("grp", F.col("pos").alias("pick"), "diff")), ["grp", "pick"])
-    by_resample = chosen.groupBy("resample", "grp").agg(F.avg("diff").alias("m")).groupBy("resample").agg(F.avg("m").alias("m"))
+    rows = values.where("diff IS NOT NULL").groupBy(F.col("grp").cast("string").alias("grp"), F.col("diff").cast("double").alias("diff")).agg(F.count("*").alias("n"))
+    rows = written(rows.withColumn("key", F.xxhash64(F.lit(seed), "grp", "diff")), "resampled")
+
+    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[str, np.ndarray] = {}
+        few = max(1, DRAWS_AT_ONCE // max(1, resamples))
+        for batch in batches:
+            for grp, own in batch.groupby("grp", dropna=False):
+                total = sums.setdefault(grp, np.zeros((2, resamples)))
+                for at in range(0, len(own), few):
+                    some = own.iloc[at : at + few]
+                    times = np.stack([np.random.default_rng(key % (1 << 64)).poisson(n, resamples) for key, n in zip(some["key"].tolist(), some["n"].tolist(), strict=True)])
+                    total += np.stack([times.sum(axis=0), some["diff"].to_numpy() @ times])
+        for grp, (w, x) in sums.items():
+            yield pd.DataFrame({"resample": np.arange(resamples), "grp": grp, "w": w.astype(float), "x": x})
+
+    sums = rows.mapInPandas(drawn, "resample long, grp string, w double, x double").groupBy("resample", "grp").agg(F.sum("w").alias("w"), F.sum("x").alias("x"))
+    by_resample = sums.where("w > 0").groupBy("resample").agg(F.avg(F.col("x") / F.col("w")).alias("m"))
     alpha = (1 - confidence) / 2
     spread = by_resample.agg(F.expr(f"percentile(m, {alpha})").alias("lo"), F.expr(f"percentile(m, {1 - alpha})").alias("hi"), F.avg((F.round("m", 12) <= 0).cast("double")).alias("p_le_0"))
-    return sizes.agg(F.avg("mean").alias("diff")).crossJoin(spread)
+    means = rows.groupBy("grp").agg((F.sum(F.col("n") * F.col("diff")) / F.sum("n")).alias("mean"))
+    return means.agg(F.avg("mean").alias("diff")).crossJoin(spread)  # a row each
 
 
 def paired_bootstrap(a: Sequence[np.ndarray], b: Sequence[np.ndarray], resamples: int = C.RESAMPLES, seed: int = 0, confidence: float = C.CONFIDENCE) -> dict:

@@ -12,14 +12,21 @@ from sieveline.operators import lexical, rank
 from sieveline.sources.scratch import written
 
 
+#: Bytes of shingles that are broadcast.
+BROADCAST_BYTES = 64_000_000
+
+
 def max_jaccard(left: DataFrame, right: DataFrame) -> DataFrame:
     """left(a, shingles), right(b, shingles) -> a, j: the greatest Jaccard similarity with any set of right, 0 where nothing is shared.
 
-    An inverted index as an equi-join on shingles; overlaps are counted before they meet by pair, sizes ride along.
+    An inverted index as an equi-join on shingles; overlaps are counted before they meet by pair, sizes ride along. Where the shingles of right
+    are few enough by their measured size they go to the left ones, of which then only hits move.
     """
     x = left.select("a", F.size("shingles").alias("na"), F.explode("shingles").alias("s"))
     y = right.select("b", F.size("shingles").alias("nb"), F.explode("shingles").alias("s"))
-    shared = x.join(y, "s").groupBy("a", "b").agg(F.count("*").alias("i"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    y = written(y, "right-shingles")
+    size = y.agg(F.sum(F.octet_length("s") + 64).alias("b")).first()["b"] or 0
+    shared = x.join(F.broadcast(y) if size <= BROADCAST_BYTES else y, "s").groupBy("a", "b").agg(F.count("*").alias("i"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     best = shared.groupBy("a").agg(F.max(F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))).alias("j"))
     return left.select("a").join(best, "a", "left").select("a", F.coalesce("j", F.lit(0.0)).alias("j"))
 

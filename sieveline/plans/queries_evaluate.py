@@ -72,30 +72,21 @@ SELECT method, {_METRICS} FROM ranks GROUP BY method""")
 def bench_methods(spark, sf):
     """Known-item search under all methods: the target of a query is its own document."""
     index, wanted = Q._index(spark, sf)
-    n = index.units.count()
+    targets = wanted.select("query_id", F.col("query_id").alias("target"))
     total = None
     for method in C.METHODS:
-        own = index.ranking(wanted, method, n).where("ordinal = query_id").select(F.lit(method).alias("method"), "rank")
+        decimals = rank.RAW_DECIMALS if method in ("bm25", "dense") else rank.FUSED_DECIMALS
+        own = evaluate.target_ranks(index.scores(wanted, method), targets, decimals).select(F.lit(method).alias("method"), "rank")
         total = own if total is None else total.unionByName(own)
     return _rounded(evaluate.metrics(total, "method"), "method")
 
 
-_DRAW = "('0x' || substr(sha1(concat_ws('/', '0', resample::VARCHAR, grp, pos::VARCHAR)), 1, 8))::BIGINT"
-
-
-@query("paired_bootstrap", f"""WITH v AS (SELECT l_returnflag AS grp, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_discount, l_tax) - 1 AS pos, l_discount - l_tax AS diff FROM lineitem WHERE l_partkey <= 20),
-s AS (SELECT grp, count(*) AS n, avg(diff) AS mean FROM v GROUP BY grp), r AS (SELECT unnest(range(200)) AS resample),
-p AS (SELECT resample, grp, {_DRAW} % n AS pick FROM v JOIN s USING (grp) CROSS JOIN r),
-m AS (SELECT resample, avg(m) AS m FROM (SELECT resample, p.grp, avg(diff) AS m FROM p JOIN v ON v.grp = p.grp AND v.pos = p.pick GROUP BY resample, p.grp) GROUP BY resample)
-SELECT (SELECT round(avg(mean), 6) FROM s) AS diff, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi, round(avg(CASE WHEN round(m, 12) <= 0 THEN 1.0 ELSE 0.0 END), 6) AS p_le_0 FROM m""")
+@query("paired_bootstrap")
 def paired_bootstrap(spark, sf):
-    """200 resamples of paired differences within three groups."""
-    from pyspark.sql import Window
-
-    rows = table(spark, sf, "lineitem").where("l_partkey <= 20")
-    pos = F.row_number().over(Window.partitionBy("l_returnflag").orderBy("l_orderkey", "l_linenumber", "l_discount", "l_tax")) - 1
-    values = rows.select(F.col("l_returnflag").alias("grp"), pos.cast("long").alias("pos"), (F.col("l_discount") - F.col("l_tax")).alias("diff"))
-    return evaluate.bootstrap_table(values, 200).select(*(F.round(c, 6).alias(c) for c in ("diff", "lo", "hi", "p_le_0")))
+    """10,000 resamples of the paired differences of all line items, within three groups."""
+    rows = table(spark, sf, "lineitem")
+    values = rows.select(F.col("l_returnflag").alias("grp"), (F.col("l_discount") - F.col("l_tax")).alias("diff"))
+    return evaluate.bootstrap_table(values, C.RESAMPLES).select(*(F.round(c, 6).alias(c) for c in ("diff", "lo", "hi", "p_le_0")))
 
 
 _ABLATION = """r AS (SELECT 'm' || (l_orderkey % 3) AS model, l_returnflag AS repo, l_linestatus AS method, l_partkey % 40 + 1 AS rank FROM lineitem),
@@ -149,7 +140,8 @@ def find_runs(spark, sf):
 def best_run(spark, sf):
     runs, metrics = _runs(spark, sf)
     found = registry.finished_runs(runs, metrics)
-    best = found.groupBy("tag").agg(F.max_by("artifact", F.struct("final_val_mrr", "start_time")).alias("artifact"))
+    first = F.struct(-F.col("final_val_mrr"), -F.unix_micros(F.col("start_time").cast("timestamp")), F.col("run_id"))
+    best = found.groupBy("tag").agg(F.min_by("artifact", first).alias("artifact"))
     return best.select(F.concat(F.lit("mlflow:best-"), "tag").alias("spec"), "artifact")
 
 

@@ -114,16 +114,16 @@ def random_negatives(spark, sf):
     return mining.random_negatives(own.where("reason IS NULL"), own.where("in_pool"))
 
 
-_HARD = f"""pool AS (SELECT split, ordinal, id, hash, {S.tokenize("file || ' ' || split_part(code, chr(10), 1)")} AS tokens FROM funnel WHERE in_pool AND repo = 'es' AND split = 'train'),
-hq AS (SELECT ordinal AS query_id, id, hash, {S.tokenize('query')} AS tokens FROM funnel WHERE reason IS NULL AND repo = 'es' AND split = 'train'),
-{S.bm25('pool', 'hq')}, every AS ({S.filled('bm', 'hq', 'pool', 0)}),
-ok AS (SELECT e.query_id, e.ordinal, e.score, hq.id, pool.id AS negative FROM every e JOIN hq USING (query_id) JOIN pool USING (ordinal) WHERE pool.hash <> hq.hash AND pool.id <> hq.id),
+_HARD = f"""pool AS (SELECT repo || '/' || split AS grp, ordinal, id, hash, {S.tokenize("file || ' ' || substr(code, length(split_part(code, chr(10), 1)) + 2)")} AS tokens FROM funnel WHERE in_pool),
+hq AS (SELECT repo || '/' || split AS grp, repo, split, ordinal AS query_id, id, hash, {S.tokenize('query')} AS tokens FROM funnel WHERE reason IS NULL),
+{S.bm25('pool', 'hq', 'grp')},
+ok AS (SELECT hq.query_id, hq.repo, hq.split, pool.ordinal, coalesce(bm.score, 0.0) AS score, hq.id, pool.id AS negative FROM hq JOIN pool ON pool.grp = hq.grp LEFT JOIN bm ON bm.query_id = hq.query_id AND bm.ordinal = pool.ordinal WHERE pool.hash <> hq.hash AND pool.id <> hq.id),
 r AS ({S.ranked('ok')}), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sha1(concat_ws('/', '0', id, negative)), negative) AS nth FROM r WHERE rank <= 10)"""
 
 
 @query("hard_negatives", f"{_MINED}, {_HARD} SELECT query_id, negative FROM t WHERE nth = 1")
 def hard_negatives(spark, sf):
-    """For the pairs of every language and split, by the whole text. The SQL above is still that of one language's train split and of header lines."""
+    """For the pairs of every language and split, by the whole text."""
     own = _funnel(spark, sf)
     return _hard_negatives(own.where("reason IS NULL"), own.where("in_pool")).select("query_id", "negative")
 
@@ -132,9 +132,10 @@ def _hard_negatives(kept, pool):
     return mining.hard_negatives(kept.withColumn("query_id", F.col("ordinal")).withColumn("tokens", T.tokenize("query")), pool.withColumn("tokens", mining.lexical_tokens("id", "code")))
 
 
-@query("mine_all", f"{_MINED}, {_RANDOM} SELECT f.repo, f.id, f.query, f.split, n.negative FROM funnel f LEFT JOIN n ON n.id = f.id AND n.repo = f.repo AND nth = 1 WHERE reason IS NULL")
+@query("mine_all", f"""{_MINED}, {_RANDOM}, {_HARD} SELECT 'random' AS mode, f.repo, f.id, f.query, f.split, n.negative FROM funnel f LEFT JOIN n ON n.id = f.id AND n.repo = f.repo AND n.nth = 1 WHERE reason IS NULL
+UNION ALL SELECT 'hard', f.repo, f.id, f.query, f.split, t.negative FROM funnel f LEFT JOIN t ON t.query_id = f.ordinal AND t.nth = 1 WHERE reason IS NULL""")
 def mine_all(spark, sf):
-    """The pairs of all languages with negatives of both modes. The SQL above has the random ones only, without their mode."""
+    """The pairs of all languages with negatives of both modes."""
     own = _funnel(spark, sf)
     kept, pool = own.where("reason IS NULL"), own.where("in_pool")
     total = None

@@ -74,7 +74,7 @@ def dense_topk(spark, sf):
     return found.select("query_id", "ordinal", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("validation_mrr", """WITH p AS (SELECT q.vec_id AS pair_id, q.embedding::DOUBLE[] AS q, d.embedding::DOUBLE[] AS d FROM embeddings q JOIN embeddings d ON d.vec_id = q.vec_id + 1 WHERE q.vec_id % 10 = 0),
+@query("validation_mrr", """WITH p AS (SELECT q.vec_id AS pair_id, q.embedding::DOUBLE[] AS q, d.embedding::DOUBLE[] AS d FROM embeddings q JOIN embeddings d ON d.vec_id = q.vec_id + 1),
 s AS (SELECT a.pair_id, sum(CASE WHEN round(list_dot_product(a.q, b.d), 9) > round(list_dot_product(a.q, a.d), 9) THEN 1 ELSE 0 END) + 1 AS rank FROM p a CROSS JOIN p b GROUP BY a.pair_id)
 SELECT count(*) AS n, round(avg(1.0 / rank), 6) AS mrr FROM s""")
 def validation_mrr(spark, sf):
@@ -82,13 +82,13 @@ def validation_mrr(spark, sf):
 
 
 def _vector_pairs(spark, sf):
-    """Every vector with the one after it. The SQL of validation_mrr and mnr_loss still has every tenth one only."""
+    """Every vector with the one after it."""
     vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
     left = vectors.select(F.col("vec_id").alias("pair_id"), F.col("embedding").alias("q"))
     return left.join(vectors.select((F.col("vec_id") - 1).alias("pair_id"), F.col("embedding").alias("d")), "pair_id")
 
 
-@query("mnr_loss", """WITH p AS (SELECT q.vec_id AS pair_id, q.embedding::DOUBLE[] AS q, d.embedding::DOUBLE[] AS d FROM embeddings q JOIN embeddings d ON d.vec_id = q.vec_id + 1 WHERE q.vec_id % 10 = 0),
+@query("mnr_loss", """WITH p AS (SELECT q.vec_id AS pair_id, q.embedding::DOUBLE[] AS q, d.embedding::DOUBLE[] AS d FROM embeddings q JOIN embeddings d ON d.vec_id = q.vec_id + 1),
 s AS (SELECT a.pair_id, b.pair_id AS other, 20.0 * list_dot_product(a.q, b.d) AS s FROM p a CROSS JOIN p b)
 SELECT pair_id, round(ln(sum(exp(s))) - max(CASE WHEN pair_id = other THEN s END), 6) AS loss FROM s GROUP BY pair_id""")
 def mnr_loss(spark, sf):
@@ -124,7 +124,7 @@ def rrf_weighted(spark, sf):
 
 
 # ---- the call graph
-_EDGES = """calls AS (SELECT DISTINCT repo, id AS caller, file, unnest(w[2:20]) AS call FROM units),
+_EDGES = """calls AS (SELECT DISTINCT repo, id AS caller, file, unnest(w[2:]) AS call FROM units),
 resolved AS (
   SELECT c.repo, c.caller, c.call, u.id AS callee FROM calls c JOIN units u ON u.repo = c.repo AND u.name = c.call AND u.file = c.file
   UNION ALL

@@ -85,7 +85,7 @@ def clean_comment(spark, sf):
     return table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", T.clean_comment(raw).alias("comment"))
 
 
-@query("array_distinct_order", f"WITH {UNITS} SELECT ordinal, array_to_string(list_filter(w[2:20], lambda x, i: list_position(w[2:20], x) = i), ' ') AS calls FROM units")
+@query("array_distinct_order", f"WITH {UNITS}, e AS (SELECT ordinal, x, min(i) AS i FROM (SELECT ordinal, unnest(w[2:]) AS x, generate_subscripts(w[2:], 1) AS i FROM units) GROUP BY ALL) SELECT u.ordinal, coalesce(string_agg(x, ' ' ORDER BY i), '') AS calls FROM units u LEFT JOIN e USING (ordinal) GROUP BY u.ordinal")
 def array_distinct_order(spark, sf):
     return units(spark, sf).select("ordinal", F.array_join("calls", " ").alias("calls"))
 

@@ -1,6 +1,6 @@
 """The retrieval tables as the given tables stand for them, in Spark and in SQL.
 
-A document is a unit: its first line is its comment, the rest its body, its first word its name and words 2 to 20 what it calls; the
+A document is a unit: its first line is its comment, the rest its body, its first word its name and all further words what it calls; the
 language is its repository, the source its file.
 """
 
@@ -25,7 +25,7 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(
         F.col("lang").alias("repo"), F.col("doc_id").alias("ordinal"), F.concat(file, F.lit("::"), name, F.lit("@"), F.col("doc_id").cast("string")).alias("id"), name.alias("name"), file.alias("file"),
         comment.alias("comment"), comment.alias("comment_raw"), F.substring("text", F.length(comment) + 2, F.length("text")).alias("body"), F.size(F.split("text", "\n")).alias("n_lines"), (F.col("doc_id") % 2 == 1).alias("is_static"),
-        F.array_distinct(F.slice(words, 2, 19)).alias("calls"), F.col("doc_id").cast("int").alias("start_line"), (F.col("doc_id") + F.size(F.split("text", "\n"))).cast("int").alias("end_line"), comment.alias("signature"), "text",
+        F.array_distinct(F.slice(words, 2, F.greatest(F.size(words), F.lit(1)))).alias("calls"), F.col("doc_id").cast("int").alias("start_line"), (F.col("doc_id") + F.size(F.split("text", "\n"))).cast("int").alias("end_line"), comment.alias("signature"), "text",
     )
 
 

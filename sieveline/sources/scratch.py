@@ -12,10 +12,12 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """What spark.checkpoint.dir names; only where it is unset, a local folder of our own."""
+    """What spark.checkpoint.dir names; only where it is unset and all runs on this machine, a local folder of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not current.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="sieveline-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")

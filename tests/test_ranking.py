@@ -85,8 +85,21 @@ def test_bootstrap(spark):
     assert evaluate.paired_bootstrap([np.zeros(4), np.zeros(100)], [np.ones(4), np.zeros(100)], 50)["diff"] == pytest.approx(0.5)
     with pytest.raises(ValueError, match="same"):
         evaluate.paired_bootstrap([np.zeros(2)], [np.zeros(3)])
-    values = spark.createDataFrame([("a", i, 0.25) for i in range(4)] + [("b", i, 0.75) for i in range(9)], "grp string, pos long, diff double")
+    values = spark.createDataFrame([("a", 0.25)] * 12 + [("b", 0.75)] * 9 + [("b", None)], "grp string, diff double")
     assert tuple(evaluate.bootstrap_table(values, 50).first()) == pytest.approx((0.5, 0.5, 0.5, 0.0))
+    assert evaluate.bootstrap_table(values.limit(0), 50).first().diff is None
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_distributed_bootstrap_is_the_plain_one(spark, parts):
+    """Against resampling with replacement on the driver; and the same whatever the partitioning."""
+    draw = np.random.default_rng(2)
+    groups = {"a": np.round(draw.normal(0.1, 1, 400), 1), "b": np.round(draw.normal(0.0, 2, 300), 1)}
+    values = spark.createDataFrame([(g, float(x)) for g, v in groups.items() for x in v], "grp string, diff double").repartition(parts)
+    own = evaluate.bootstrap_table(values, 4000).first()
+    plain = evaluate.paired_bootstrap([np.zeros(len(v)) for v in groups.values()], list(groups.values()), 4000)
+    assert own.diff == pytest.approx(plain["diff"]) and own.lo == pytest.approx(plain["lo"], abs=0.02) and own.hi == pytest.approx(plain["hi"], abs=0.02) and own.p_le_0 == pytest.approx(plain["p_le_0"], abs=0.04)
+    assert tuple(own) == pytest.approx(tuple(evaluate.bootstrap_table(values.coalesce(1), 4000).first()), abs=1e-9)
 
 
 def test_vectors(spark):
