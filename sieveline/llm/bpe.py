@@ -19,7 +19,7 @@ from sieveline.llm.common import Remembered
 #: Last code point of the range in which classes of letters, numbers and white space are taken from Python's tables.
 SAFE_END = 0x24F
 #: Entries of a worker's caches of space-led parts and of pre-tokens.
-PARTS, PIECES = 600_000, 100_000
+PARTS, PIECES = 400_000, 100_000
 
 # Fixed value: the pre-token pattern of byte-level BPE files.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"

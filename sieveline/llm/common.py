@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: Rows of a batch that Python holds at once, and characters of text after which a batch ends.
 BATCH_ROWS = 2_000
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 #: Characters of the longest text that a cache keeps.
 LONGEST_KEY = 40
 
@@ -101,9 +101,18 @@ def map_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable], sc
         if (last := getattr(step, "last", None)) and (columns := last()) is not None:
             yield out(columns)
 
+    _bound_batches(df.sparkSession)
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def _bound_batches(spark: SparkSession) -> None:
+    """What the JVM sends to a Python worker at once is no more than the worker slices it into: BATCH_ROWS rows, where the session allows more."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 #: The columns of documents that a stage of a pipeline passes on.
 DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from sieveline.llm.words import AS_WRITTEN, words_in
 
 #: Words whose n-grams are in memory at once.
-AT_ONCE = 40_000
+AT_ONCE = 8_000
 
 _M = np.uint32(0x01000193)
 
