@@ -1,6 +1,9 @@
 """The corpus pipeline: documents to packed training sequences.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again for the next one.
+
+All stages take null, empty and very long texts, repeated rows, empty tables and other columns than those of documents: null and empty texts are of no
+language, so the first stage drops them; rows without a doc_id stay; of the rows of a doc_id that repeats the least one by text, lang, source and n_chars stays.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from sieveline.llm.common import materialize, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts of no language, or of none with some certainty, go."""
+    """Texts of no language, or whose language has a score below a quarter, go: junk without letters, not clean texts of whatever language."""
     return language_id.accepted(docs)
 
 

@@ -27,35 +27,55 @@ def test_bm25_by_hand(spark):
     assert lexical.scores(docs.limit(0), asked).count() == 0
 
 
-def test_order_breaks_ties_by_ordinal(spark):
-    scored = spark.createDataFrame([(0, i, s) for i, s in enumerate([0.1, 0.5, 0.5, 0.0])], "query_id long, ordinal long, score double")
-    assert [r.ordinal for r in rank.rank_order(scored).orderBy("rank").collect()] == [1, 2, 0, 3]
-
-
-def test_fusion(spark):
-    a, b = ranking(spark, [2, 0, 1]), ranking(spark, [0, 1, 2])
-    assert as_dict(rank.rrf([a, b])) == pytest.approx({0: 1 / 62 + 1 / 61, 1: 1 / 63 + 1 / 62, 2: 1 / 61 + 1 / 63})
-    assert as_dict(rank.rrf([a, b], depth=1)) == pytest.approx({0: 1 / 61, 2: 1 / 61})
-    assert as_dict(rank.rrf([a, b], weights=[1, 5])) == pytest.approx({0: 1 / 62 + 5 / 61, 1: 1 / 63 + 5 / 62, 2: 1 / 61 + 5 / 63})
-    assert as_dict(rank.rrf([ranking(spark, [0]), ranking(spark, [1, 2])], k=1)) == pytest.approx({0: 1 / 2, 1: 1 / 2, 2: 1 / 3})
+@pytest.mark.parametrize("seed", [11, 12])
+def test_order_is_that_of_a_plain_sort(spark, seed):
+    draw = np.random.default_rng(seed)
+    scores = np.round(draw.choice([0.0, 0.25, 0.7, 1.3], (3, 17)), 2)
+    scored = spark.createDataFrame([(q, i, float(x)) for q, row in enumerate(scores) for i, x in enumerate(row)], "query_id long, ordinal long, score double")
+    got = rank.rank_order(scored, 9).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.ordinal) for r in got] == [(q, i) for q, row in enumerate(scores) for i in sorted(range(17), key=lambda i: (-row[i], i))[:9]]
+
+
+@pytest.mark.parametrize(("k", "depth", "weights"), [(60, None, None), (7, 4, None), (60, 6, [0.5, 3.0, 1.0])])
+def test_fusion_is_the_plain_sum(spark, k, depth, weights):
+    draw = np.random.default_rng(k)
+    orders = [draw.permutation(15)[: int(draw.integers(3, 15))].tolist() for _ in range(3)]
+    want = {}
+    for order, weight in zip(orders, weights or [1.0] * 3, strict=True):
+        for place, d in enumerate(order[:depth], 1):
+            want[d] = want.get(d, 0.0) + weight / (k + place)
+    rankings = [ranking(spark, order) for order in orders]
+    assert as_dict(rank.rrf(rankings, k=k, depth=depth, weights=weights)) == pytest.approx(want)
     with pytest.raises(ValueError, match="weight"):
-        rank.rrf([a, b], weights=[1])
-
-
-@pytest.mark.parametrize(("scores", "near", "seeds", "want"), [
-    ([0.5, 0.4, 0.1, 0.05, 0.0], {0: [3], 1: [3, 4], 3: [0, 1], 4: [1]}, 2, [0.5, 0.4, 0.1, 0.05 + 0.25 + 0.1, 0.1]),
-    ([1.0, 0.9, 0.0], {0: [1, 2], 1: [0], 2: [0]}, 2, [1.0, 0.9, 0.25]), ([0.0, 0.0], {0: [1], 1: [0]}, 3, [0.0, 0.0]), ([0.5, 0.2], {0: [0, 1], 1: [0]}, 1, [0.5, 0.45]),
-])
-def test_expansion(spark, scores, near, seeds, want):
-    fused = spark.createDataFrame([(0, i, s) for i, s in enumerate(scores)], "query_id long, ordinal long, score double")
+        rank.rrf(rankings, weights=[1.0, 2.0])
+
+
+def plain_expansion(scores, near, seeds):
+    """One hop from the best hits, a document at a time."""
+    best = sorted((d for d in scores if scores[d] > 0), key=lambda d: (-scores[d], d))[:seeds]
+    out = dict(scores)
+    for s in best:
+        around = near.get(s, set()) - {s}
+        for d in around - set(best):
+            out[d] = out.get(d, 0.0) + 0.5 * scores[s] / len(around)
+    others = [x for d, x in out.items() if d not in best]
+    if best and others and max(others) >= min(scores[s] for s in best):
+        gap = max(others) - min(scores[s] for s in best) + 1e-9
+        out |= {s: out[s] + gap for s in best}
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_expansion_is_the_plain_one(spark, seed):
+    draw = np.random.default_rng(seed)
+    scores = {d: float(draw.choice([0.0, 0.11, 0.32, 0.58])) for d in range(12)}
+    near = {}
+    for a, b in draw.integers(0, 12, (14, 2)).tolist():
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    fused = spark.createDataFrame([(0, d, x) for d, x in scores.items()], "query_id long, ordinal long, score double")
     edges = spark.createDataFrame([(a, b) for a, x in near.items() for b in x], "a long, b long")
-    found = as_dict(rank.graph_expand(fused, edges, seeds))
-    lift = 0.0
-    rest = [want[i] for i in range(len(want)) if i not in sorted(range(len(scores)), key=lambda i: (-scores[i], i))[:seeds]]
-    top = [i for i in sorted(range(len(scores)), key=lambda i: (-scores[i], i))[:seeds] if scores[i] > 0]
-    if top and rest and max(rest) >= min(scores[i] for i in top):
-        lift = max(rest) - min(scores[i] for i in top) + 1e-9
-    assert [found[i] for i in range(len(want))] == pytest.approx([w + lift * (i in top) for i, w in enumerate(want)])
+    assert as_dict(rank.graph_expand(fused, edges, 3)) == pytest.approx(plain_expansion(scores, near, 3))
 
 
 def test_metrics_and_transforms(spark):
