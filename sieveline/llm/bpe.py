@@ -14,7 +14,7 @@ import re
 import struct
 from array import array
 
-from sieveline.llm.common import Remembered
+from sieveline.llm.common import Remembered, held
 
 #: Last code point of the range in which classes of letters, numbers and white space are taken from Python's tables.
 SAFE_END = 0x24F
@@ -138,16 +138,9 @@ class Bpe:
             return len(self._library(text)) // 4
 
 
-_in_worker: dict[int, Bpe] = {}
-
-
 def worker_bpe(tokenizer_json: str, whole: dict[str, int]) -> Bpe:
-    """One Bpe for each file in a worker process, so that later tasks find its caches filled."""
-    key = hash(tokenizer_json)
-    if key not in _in_worker:
-        _in_worker.clear()
-        _in_worker[key] = Bpe(tokenizer_json, whole)
-    return _in_worker[key]
+    """One Bpe for each file in a worker process, so that later tasks of the operator find its caches filled."""
+    return held(("bpe", hash(tokenizer_json)), lambda: Bpe(tokenizer_json, whole))
 
 
 def broadcast_bpe(spark, path: str):

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 import zlib
@@ -90,7 +92,9 @@ def map_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable], sc
     fields = arrow.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin()
         step = make()
+        _drop_unasked()
 
         def out(columns: dict) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([x if isinstance(x := columns[f], pa.Array) else pa.array(x, arrow.field(f).type) for f in fields], schema=arrow)
@@ -100,11 +104,49 @@ def map_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable], sc
                 yield out(columns)
         if (last := getattr(step, "last", None)) and (columns := last()) is not None:
             yield out(columns)
+        step = last = batch = columns = None
+        _give_back()
 
     _bound_batches(df.sparkSession)
     return df.select(*columns).mapInArrow(run, schema)
 
 
+#: What a worker process holds from task to task, and the keys that the task at hand has asked for.
+_held: dict = {}
+_asked: set = set()
+
+
+def _begin() -> None:
+    _asked.clear()
+
+
+def held(key, compute: Callable):
+    """compute()'s result, the same for all tasks of a worker process that ask for the key one after the other. To be called within a make() of map_rows."""
+    _asked.add(key)
+    if key not in _held:
+        _held[key] = compute()
+    return _held[key]
+
+
+def _drop_unasked() -> None:
+    """A task of another operator is here: what earlier ones held would lie beside what this one needs."""
+    gone = _held.keys() - _asked
+    for key in gone:
+        del _held[key]
+    if gone:
+        gc.collect()
+        _give_back()
+
+
+def _give_back() -> None:
+    """Freed memory goes back to the system: worker processes live on between tasks, and an executor's share is counted over all of them."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
 def _bound_batches(spark: SparkSession) -> None:
     """What the JVM sends to a Python worker at once is no more than the worker slices it into: BATCH_ROWS rows, where the session allows more."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
