@@ -4,10 +4,12 @@ import zlib
 
 import public_tokenizers
 import pytest
-from tests.llm.cases import ROWS, documents, empty
+from tests.llm.cases import ROWS, documents, empty, rows_of
 from tokenizers import Tokenizer
 
+from sieveline.llm import common
 from sieveline.llm.bpe import Bpe, prove_whole_tokens
+from sieveline.llm.common import held, map_rows
 from sieveline.llm.packing import CapacityTree, best_fit_decreasing, pack
 from sieveline.llm.token_counts import count_tokens
 
@@ -110,3 +112,32 @@ def test_packing_round_trip(spark, library):
         assert at <= 1024
     assert len(by_sequence) == len(naive_bins([r.length for r in found], 1024))
     assert pack(empty(spark), PATH).count() == 0
+
+
+def test_a_worker_holds_what_tasks_ask_for_until_another_operators_task_comes(spark):
+    docs = documents(spark).repartition(3)
+
+    def task(key):
+        def make():
+            born = held(key, lambda: [0]) if key else None
+            if born is not None:
+                born[0] += 1
+
+            def step(batch):
+                return {"key": [str(key)] * batch.num_rows, "tasks": [born[0] if born else len(common._held)] * batch.num_rows}
+
+            return step
+
+        return {r["tasks"] for r in map_rows(docs.coalesce(1), ["text"], make, "key string, tasks int").collect()}
+
+    first = task("one")
+    assert first == {1}
+    assert task(None) == {0}  # what "one" held is gone
+    assert task("one") == {1}  # so it is computed anew
+
+
+def test_counts_and_pieces_are_the_same_whatever_ran_before(spark):
+    docs = documents(spark)
+    before = rows_of(count_tokens(docs, PATH))
+    rows_of(map_rows(docs, ["doc_id", "text"], lambda: lambda batch: {"doc_id": batch.column("doc_id")}, "doc_id long"))
+    assert rows_of(count_tokens(docs, PATH)) == before
