@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.llm.common import DOCUMENT, map_rows, materialize
-from sieveline.llm.components import connected_components
+from sieveline.llm.components import connected_components, merged_components
 from sieveline.llm.filters import as_it_is, filter_of, in_filter
 from sieveline.llm.words import A, mixed, words_in
 
@@ -336,7 +336,7 @@ def _components(docs: DataFrame, figures: DataFrame, percent: int) -> DataFrame:
     rest = materialize(placed.join(undone, "block").select("block", "doc", "component"), "open-blocks")
     if rest.limit(1).count():
         more = materialize(_rest_links(rest, sets, percent), "more-links")
-        joined = materialize(connected_components(found.unionByName(more), "a", "b"), "components")
+        joined = materialize(merged_components(joined, more, "a", "b"), "components")
 
     named = figures.join(classes, ["h1", "h2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("lead")).otherwise(F.col("doc_id")).alias("lead"))
     named = named.join(joined, named.lead == joined.node, "left")

@@ -4,7 +4,7 @@ import pytest
 from tests.llm.cases import ROWS, documents, empty, prose
 
 from sieveline.llm import ngram_join
-from sieveline.llm.components import connected_components
+from sieveline.llm.components import connected_components, merged_components
 
 
 def shingles(text):
@@ -79,9 +79,7 @@ def test_one_of_each_stays(spark):
     assert kept == sorted([-1, *{d for d in expected if expected[d] == d}])
 
 
-def test_components(spark):
-    draw = random.Random(8)
-    edges = [(draw.randint(0, 60), draw.randint(0, 60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(40)] + [(500, 600 + i) for i in range(30)]
+def roots(edges):
     root = {}
 
     def find(x):
@@ -92,5 +90,33 @@ def test_components(spark):
     for a, b in edges:
         p, q = find(a), find(b)
         root[max(p, q)] = min(p, q)
-    found = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
-    assert found == {x: find(x) for a, b in edges if a != b for x in (a, b)}
+    return {x: find(x) for a, b in edges if a != b for x in (a, b)}
+
+
+def edge_table(spark, edges):
+    return spark.createDataFrame(edges, "a long, b long")
+
+
+def as_dict(components):
+    rows = components.collect()
+    assert len(rows) == len({r.node for r in rows})
+    return {r.node: r.component for r in rows}
+
+
+def test_components(spark):
+    draw = random.Random(8)
+    edges = [(draw.randint(0, 60), draw.randint(0, 60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(40)] + [(500, 600 + i) for i in range(30)]
+    assert as_dict(connected_components(edge_table(spark, edges), "a", "b")) == roots(edges)
+
+
+@pytest.mark.parametrize("edges", [[], [(3, 3)], [(2, 1), (1, 2), (2, 1)], [(1, 9), (2, 9)], [(9, 1), (9, 2), (9, 3), (4, 2)]], ids=["none", "loop", "repeats", "two parents", "many parents"])
+def test_components_of_few_edges(spark, edges):
+    assert as_dict(connected_components(edge_table(spark, edges), "a", "b")) == roots(edges)
+
+
+def test_components_that_more_edges_join(spark):
+    draw = random.Random(5)
+    first = [(draw.randint(0, 80), draw.randint(0, 80)) for _ in range(30)] + [(200, 210 + i) for i in range(5)]
+    more = [(draw.randint(0, 120), draw.randint(0, 120)) for _ in range(25)] + [(213, 199), (300, 301), (301, 302), (214, 215)]
+    known = connected_components(edge_table(spark, first), "a", "b")
+    assert as_dict(merged_components(known, edge_table(spark, more), "a", "b")) == roots(first + more)
