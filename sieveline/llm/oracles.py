@@ -50,3 +50,57 @@ h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(rang
 t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, sha256(string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR)) AS items_sha256 FROM m GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
 FROM dw LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+
+def _crc_table() -> list[int]:
+    """The usual reflected polynomial, four bits at a time."""
+    table = []
+    for value in range(16):
+        for _ in range(4):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        table.append(value)
+    return table
+
+
+def crc32(x: str) -> str:
+    """The unsigned crc32 of a text of ASCII characters; DuckDB has none."""
+    table = f"[{', '.join(f'{v}::UBIGINT' for v in _crc_table())}]"
+
+    def four_bits(y: str) -> str:
+        return f"xor({table}[(({y}) & 15)::BIGINT + 1], ({y}) >> 4)"
+
+    return f"xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split({x}, ''), lambda c: ord(c)::UBIGINT)), lambda a, b: {four_bits(four_bits('xor(a, b)'))}), 4294967295::UBIGINT)::BIGINT"
+
+
+def _framed(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL THEN '-' ELSE strlen(({x})::VARCHAR) || ':' || ({x})::VARCHAR END"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_framed(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _merkle(fanout: int) -> str:
+    """Levels of the sources' trees (src >= 0) and of the one over them (src -1), then each row's path folded upwards."""
+    # MATERIALIZED: the rows of a tie must get the same numbers wherever the table is read.
+    return rf"""WITH RECURSIVE ids AS (SELECT source AS name, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS src FROM (SELECT DISTINCT source FROM documents)),
+d AS (SELECT doc_id, src, {_leaf("text")} AS leaf, CASE WHEN crc % 5 = 0 THEN {_leaf(_LOWER.format(x="text"))} END AS altered FROM (SELECT *, {crc32("doc_id::VARCHAR")} AS crc FROM documents) t JOIN ids ON t.source IS NOT DISTINCT FROM ids.name),
+leaves AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY src ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+lv AS (SELECT 0 AS k, src, pos, leaf AS digest, count(*) OVER (PARTITION BY src) AS n FROM leaves
+  UNION ALL SELECT k + 1, src, pos // {fanout}, sha256(string_agg(digest, '' ORDER BY pos)), (any_value(n) + {fanout - 1}) // {fanout} FROM lv WHERE n > 1 GROUP BY k, src, pos // {fanout}),
+subroots AS MATERIALIZED (SELECT src, k, digest FROM lv WHERE n = 1),
+tv AS (SELECT 0 AS k, src AS pos, digest, count(*) OVER () AS n FROM subroots
+  UNION ALL SELECT k + 1, pos // {fanout}, sha256(string_agg(digest, '' ORDER BY pos)), (any_value(n) + {fanout - 1}) // {fanout} FROM tv WHERE n > 1 GROUP BY k, pos // {fanout}),
+nodes AS MATERIALIZED (SELECT k, src, pos, digest, n FROM lv UNION ALL SELECT k, -1, pos, digest, n FROM tv),
+around AS MATERIALIZED (SELECT k, src, pos, coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before, coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+  FROM nodes WHERE n > 1 WINDOW w AS (PARTITION BY k, src, pos // {fanout} ORDER BY pos)),
+steps AS MATERIALIZED (SELECT src, min(k) FILTER (WHERE n = 1) AS height FROM nodes GROUP BY src),
+climb AS (SELECT doc_id, leaf, src, pos AS leaf_pos, 0 AS step, coalesce(altered, leaf) AS acc, '' AS proof FROM leaves
+  UNION ALL SELECT c.doc_id, c.leaf, c.src, c.leaf_pos, c.step + 1, sha256(a.before || c.acc || a.after), c.proof || a.before || a.after FROM climb c JOIN steps s ON s.src = c.src JOIN around a
+    ON a.src = CASE WHEN c.step < s.height THEN c.src ELSE -1 END AND a.k = CASE WHEN c.step < s.height THEN c.step ELSE c.step - s.height END
+    AND a.pos = CASE WHEN c.step < s.height THEN c.leaf_pos // ({fanout} ** c.step)::BIGINT ELSE c.src // ({fanout} ** (c.step - s.height))::BIGINT END)
+SELECT doc_id, leaf, r.digest AS subroot, t.digest AS root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = t.digest AS verified
+FROM climb JOIN subroots r ON r.src = climb.src JOIN steps s ON s.src = climb.src CROSS JOIN (SELECT digest, k FROM tv WHERE n = 1) t WHERE climb.step = s.height + t.k"""
+
+
+MERKLE = _merkle(16)
