@@ -104,3 +104,31 @@ FROM climb JOIN subroots r ON r.src = climb.src JOIN steps s ON s.src = climb.sr
 
 
 MERKLE = _merkle(16)
+
+
+def _quantiles(cuts: int, parts: int, least: int, batches: int, allowed: int) -> str:
+    """allowed: in thousandths of the rows."""
+    batch = lambda key: f"(coalesce({crc32(key + '::VARCHAR')}, 0) % {batches})::INT"
+    finite = lambda x: f"{x} IS NOT NULL AND isfinite({x})"
+    k = "stream, grp, batch"
+    hits = lambda rows: f"SELECT {k}, n, points, x AS answer, unnest(range(greatest(1, least({parts}, coalesce(lag(reach) OVER w, 0) + 1)), least({parts}, reach + 1))) AS i FROM (SELECT *, ((lo + hi) // 2) * {parts} // n AS reach, count(*) OVER (PARTITION BY {k}) AS points FROM {rows} WHERE n >= {least}) WINDOW w AS (PARTITION BY {k} ORDER BY x)"
+    return f"""WITH c AS (SELECT click_id, client_id, value FROM (SELECT *, row_number() OVER (PARTITION BY click_id ORDER BY arrived_at NULLS FIRST, client_id NULLS FIRST, value NULLS FIRST) AS nth FROM clicks) WHERE nth = 1),
+r AS (SELECT 'value' AS stream, client_id::VARCHAR AS grp, {batch('click_id')} AS batch, value AS money FROM c WHERE client_id IS NOT NULL AND {finite('value')}
+  UNION ALL SELECT 'price', brand, {batch('vendor_id')}, price FROM sale_lines JOIN items USING (item_id) WHERE brand IS NOT NULL AND {finite('price')}),
+h AS MATERIALIZED (SELECT {k}, (floor(100 * money + 0.5) + 1000 * batch)::BIGINT AS x, count(*) AS c FROM r GROUP BY ALL),
+cum AS (SELECT *, sum(c) OVER (PARTITION BY {k} ORDER BY x)::BIGINT AS upto, sum(c) OVER (PARTITION BY {k})::BIGINT AS n, row_number() OVER (PARTITION BY {k} ORDER BY x) AS d, count(*) OVER (PARTITION BY {k}) AS dd FROM h),
+pts AS MATERIALIZED (SELECT {k}, x, n, upto - c AS below, upto FROM cum WHERE upto * least(n, {cuts}) // n > (upto - c) * least(n, {cuts}) // n OR d <= 2 OR d >= dd - 1),
+step AS (SELECT *, upto - coalesce(lag(upto) OVER w, 0) AS c0, upto - below AS d0, coalesce(lead(below) OVER w, upto) - upto AS d1 FROM pts WINDOW w AS (PARTITION BY {k} ORDER BY x)),
+at_x AS (SELECT stream, grp, x, sum(c0)::BIGINT AS c0, sum(d0)::BIGINT AS d0, sum(d1)::BIGINT AS d1 FROM step GROUP BY ALL),
+whole AS MATERIALIZED (SELECT stream, grp, -1 AS batch, x, (sum(c0) OVER w)::BIGINT AS lo, (sum(d0) OVER w + sum(d1) OVER w - d1)::BIGINT AS hi, sum(c0) OVER (PARTITION BY stream, grp)::BIGINT AS n FROM at_x WINDOW w AS (PARTITION BY stream, grp ORDER BY x)),
+every AS (SELECT {k}, x, n, upto AS lo, upto AS hi FROM pts UNION ALL SELECT {k}, x, n, lo, hi FROM whole),
+a AS MATERIALIZED ({hits('every')}),
+full_h AS (SELECT {k}, x, c FROM h UNION ALL SELECT stream, grp, -1, x, sum(c)::BIGINT FROM h GROUP BY ALL),
+ranks AS MATERIALIZED (SELECT {k}, x, (sum(c) OVER w)::BIGINT AS upto, (sum(c) OVER w)::BIGINT - c AS below FROM full_h WINDOW w AS (PARTITION BY {k} ORDER BY x)),
+t AS (SELECT *, (i * n + {parts - 1}) // {parts} AS target FROM a),
+f AS (SELECT {', '.join('t.' + c for c in ('stream', 'grp', 'batch', 'i', 'n', 'target', 'points', 'answer'))}, e.x AS exact_x, b.below AS n_below, b.upto AS n_upto
+  FROM t JOIN ranks e ON e.stream = t.stream AND e.grp = t.grp AND e.batch = t.batch AND e.below < target AND e.upto >= target JOIN ranks b ON b.stream = t.stream AND b.grp = t.grp AND b.batch = t.batch AND b.x = answer)
+SELECT stream, grp, batch, i::INT AS i, n, target, exact_x, points, answer, n_below, n_upto, greatest(0, n_below + 1 - target, target - n_upto) AS rank_error, 1000 * greatest(0, n_below + 1 - target, target - n_upto) <= {allowed} * n AS within FROM f"""
+
+
+QUANTILES = _quantiles(40, 10, 20, 8, 50)
