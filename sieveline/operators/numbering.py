@@ -13,8 +13,9 @@ from sieveline.sources.scratch import written
 _PLACE_BITS = 33
 
 
-def numbered(rows: DataFrame, order: Sequence[str | Column], by: Sequence[str] = (), name: str = "nth", label: str = "numbered") -> DataFrame:
-    """rows with `name`: the place of each row, from 0, by `order` within its group of `by` (nulls are a group; nulls come first in an order).
+def numbered(rows: DataFrame, order: Sequence[str | Column], by: Sequence[str] = (), name: str = "nth", label: str = "numbered", total: str | None = None) -> DataFrame:
+    """rows with `name`: the place of each row, from 0, by `order` within its group of `by` (nulls are a group; nulls come first in an order); with `total`, where it is named: the number
+    of rows of the group.
 
     Rows are dealt by ranges of (by, order), so that a group of any size lies on as many partitions as it fills. Each partition counts its own groups;
     the sums of the counts before it, a row for each group and partition, give its first number. Rows of the same group and order get numbers in no set order.
@@ -29,6 +30,7 @@ def numbered(rows: DataFrame, order: Sequence[str | Column], by: Sequence[str] =
     group = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(by)], F.lit(0).alias("all"))
     counts = dealt.groupBy(group.alias("_group"), "_part").agg(F.count("*").alias("n"), F.min("_place").alias("_first"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select(F.col("_group").alias("_g"), F.col("_part").alias("_p"), (before - F.col("_first")).alias("_start"))
+    starts = counts.select(F.col("_group").alias("_g"), F.col("_part").alias("_p"), (before - F.col("_first")).alias("_start"), F.sum("n").over(Window.partitionBy("_group")).alias("_total"))
     joined = dealt.join(starts, (F.col("_part") == F.col("_p")) & F.col("_g").eqNullSafe(group))
-    return joined.withColumn(name, (F.col("_start") + F.col("_place")).cast("long")).drop("_g", "_p", "_start", "_part", "_place")
+    joined = joined.withColumns({name: (F.col("_start") + F.col("_place")).cast("long")} | ({total: F.col("_total")} if total else {}))
+    return joined.drop("_g", "_p", "_start", "_total", "_part", "_place")
