@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sieveline.llm import decontamination, html_extraction, language_id, merkle, ngram_join, oracles, packing, quality_classifier, quality_rules, quantiles, secret_scans, token_counts, toxicity
+from sieveline.llm import decontamination, html_extraction, language_id, merkle, ngram_join, oracles, packing, quality_classifier, quality_rules, quantiles, secret_scans, suffix_tree, token_counts, toxicity
 from sieveline.llm.common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -59,6 +59,10 @@ def op12_quantile_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles.deciles(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_classifier, op3_best_fit_packing, op4_quality_rules, op5_decontamination, op6_toxicity, op7_token_counts, op8_language_id, op9_secret_scans, op10_html_extraction, op11_merkle_manifest, op12_quantile_summaries)}
+def op13_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_classifier, op3_best_fit_packing, op4_quality_rules, op5_decontamination, op6_toxicity, op7_token_counts, op8_language_id, op9_secret_scans, op10_html_extraction, op11_merkle_manifest, op12_quantile_summaries, op13_suffix_tree_scores)}
 #: The others learn, tokenize, parse or lex: they are tested against brute force, the libraries and held-out labels.
 ORACLES = {"op1_ngram_jaccard_join": oracles.NGRAM_JACCARD, "op4_quality_rules": oracles.QUALITY_RULES, "op5_decontamination": oracles.DECONTAMINATION, "op11_merkle_manifest": oracles.MERKLE, "op12_quantile_summaries": oracles.QUANTILES}

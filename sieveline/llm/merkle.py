@@ -57,14 +57,12 @@ def build(rows: DataFrame, digest: Column, group: str, key: str, kept: dict[str,
     """The manifest of rows with a leaf each, in the order of key within groups; `kept` are columns that stay with the leaves."""
     # A null group is told from all others and comes before them.
     grp = F.when(F.col(group).isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col(group).cast("string")))
+    # Written first: dealing by ranges reads its input twice, and the texts should be hashed once.
     own = rows.select(grp.alias("grp"), F.col(key).alias("key"), digest.alias("digest"), *(c.alias(name) for name, c in (kept or {}).items()))
-    placed = materialize(numbered(own, ["key", "digest"], ["grp"], "pos"), "leaves")
-    sizes = placed.groupBy("grp").agg((F.max("pos") + 1).alias("n"))
-    leaves = materialize(placed.drop("key").join(sizes, "grp"), "leaves")
+    leaves = materialize(numbered(materialize(own, "digests"), ["key", "digest"], ["grp"], "pos", total="n").drop("key"), "leaves")
     levels = hashtree.grow(leaves, fanout)
-    subroots = materialize(numbered(hashtree.roots(levels), ["grp"], name="pos"), "subroots")
-    count = subroots.agg((F.max("pos") + 1).alias("n"))
-    top = hashtree.grow(subroots.crossJoin(F.broadcast(count)).withColumn("grp", F.lit("")), fanout)  # count is one row
+    subroots = materialize(numbered(hashtree.roots(levels), ["grp"], name="pos", total="n"), "subroots")
+    top = hashtree.grow(subroots.withColumn("grp", F.lit("")), fanout)
     return Manifest(leaves, levels, top, subroots, fanout)
 
 
