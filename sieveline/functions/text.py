@@ -111,6 +111,28 @@ def shingles(tokens: Column, k: int) -> Column:
     return let(tokens, runs)
 
 
+def hashed_shingles(tokens: Column, k: int) -> Column:
+    """As shingles, each as a 64-bit hash: no string is made for one."""
+
+    def runs(own: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(own) - k)
+        return (
+            F.when(F.size(own) >= k, F.array_distinct(F.transform(starts, lambda i: F.xxhash64(*(F.get(own, i + j) for j in range(k))))))
+            .when(F.size(own) > 0, F.array(F.xxhash64(F.array_join(own, " "))))
+            .otherwise(F.array().cast("array<bigint>"))
+        )
+
+    return let(tokens, runs)
+
+
+def hashed_code_shingles(code, k: int = C.CODE_SHINGLE) -> Column:
+    return hashed_shingles(code_tokens(code), k)
+
+
+def hashed_comment_shingles(text, k: int = C.COMMENT_SHINGLE) -> Column:
+    return hashed_shingles(F.regexp_extract_all(F.lower(_col(text)), F.lit(C.COMMENT_WORD), F.lit(0)), k)
+
+
 def code_shingles(code, k: int = C.CODE_SHINGLE) -> Column:
     return shingles(code_tokens(code), k)
 

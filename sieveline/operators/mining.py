@@ -12,35 +12,52 @@ from sieveline.operators import lexical, rank
 from sieveline.sources.scratch import written
 
 
-#: Bytes of shingles that are broadcast.
+#: Bytes of a table of shingles that are broadcast.
 BROADCAST_BYTES = 64_000_000
 
 
-def max_jaccard(left: DataFrame, right: DataFrame) -> DataFrame:
-    """left(a, shingles), right(b, shingles) -> a, j: the greatest Jaccard similarity with any set of right, 0 where nothing is shared.
+def near_sets(left: DataFrame, right: DataFrame, cut: float = 0.0) -> DataFrame:
+    """left(a, shingles), right(shingles), as arrays of distinct longs -> a, j: the greatest Jaccard similarity with any set of right, where it is above 0 and cut or more.
 
-    An inverted index as an equi-join on shingles; overlaps are counted before they meet by pair, sizes ride along. Where the shingles of right
-    are few enough by their measured size they go to the left ones, of which then only hits move.
+    A join by prefixes. Shingles are ordered by how few sets of right have them. A set of n shingles needs ceil(cut * n) in common with another one, so one of the first
+    n - ceil(cut * n) + 1 of each is the same. Shingles that right doesn't have come first: they take up a prefix without being moved, and a set without enough of the others is
+    dropped where it lies. Sets of right that are equal are one; sets of left with the same size and the same shingles of right are matched once. So a shingle that
+    all sets have is in few prefixes, and never meets rows times sets.
     """
-    x = left.select("a", F.size("shingles").alias("na"), F.explode("shingles").alias("s"))
-    y = right.select("b", F.size("shingles").alias("nb"), F.explode("shingles").alias("s"))
-    y = written(y, "right-shingles")
-    size = y.agg(F.sum(F.octet_length("s") + 64).alias("b")).first()["b"] or 0
-    shared = x.join(F.broadcast(y) if size <= BROADCAST_BYTES else y, "s").groupBy("a", "b").agg(F.count("*").alias("i"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    best = shared.groupBy("a").agg(F.max(F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))).alias("j"))
-    return left.select("a").join(best, "a", "left").select("a", F.coalesce("j", F.lit(0.0)).alias("j"))
+    sets = written(right.select(F.array_sort("shingles").alias("own")).where(F.size("own") > 0).distinct().withColumn("b", F.monotonically_increasing_id()), "right-sets")
+    rarity = written(sets.select(F.explode("own").alias("s")).groupBy("s").agg(F.count("*").alias("df")), "rarity")
+    small = rarity.count() * 64 <= BROADCAST_BYTES
+    ranked = F.broadcast(rarity) if small else rarity
+
+    def needed(n) -> Column:
+        return F.ceil(cut * F.col(n) - 1e-9)
+
+    hits = left.select("a", F.size("shingles").alias("na"), F.explode("shingles").alias("s")).join(ranked, "s").groupBy("a").agg(F.first("na").alias("na"), F.array_sort(F.collect_list(F.struct("df", "s"))).alias("hits"))
+    hits = hits.where(F.size("hits") >= needed("na")).select("a", "na", F.col("hits.s").alias("hits"))
+    hits = written(hits.withColumn("p", F.sha1(F.concat_ws(",", F.col("na").cast("string"), F.col("hits").cast("array<string>")))), "left-sets")
+    patterns = hits.groupBy("p").agg(F.first("na").alias("na"), F.first("hits").alias("hits"))
+    x = patterns.select("p", "na", F.explode(F.slice("hits", F.lit(1), (F.size("hits") - needed("na") + 1).cast("int"))).alias("s"))
+    ordered = sets.select("b", F.explode("own").alias("s")).join(ranked, "s").groupBy("b").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("own")).select("b", F.size("own").alias("nb"), F.col("own.s").alias("own"))
+    y = ordered.select("b", "nb", F.explode(F.slice("own", F.lit(1), (F.col("nb") - needed("nb") + 1).cast("int"))).alias("s"))
+    sizes = (F.col("nb") >= needed("na")) & (F.col("na") >= needed("nb"))
+    pairs = x.join(y, "s").where(sizes).select("p", "b").distinct()
+    both = pairs.join(patterns, "p").join(sets.select("b", "own"), "b")
+    shared = both.select("p", "na", F.size("own").alias("nb"), F.size(F.array_intersect("hits", "own")).alias("i"))
+    best = shared.groupBy("p").agg(F.max(F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))).alias("j")).where((F.col("j") >= cut) & (F.col("j") > 0))
+    return hits.select("a", "p").join(best, "p").select("a", "j")
+
+
+def max_jaccard(left: DataFrame, right: DataFrame) -> DataFrame:
+    """left(a, shingles), right(shingles) -> a, j for each row of left: 0 where nothing is shared."""
+    return left.select("a").join(near_sets(left, right), "a", "left").select("a", F.coalesce("j", F.lit(0.0)).alias("j"))
 
 
 def reasons(rows: DataFrame, bench: DataFrame, exact, near_shingles, cut: float, prefix: str) -> DataFrame:
     """rows(a, x), bench(x) -> a, reason: exact before near, null where neither holds. exact and near_shingles are functions of x."""
-    keys = bench.select(exact("x").alias("k")).distinct().withColumn("is_exact", F.lit(True))
-    keyed = written(rows.select("a", "x", exact("x").alias("k")).join(keys, "k", "left"), "guarded")
-    # The costly test only for what the exact one lets pass.
-    rest = keyed.where("is_exact IS NULL").select("a", near_shingles("x").alias("shingles"))
-    sets = bench.select(F.monotonically_increasing_id().alias("b"), near_shingles("x").alias("shingles"))
-    near = max_jaccard(rest, sets).where(F.col("j") >= cut).select("a", F.lit(True).alias("is_near"))
+    same = rows.select("a", exact("x").alias("k")).join(bench.select(exact("x").alias("k")).distinct(), "k", "left_semi").select("a", F.lit(True).alias("is_exact"))
+    near = near_sets(rows.select("a", near_shingles("x").alias("shingles")), bench.select(near_shingles("x").alias("shingles")), cut).select("a", F.lit(True).alias("is_near"))
     reason = F.when(F.col("is_exact"), f"{prefix}_exact").when(F.col("is_near"), f"{prefix}_near")
-    return keyed.join(near, "a", "left").select("a", reason.alias("reason"))
+    return rows.select("a").join(same.distinct(), "a", "left").join(near, "a", "left").select("a", reason.alias("reason"))
 
 
 def normal_comment(x) -> Column:
@@ -48,11 +65,11 @@ def normal_comment(x) -> Column:
 
 
 def code_reasons(rows: DataFrame, bench: DataFrame) -> DataFrame:
-    return reasons(rows, bench, T.code_hash, T.code_shingles, C.CODE_JACCARD, "benchmark_code")
+    return reasons(rows, bench, T.code_hash, T.hashed_code_shingles, C.CODE_JACCARD, "benchmark_code")
 
 
 def comment_reasons(rows: DataFrame, bench: DataFrame) -> DataFrame:
-    return reasons(rows, bench.where("x <> ''"), normal_comment, T.comment_shingles, C.COMMENT_JACCARD, "benchmark_comment")
+    return reasons(rows, bench.where("x <> ''"), normal_comment, T.hashed_comment_shingles, C.COMMENT_JACCARD, "benchmark_comment")
 
 
 def repo_keys(repos: DataFrame) -> DataFrame:
@@ -78,17 +95,19 @@ def mining_funnel(units: DataFrame, bench: DataFrame | None = None, val_fraction
     duplicate_comment; null for what is kept. Units past the code guard are in the pool of negatives.
     """
     own = units.withColumns({"code": T.dense_text("name", "file", "body"), "query": T.query_text("comment"), "split": T.split_of("repo", "file", val_fraction)})
-    own = written(own.withColumn("hash", T.code_hash("code")), "mined-units")
-    first = own.groupBy("repo", "hash").agg(F.min("ordinal").alias("kept")).select("repo", "hash", "kept")
-    own = own.join(first, ["repo", "hash"]).withColumn("copy", F.col("ordinal") != F.col("kept"))
-    key = F.struct("repo", "ordinal")
-    own = own.withColumn("a", key)
+    own = written(own.withColumns({"hash": T.code_hash("code"), "a": F.monotonically_increasing_id()}), "mined-units")
+    # Only keys and flags are joined with one another; the texts meet them once, at the end.
+    keys = own.select("a", "repo", "ordinal", "hash", "query", "n_lines")
+    first = keys.groupBy("repo", "hash").agg(F.min("ordinal").alias("kept"))
+    keys = keys.join(first, ["repo", "hash"]).withColumn("copy", F.col("ordinal") != F.col("kept"))
+    none = F.lit(None).cast("string")
     if bench is not None:
-        code = code_reasons(own.where("NOT copy").select("a", F.col("code").alias("x")), bench.select(T.dense_text("name", "file", "body").alias("x"))).withColumnRenamed("reason", "code_reason")
-        comment = comment_reasons(own.where("NOT copy AND query IS NOT NULL").select("a", F.col("comment").alias("x")), bench.select(F.col("comment").alias("x"))).withColumnRenamed("reason", "comment_reason")
-        own = own.join(code, "a", "left").join(comment, "a", "left")
+        # Copies are tested like the others: what they are dropped for comes first all the same.
+        code = code_reasons(own.select("a", F.col("code").alias("x")), bench.select(T.dense_text("name", "file", "body").alias("x")))
+        comment = comment_reasons(own.where("query IS NOT NULL").select("a", F.col("comment").alias("x")), bench.select(F.col("comment").alias("x")))
+        keys = keys.join(code.where("reason IS NOT NULL").withColumnRenamed("reason", "code_reason"), "a", "left").join(comment.where("reason IS NOT NULL").withColumnRenamed("reason", "comment_reason"), "a", "left")
     else:
-        own = own.withColumns({"code_reason": F.lit(None).cast("string"), "comment_reason": F.lit(None).cast("string")})
+        keys = keys.withColumns({"code_reason": none, "comment_reason": none})
     reason = (
         F.when(F.col("copy"), "duplicate_code")
         .when(F.col("code_reason").isNotNull(), F.col("code_reason"))
@@ -96,10 +115,10 @@ def mining_funnel(units: DataFrame, bench: DataFrame | None = None, val_fraction
         .when(F.col("n_lines") < C.MIN_BODY_LINES, "too_short")
         .when(F.col("comment_reason").isNotNull(), F.col("comment_reason"))
     )
-    own = written(own.withColumns({"reason": reason, "in_pool": ~F.col("copy") & F.col("code_reason").isNull()}), "reasons")
-    shared = own.where("reason IS NULL").groupBy("repo", "query").agg(F.count("*").alias("n")).where("n > 1").select("repo", "query", F.lit(True).alias("ambiguous"))
-    own = own.join(shared, ["repo", "query"], "left")
-    own = own.withColumn("reason", F.when(F.col("reason").isNull() & F.col("ambiguous"), "duplicate_comment").otherwise(F.col("reason")))
+    flags = written(keys.select("a", "repo", "query", reason.alias("reason"), (~F.col("copy") & F.col("code_reason").isNull()).alias("in_pool")), "reasons")
+    shared = flags.where("reason IS NULL").groupBy("repo", "query").agg(F.count("*").alias("n")).where("n > 1").select("repo", "query", F.lit(True).alias("ambiguous"))
+    flags = flags.join(shared, ["repo", "query"], "left").select("a", F.when(F.col("reason").isNull() & F.col("ambiguous"), "duplicate_comment").otherwise(F.col("reason")).alias("reason"), "in_pool")
+    own = own.join(flags, "a")
     return own.select("repo", "ordinal", "id", "query", "code", "hash", "split", "reason", "in_pool", (F.col("in_pool") & F.col("query").isNotNull()).alias("with_query"))
 
 
@@ -254,7 +273,3 @@ def find_leaks(pairs: DataFrame, bench: DataFrame) -> DataFrame:
 def seeded_sample(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """n rows by a hash of their key: TakeOrderedAndProject, no full sort."""
     return rows.orderBy(draw(seed, F.col(key).cast("string")), key).limit(n)
-
-
-def by_order(order: Column, *keys: str):
-    return Window.partitionBy(*keys).orderBy(order)

@@ -18,7 +18,8 @@ def numbered(rows: DataFrame, order: Sequence[str | Column], by: Sequence[str] =
     of rows of the group.
 
     Rows are dealt by ranges of (by, order), so that a group of any size lies on as many partitions as it fills. Each partition counts its own groups;
-    the sums of the counts before it, a row for each group and partition, give its first number. Rows of the same group and order get numbers in no set order.
+    the sums of the counts before it give its first number: only
+    these counts, a row for each group on a partition, are ever in one window. Rows of the same group and order get numbers in no set order.
     """
     keys = [F.col(c) for c in by]
     ordered = [F.col(c) if isinstance(c, str) else c for c in order]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,16 +42,16 @@ def rrf(rankings: Sequence[DataFrame], k: int = C.RRF_K, depth: int | None = Non
     return total.groupBy("query_id", "ordinal").agg(F.sum("score").alias("score"))
 
 
-def graph_expand(fused: DataFrame, neighbours: DataFrame, seeds: int = C.GRAPH_SEEDS, weight: float = C.GRAPH_WEIGHT) -> DataFrame:
-    """query_id, ordinal, score and neighbours(a, b) -> scores with the best hits' neighbours raised and the hits kept on top.
+def graph_expand(fused: DataFrame, neighbours: Callable[[DataFrame], DataFrame], seeds: int = C.GRAPH_SEEDS, weight: float = C.GRAPH_WEIGHT) -> DataFrame:
+    """query_id, ordinal, score -> scores with the best hits' neighbours raised and the hits kept on top. neighbours gives (a, b) for a table of those a that are hits: no
+    others' edges are made.
 
     A seed shares weight * score among its neighbours but itself; other seeds count in the number of neighbours and get nothing. Where
     another document reaches the least seed, all seeds are lifted above it.
     """
     fused = written(fused.select("query_id", "ordinal", "score"), "fused")
     top = written(rank_order(fused.where("score > 0"), seeds, FUSED_DECIMALS).select("query_id", F.col("ordinal").alias("seed"), F.col("score").alias("seed_score")), "seeds")
-    edges = neighbours.where("a <> b").select("a", "b").distinct()
-    mine = written(edges.join(top.select(F.col("seed").alias("a")).distinct(), "a", "left_semi"), "seed-edges")
+    mine = written(neighbours(top.select(F.col("seed").alias("a")).distinct()).where("a <> b").select("a", "b").distinct(), "seed-edges")
     degree = mine.groupBy("a").agg(F.count("*").alias("degree"))
     gains = top.join(mine.join(degree, "a"), F.col("seed") == F.col("a")).select("query_id", F.col("b").alias("ordinal"), (weight * F.col("seed_score") / F.col("degree")).alias("score"))
     marks = top.select("query_id", F.col("seed").alias("ordinal"), F.lit(True).alias("is_seed"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sieveline import constants as C
 from sieveline.functions import text as T
 from sieveline.operators import evaluate, lexical, rank
+from sieveline.operators.numbering import numbered
 from sieveline.plans import queries_search as Q
 from sieveline.plans import sql as S
 from sieveline.plans.registering import query
@@ -129,11 +130,9 @@ def _runs(spark, sf):
 
 @query("find_runs", f"WITH {_RUNS} SELECT run_id, tag, artifact, final_val_mrr, row_number() OVER (ORDER BY final_val_mrr DESC, start_time DESC, run_id) AS place FROM found")
 def find_runs(spark, sf):
-    from pyspark.sql import Window
-
     found = registry.finished_runs(*_runs(spark, sf))
-    place = F.row_number().over(Window.orderBy(F.desc("final_val_mrr"), F.desc("start_time"), "run_id"))
-    return found.select("run_id", "tag", "artifact", "final_val_mrr", place.cast("long").alias("place"))
+    placed = numbered(found, [F.desc("final_val_mrr"), F.desc("start_time"), "run_id"], name="place")
+    return placed.select("run_id", "tag", "artifact", "final_val_mrr", (F.col("place") + 1).alias("place"))
 
 
 @query("best_run", f"WITH {_RUNS}, p AS (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY final_val_mrr DESC, start_time DESC, run_id) AS place FROM found) SELECT 'mlflow:best-' || tag AS spec, artifact FROM p WHERE place = 1")

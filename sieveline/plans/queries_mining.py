@@ -37,8 +37,8 @@ _SETS = f"l AS (SELECT a, {S.shingles('t', 3)} AS shingles FROM (SELECT a, {S.co
 
 @query("max_jaccard", f"WITH {UNITS}, {_LINES}, {_BENCH}, {_SETS}, {S.max_jaccard('l', 'r', 'mj')} SELECT a, round(j, 6) AS j FROM mj")
 def max_jaccard(spark, sf):
-    left = _lines(spark, sf).select("a", T.comment_shingles("x").alias("shingles"))
-    right = _bench(spark, sf).select(F.monotonically_increasing_id().alias("b"), T.comment_shingles("x").alias("shingles"))
+    left = _lines(spark, sf).select("a", T.hashed_comment_shingles("x").alias("shingles"))
+    right = _bench(spark, sf).select(T.hashed_comment_shingles("x").alias("shingles"))
     return mining.max_jaccard(left, right).select("a", F.round("j", 6).alias("j"))
 
 

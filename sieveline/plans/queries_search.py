@@ -136,7 +136,7 @@ nb AS (SELECT caller AS a, callee AS b FROM edges UNION SELECT callee, caller FR
 
 
 def _edges(spark, sf):
-    return graph.edges(graph.resolve_calls(units(spark, sf)))
+    return graph.call_graph(units(spark, sf)).edges()
 
 
 @query("call_resolution", f"WITH {UNITS},\n{_EDGES} SELECT caller, call, callee FROM resolved")
@@ -144,6 +144,17 @@ def call_resolution(spark, sf):
     return graph.resolve_calls(units(spark, sf)).select("caller", "call", "callee")
 
 
+@query("call_graph", f"""WITH {UNITS},
+own AS (SELECT DISTINCT repo, name, file FROM units), made AS (SELECT DISTINCT repo, id, file, unnest(w[2:]) AS name FROM units)
+SELECT 'call' AS kind, m.repo, m.id, m.name, coalesce(o.file, '') AS scope FROM made m LEFT JOIN own o ON o.repo = m.repo AND o.name = m.name AND o.file = m.file
+UNION ALL SELECT 'definition', repo, id, name, file FROM units UNION ALL SELECT 'definition', repo, id, name, '' FROM units WHERE NOT is_static OR file LIKE '%.h'""")
+def call_graph(spark, sf):
+    """The graph as it is stored: a row for each call and for each scope of a definition, whatever the number of edges."""
+    found = graph.call_graph(units(spark, sf))
+    calls = found.calls.select(F.lit("call").alias("kind"), "repo", F.col("caller").alias("id"), "name", "scope")
+    return calls.unionByName(found.definitions.select(F.lit("definition").alias("kind"), "repo", F.col("callee").alias("id"), "name", "scope"))
+
+
 @query("call_edges", f"WITH {UNITS},\n{_EDGES} SELECT caller, callee FROM edges")
 def call_edges(spark, sf):
     return _edges(spark, sf).select("caller", "callee")

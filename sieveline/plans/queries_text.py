@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sieveline import constants as C
 from sieveline.functions import text as T
+from sieveline.operators.numbering import numbered
 from sieveline.plans import sql as S
 from sieveline.plans.registering import query
 from sieveline.plans.standins import UNITS, table, units
@@ -108,10 +109,9 @@ def comment_runs(spark, sf):
 k AS (SELECT *, list_transform(string_split(file, '/'), lambda x, i: {'d': CASE WHEN i < len(string_split(file, '/')) THEN 1 ELSE 0 END, 'n': x}) AS key FROM p)
 SELECT page_id, file, row_number() OVER (ORDER BY key, page_id) AS nth FROM k""")
 def scan_order(spark, sf):
-    from pyspark.sql import Window
-
+    """All pages' paths numbered in the order of a walk."""
     files = table(spark, sf, "pages").select("page_id", F.concat(F.regexp_replace("url", "^[a-z]+://", ""), F.lit(".c")).alias("file"))
-    return files.withColumn("nth", F.row_number().over(Window.orderBy(c_units.walk_key(), "page_id")))
+    return numbered(files, [c_units.walk_key(), "page_id"]).select("page_id", "file", (F.col("nth") + 1).alias("nth"))
 
 
 @query("scan_subdirs", """SELECT page_id, 'lib/' || regexp_replace(url, '^[a-z]+://', '') AS file FROM pages WHERE url LIKE '%/en/%'
@@ -140,8 +140,9 @@ def rank_transforms(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.round(T.reciprocal_rank("l_linenumber"), 9).alias("rr"), T.recall_at("l_linenumber", 1).alias("hit_1"), T.recall_at("l_linenumber", 5).alias("hit_5"))
 
 
-@query("fingerprint", f"""WITH {UNITS}, x AS (SELECT ordinal, sha256({S.dense_text('name', 'file', 'body')}) AS h FROM units)
-SELECT sha256('hashed-64' || 'False' || string_agg(h, '' ORDER BY ordinal)) AS fingerprint FROM x""")
+@query("fingerprint", f"""WITH RECURSIVE {UNITS}, lv AS (SELECT 0 AS k, ordinal AS pos, sha256({S.dense_text('name', 'file', 'body')}) AS digest, max(ordinal) OVER () + 1 AS n FROM units
+UNION ALL SELECT k + 1, pos // 256, sha256(string_agg(digest, '' ORDER BY pos)), (any_value(n) + 255) // 256 FROM lv WHERE n > 1 GROUP BY k, pos // 256)
+SELECT sha256('hashed-64' || 'False' || coalesce(max(digest), '')) AS fingerprint FROM lv WHERE n = 1""")
 def fingerprint(spark, sf):
     from sieveline.plans.search import fingerprint as of
 
