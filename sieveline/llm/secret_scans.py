@@ -46,8 +46,10 @@ SENSITIVE = {
 }
 #: With `key` in the same name these make it sensitive.
 KEY_KINDS = {"api", "private", "secret", "access", "auth", "encryption", "signing", "master", "account", "ssh", "hmac", "client", "service"}
-#: Literals that stand for a value rather than being one.
-STAND_INS = re.compile(r"(?i)^(?:x+|\*+|\.+|changeme|change_me|example|sample|placeholder|your.*|none|null|nil|true|false|undefined|todo|test|dummy|redacted|\$\{.*\}?|\{\{.*|<.*>?|%.*%|env\b.*|os\.environ.*|process\.env.*)$")
+# Literals that stand for a value rather than being one, as a whole and by how they begin.
+STAND_INS = re.compile(r"(?i)changeme|change_me|example|sample|placeholder|none|null|nil|true|false|undefined|todo|test|dummy|redacted")
+STAND_IN_STARTS = re.compile(r"(?i)your|\$\{|\{\{|<|env\b|os\.environ|process\.env")
+NAME_LIKE = re.compile(r"[A-Za-z_$][\w$.-]*+", re.ASCII)
 
 
 def sensitivity(name: str) -> float:
@@ -57,17 +59,41 @@ def sensitivity(name: str) -> float:
     return 1.0 if "key" in parts and KEY_KINDS & set(parts) else found
 
 
-def randomness(literal: str, counts: Counter | None = None) -> float:
-    """0 to 1 by Shannon entropy in bits a character, kinds of characters and length. counts: of its characters, where they are known."""
-    n = len(literal)
-    if n < 6 or STAND_INS.match(literal):
+class Characters:
+    """The characters of literals that end at one place and lie in each other: each literal adds those in front of the one before it."""
+
+    def __init__(self) -> None:
+        self.counts: dict[str, int] = {}
+        self.logs = 0.0  # sum of c * log2(c)
+        self.kinds = self.alone = 0
+        self.spaced = False
+
+    def add(self, piece: str) -> None:
+        fresh = False
+        for c, k in Counter(piece).items() if len(piece) > 20 else ((c, 1) for c in piece):
+            n = self.counts.get(c, 0)
+            fresh |= not n
+            self.counts[c] = n + k
+            self.logs += (n + k) * math.log2(n + k) - (n * math.log2(n) if n else 0.0)
+        if fresh:
+            own = "".join(self.counts)
+            self.kinds = sum(bool(re.search(x, own)) for x in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9\\s]"))
+            self.alone = set(own) <= {"x", "X"} or own in ("*", ".")
+            self.spaced = any(c.isspace() for c in own)
+
+
+def randomness(text: str, a: int = 0, b: int | None = None, known: Characters | None = None) -> float:
+    """0 to 1 for the literal text[a:b], by Shannon entropy in bits a character, kinds of characters and length. known: its characters, where they are counted already."""
+    b = len(text) if b is None else b
+    n = b - a
+    if known is None:
+        known = Characters()
+        known.add(text[a:b])
+    if n < 6 or known.alone or text[a] == text[b - 1] == "%" or STAND_INS.fullmatch(text, a, min(b, a + 16)) and n <= 16 or STAND_IN_STARTS.match(text, a, b):
         return 0.0
-    counts = counts or Counter(literal)
-    entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
-    own = "".join(counts)
-    kinds = sum(bool(re.search(x, own)) for x in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9\\s]"))
-    words = len(literal.split())
-    return max(0.0, min(1.0, entropy / 4.0) * (0.55 + 0.15 * kinds) * min(1.0, n / 10) - 0.2 * (words - 1))
+    entropy = math.log2(n) - known.logs / n
+    words = len(text[a:b].split()) if known.spaced else 1  # literals with spaces are quoted, and don't lie in each other
+    return max(0.0, min(1.0, entropy / 4.0) * (0.55 + 0.15 * known.kinds) * min(1.0, n / 10) - 0.2 * (words - 1))
 
 
 def _value(text: str, at: int, run: list[int]) -> tuple[str, int, int, int] | None:
@@ -121,14 +147,12 @@ def literal_spans(text: str, least: float = 0.5) -> list[tuple[int, int]]:
     literals: list[list[tuple[int, int]]] = []
     sources: list[set[int]] = []
     weights: list[float] = []
-    longest = 0  # of the constants' names
     for name, spans, names in assignments(text):
-        literals.append([s for s in spans if s[1] - s[0] > longest or text[s[0] : s[1]] not in current])
+        literals.append([s for s in spans if not NAME_LIKE.fullmatch(text, *s) or text[s[0] : s[1]] not in current])
         sources.append({current[other] for other in names if other in current})
         weights.append(sensitivity(name))
         short = name.rpartition(".")[2]
         current[name] = current[short] = len(weights) - 1
-        longest = max(longest, len(name))
     reached: dict[tuple[int, int], float] = {}
     for at in range(len(weights) - 1, -1, -1):  # sources come before what takes their values
         if weight := weights[at]:
@@ -136,15 +160,14 @@ def literal_spans(text: str, least: float = 0.5) -> list[tuple[int, int]]:
                 weights[other] = max(weights[other], weight)
             for span in literals[at]:
                 reached[span] = max(reached.get(span, 0.0), weight)
-    spans, counts, last = [], Counter(), (0, 0)
-    # Literals that end at one place lie in each other: their characters are counted once.
+    spans, known, last = [], Characters(), (0, 0)
+    # Literals that end at one place lie in each other: their characters are counted once, and none is cut out whole.
     for a, b in sorted(reached, key=lambda s: (s[1], -s[0])):
-        if b == last[1]:
-            counts.update(text[a : last[0]])
-        else:
-            counts = Counter(text[a:b])
+        if b != last[1]:
+            known, last = Characters(), (b, b)
+        known.add(text[a : last[0]])
         last = a, b
-        if reached[a, b] * randomness(text[a:b], counts) >= least:
+        if reached[a, b] * randomness(text, a, b, known) >= least:
             spans.append((a, b))
     return sorted(spans)
 

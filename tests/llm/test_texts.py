@@ -183,3 +183,24 @@ def test_redaction_leaves_the_rest(spark):
     assert secret_scans.redact(text) == "before [SECRET] between [SECRET] after"
     assert secret_scans.redact("nothing here") == "nothing here"
     assert secret_scans.redacted(documents(spark)).count() == len(ROWS)
+
+
+@pytest.mark.parametrize("piece", ["key=1", "password=1aB", "key=your", "token:abc=", "a=x+", "k=%"])
+def test_secrets_of_one_long_run_take_linear_time(piece):
+    """Every literal lies in the one before it; four times the text may take about four times as long."""
+    took = []
+    for chars in (100_000, 400_000):
+        began = time.process_time()
+        secret_scans.find_secrets(piece * (chars // len(piece)))
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] + 1
+
+
+def test_randomness_counts_once():
+    """A literal's figure is the same alone and among those that end where it ends."""
+    text = "aB3$xyzzyQ9" * 3
+    known, last = secret_scans.Characters(), len(text)
+    for a in range(len(text) - 1, -1, -1):
+        known.add(text[a:last])
+        last = a
+        assert secret_scans.randomness(text, a, None, known) == pytest.approx(secret_scans.randomness(text[a:]))
