@@ -10,7 +10,9 @@ streams may be aligned in any order, a partition at a time: the result doesn't d
 Template text goes wherever it stands, also within an article. It is what at least LEAST_PAGES pages and half of the pages of a host have at one place, if it is
 the same on all that have the place; where it would be more than half of a host's text, the pages are copies of one another, and it stays.
 What is left is cut by the page's own tree: the article, main element or content class less menus, forms, notices and the like by tag and
-class words, else the element below which most of the unlinked text lies.
+class words, else the element below which most of the unlinked text lies. Class words are guesses, so none of them makes a page empty: where the text of a kind of element would be, only whole
+class names of such words count in a second look, and in a last one, after all other kinds, no class words; from the second look on forms may hold text too. An article that has no text at all is an
+empty one.
 
 Null html is empty; a null url is a host of its own. Empty pages have empty text. Elements may be nested and left open at will. Repeated rows give repeated
 rows and count as often in alignments; a null page_id stays null; an empty table gives an empty result; other columns are not read.
@@ -50,6 +52,8 @@ SCOPES = {"ul", "ol", "dl", "table", "div", "article", "section", "main", "body"
 BOILERPLATE = {"ad", "ads", "advert", "advertisement", "adverts", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "complementary", "contentinfo", "dialog", "disqus", "footer", "gdpr", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "popup", "promo", "promoted", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
 CONTENT = {"article", "content", "entry", "post", "story", "main", "body", "text"}
 
+HAS = re.compile(r"(?:no|not|non|has|have|with|without|hide|hides)(?:[-_]|(?=[A-Z]))")
+
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|iframe|title|svg|select)\b(?P<rawattrs>[^>]*)>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<tag>/?[a-zA-Z][^\s/>"'<]*+)(?P<attrs>(?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/a-zA-Z][^>]*+(?:>|\Z)|(?P<text>[^<]++|<)""", re.DOTALL | re.IGNORECASE)
 ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 
@@ -61,18 +65,21 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def _label(tag: str, attrs: str) -> str:
-    """tag, then class, id and role words without digits; `!` marks hidden elements."""
+def _label(tag: str, attrs: str) -> tuple[str, bool]:
+    """tag, then class, id and role words without digits, `!` for hidden elements; and whether a class name has no other words than those of boilerplate."""
     if not attrs or "=" not in attrs and "hidden" not in attrs:
-        return tag
-    words, hidden = [], ""
+        return tag, False
+    words, hidden, whole = [], "", False
     for name, a, b, c in ATTRIBUTE.findall(attrs):
         name, value = name.lower(), a or b or c
         if name in ("class", "id", "role"):
-            words += re.findall(r"[A-Z]?[a-z]+|[A-Z]+", value)
+            # What a page has, or hasn't, isn't what an element is.
+            for own in ([w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", n)] for n in value.split() if not HAS.match(n)):
+                words += own
+                whole |= bool(own) and BOILERPLATE.issuperset(own)
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
             hidden = "!"
-    return ".".join([tag, *sorted({w.lower() for w in words})]) + hidden
+    return ".".join([tag, *sorted(set(words))]) + hidden, whole
 
 
 _labels = Remembered(lambda key: _label(*key), 20_000)
@@ -86,7 +93,7 @@ class Page:
     """
 
     def __init__(self, html: str) -> None:
-        self.tags, self.labels, self.parents = [""], [""], [-1]
+        self.tags, self.labels, self.parents, self.whole = [""], [""], [-1], [False]
         self.tokens: list[tuple[int, str | None]] = []
         stack = [0]
         opened: dict[str, list[int]] = {}  # places in the stack by tag
@@ -122,7 +129,9 @@ class Page:
             if at >= scopes[-1] and at > 0:
                 close_from(at)
             self.tags.append(tag)
-            self.labels.append(_labels[tag, m["attrs"]])
+            label, whole = _labels[tag, m["attrs"]]
+            self.labels.append(label)
+            self.whole.append(whole)
             self.parents.append(stack[-1])
             if tag not in INLINE:
                 self.tokens.append((0, None))
@@ -171,15 +180,19 @@ class Page:
         return found
 
 
-def _dropped(label: str, in_region: bool) -> bool:
+def _dropped(label: str, in_region: bool, look: int = 0, whole: bool = False) -> bool:
+    """Whether an element is no main text. look: 0 for the first one, in which any class word counts; 1, in which only whole class names do; 2, in which none does."""
     tag, _, words = label.rstrip("!").partition(".")
-    if label.endswith("!") or tag in DROPPED or tag == "header" and not in_region:
+    if label.endswith("!") or tag in DROPPED and not (look and tag == "form") or tag == "header" and not in_region:
         return True
+    if look == 2 or look == 1 and not whole or tag in ("html", "body"):
+        return False
     words = set(words.split("."))
-    return bool(words & BOILERPLATE) and not (tag in ("article", "main", "body") and words & CONTENT)
+    return bool(words & BOILERPLATE) and not (tag in ("article", "main") and words & CONTENT)
 
 
 _out = Remembered(lambda label: (_dropped(label, False), _dropped(label, True)), 20_000)
+_out_later = Remembered(lambda key: (_dropped(key[0], False, *key[1:]), _dropped(key[0], True, *key[1:])), 20_000)
 
 
 def _is_article(tag: str, words: set[str]) -> bool:
@@ -194,51 +207,62 @@ def _is_content(tag: str, words: set[str]) -> bool:
     return bool(words & CONTENT) and tag in ("div", "section", "td")
 
 
+#: Kinds of elements, with how closely class words are looked at, in the order in which they are tried; None is the element that most of the text lies below.
+TRIED = [(_is_article, 0), (_is_article, 1), (_is_main, 0), (_is_main, 1), (_is_content, 0), (_is_content, 1), (None, 0), (_is_article, 2), (_is_main, 2), (_is_content, 2), (None, 1), (None, 2)]
+
+
 def main_text(html: str, template: frozenset | set = frozenset()) -> str:
     """The page's main text: blocks in page order, joined by a space. template: places of its host's template texts."""
     page = Page(html)
-    texts = page.texts
+    texts, gone = page.texts, set()
     if template:
         gone = {i for i, keys in page.aligned_texts(page.places()) if not template.isdisjoint(keys.values())}
         texts = {i: t for i, t in texts.items() if i not in gone}
-    else:
-        gone = set()
-    outside = page.passed_down(lambda i: _out[page.labels[i]][0])
+    if "article" in page.tags:
+        within = page.passed_down(lambda i: page.tags[i] == "article")
+        if not any(within[i] for i in page.texts):
+            return ""
     linked = page.passed_down(lambda i: page.tags[i] == "a")
+    for wanted, look in TRIED:
+        if found := _text_of(page, texts, gone, linked, wanted, look, bool(template)):
+            return found
+    return ""
+
+
+def _text_of(page: Page, texts: dict[int, str], gone: set[int], linked: list[bool], wanted, look: int, template: bool) -> str:
+    out = [_out_later[label, look, whole] for label, whole in zip(page.labels, page.whole, strict=True)] if look else [_out[label] for label in page.labels]
+    outside = page.passed_down(lambda i: out[i][0])
     # Characters of unlinked text at and below an element, less what is dropped.
     mass = [0] * len(page)
     for i, t in texts.items():
         if not linked[i]:
             mass[i] = len(t)
     for i in range(len(page) - 1, 0, -1):
-        if not _out[page.labels[i]][1]:
+        if not out[i][1]:
             mass[page.parents[i]] += mass[i]
-    region: set[int] = set()
-    for wanted in (_is_article, _is_main, _is_content):
-        region = {i for i in range(1, len(page)) if not outside[i] and mass[i] and wanted(page.tags[i], set(page.labels[i].split(".")[1:]))}
-        if region:
-            break
-    else:
-        if any(tag == "article" for tag in page.tags):
-            return ""
-        region = {_densest(page, mass)}
+    if wanted is None:
+        region = {_densest(page, mass, out)}
         if template:  # lists of links
             times = Counter(own := page.places())
-            gone |= {i for i in texts if linked[i] and times[own[i]] > 2}
+            gone = gone | {i for i in texts if linked[i] and times[own[i]] > 2}
+    else:
+        region = {i for i in range(1, len(page)) if not outside[i] and mass[i] and wanted(page.tags[i], set(page.labels[i].split(".")[1:]))}
+        if not region:
+            return ""
     inside, dropped = [False] * len(page), [False] * len(page)
     for i, parent in enumerate(page.parents):
         below = parent >= 0 and inside[parent]
         inside[i] = below or i in region
-        dropped[i] = parent >= 0 and dropped[parent] or below and _out[page.labels[i]][1]
+        dropped[i] = parent >= 0 and dropped[parent] or below and out[i][1]
     pieces = [" " if text is None else text for i, text in page.tokens if text is None or inside[i] and not dropped[i] and i not in gone]
     return " ".join("".join(pieces).split())
 
 
-def _densest(page: Page, mass: list[int]) -> int:
+def _densest(page: Page, mass: list[int], out: list[tuple[bool, bool]]) -> int:
     """Down from the page while one child has most of the text."""
     found = 0
     for i in range(1, len(page)):
-        if page.parents[i] == found and mass[i] > 0.6 * mass[found] and page.tags[i] != "p" and page.tags[i] not in INLINE and not _out[page.labels[i]][0]:
+        if page.parents[i] == found and mass[i] > 0.6 * mass[found] and page.tags[i] != "p" and page.tags[i] not in INLINE and not out[i][0]:
             found = i
     return found
 

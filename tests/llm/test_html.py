@@ -32,6 +32,24 @@ def test_single_pages(spark, body, text):
     assert texts(spark, [("http://h.example/1", page(body))]) == [text]
 
 
+STORY = "<article><h1>Title</h1><p>The story of it.</p></article>"
+
+
+@pytest.mark.parametrize("html", [
+    f"<body class='single no-sidebar'>{STORY}</body>", f"<body class='page has-comments search'><div>{STORY}</div></body>", f"<html class='no-js nav'><body>{STORY}</body></html>", f"<div class='layout has-sidebar'>{STORY}<div class='sidebar'>s</div></div>",
+    f"<form id='aspnetForm'><div>{STORY}</div><input><button>Go</button></form>", f"<form><main>{STORY}</main></form>", "<main><section class='search-engines'><h1>Title</h1><p>The story of it.</p></section></main>", f"<div class='promo-layout'>{STORY}</div><footer>f</footer>",
+    f"<div class='with-banner'><div class='share-page'>{STORY}</div><div class='content'>(c) 2024</div></div>", "<article class='related-works'><h1>Title</h1><p>The story of it.</p></article>", "<main class='menu'><h1>Title</h1><p>The story of it.</p></main>",
+    "<article><div class='notice-board'><h1>Title</h1><p>The story of it.</p></div></article>", f"<div class='sidebar'>{STORY}</div><footer>f</footer>", "<main><h1>Title</h1><p>The story of it.</p></main><div class='sidebar'><article>teaser</article></div>",
+    "<div><h1>Title</h1><p>The story of it.</p></div><aside><article>teaser</article></aside>", f"{STORY}<div class='comments'><article class='comment'>{'long reply ' * 50}</article></div>", f"<div class='noSidebar hideBanner'>{STORY}</div>",
+])
+def test_class_words_around_an_article_never_make_it_empty(html):
+    assert H.main_text(html) == "Title The story of it."
+
+
+def test_comments_within_an_article_go_however_long(spark):
+    assert H.main_text(f"<article><p>x</p><div class='comments'><p>{'reader ' * 500}</p></div><form><p>Leave a reply</p></form></article>") == "x"
+
+
 def test_wrappers_tell_template_from_slots(spark):
     rows = [("http://w.example/%d" % i, page(f"<div class=top>Our site</div><table><tr><td>Menu A</td><td><div><p>Story {i} is {'long ' * (20 + i)}.</p><p>More of {i}.</p></div><p>All rights reserved</p></td></tr></table>")) for i in range(8)]
     for i, text in enumerate(texts(spark, rows)):
