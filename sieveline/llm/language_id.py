@@ -5,7 +5,7 @@ a penalty for each switch (Viterbi) cuts it into spans of one language; the lang
 whose best labelling provably has one language, as no stretch of words gains more than a switch costs, needs no full Viterbi pass.
 
 The model is fitted to a bounded sample of labelled rows (`max_rows`, chosen by a hash of doc_id and text). Null texts and texts without a letter
-are `und`, score 0. Rows with a null label are not learnt from. Without any labelled row all texts are `und`. Repeated rows give
+are `und`, score 0. Rows with a null label or one of the rarest (MOST_LABELS) are not learnt from. Without any labelled row all texts are `und`. Repeated rows give
 repeated rows; a null doc_id stays null and counts as held out; other columns are not read.
 """
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.llm.common import fold, fold_column, keep_batches, map_rows
-from sieveline.llm.ngrams import AT_ONCE, PartTable, hashed_ngrams
+from sieveline.llm.ngrams import CHARS_AT_ONCE, PartTable, ngram_blocks
 
 BUCKETS = 1 << 16
 #: Labelled rows that the model is fitted to, about.
 MAX_ROWS = 20_000
 SWITCH_PENALTY = 12.0
+#: Labels that fewer than one in so many labelled rows have aren't learnt: so the model has a set size, however odd the labels are.
+MOST_LABELS = 1_000
 
 # First code points of ranges, and their script; scripts not named here count as "other".
 SCRIPT_RANGES = [
@@ -51,10 +54,15 @@ _ascii_letters = re.compile("[a-z]+").findall
 
 def main_scripts(words: list[str]) -> np.ndarray:
     """The number in SCRIPTS of the script that most of each word's letters have; none of the words is empty."""
-    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-    owner = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
-    script = _SCRIPT_NUMBERS[np.searchsorted(_STARTS, codes, "right") - 1]
-    return np.bincount(owner * len(SCRIPTS) + script, minlength=len(words) * len(SCRIPTS)).reshape(len(words), len(SCRIPTS)).argmax(axis=1)
+    text, ends = "".join(words), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    counts = np.zeros((len(words), len(SCRIPTS)), np.int64)
+    for a in range(0, len(text), CHARS_AT_ONCE):
+        codes = np.frombuffer(text[a : a + CHARS_AT_ONCE].encode("utf-32-le", "surrogatepass"), np.uint32)
+        owner = np.searchsorted(ends, np.arange(a, a + len(codes)), "right")
+        script = _SCRIPT_NUMBERS[np.searchsorted(_STARTS, codes, "right") - 1]
+        first, last = int(owner[0]), int(owner[-1]) + 1
+        counts[first:last] += np.bincount((owner - first) * len(SCRIPTS) + script, minlength=(last - first) * len(SCRIPTS)).reshape(last - first, len(SCRIPTS))
+    return counts.argmax(axis=1)
 
 
 def letters_of(chunk: str) -> list[str]:
@@ -66,9 +74,9 @@ def letters_of(chunk: str) -> list[str]:
     return "".join(c if c.isalpha() else " " for c in chunk).lower().split()
 
 
-def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(number of the word, bucket) of the words' n-grams of 1 to 4 characters and of the words themselves."""
-    return hashed_ngrams(words, (1, 2, 3, 4), BUCKETS)
+def grams(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(number of the word, bucket) of the words' n-grams of 1 to 4 characters and of the words themselves, in blocks."""
+    return ngram_blocks(words, (1, 2, 3, 4), BUCKETS)
 
 
 def split_letters(chunks: list[str]) -> tuple[list[str], np.ndarray]:
@@ -98,12 +106,12 @@ class Model:
 
     def words(self, words: list[str]) -> np.ndarray:
         """Scores by word and language; languages that never use the word's script get none of its evidence and a fixed loss."""
-        owner, bucket = grams(words)
         scores = np.zeros((len(words), len(self.langs)), np.float32)
         if not words or not self.langs:
             return scores
-        first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-        scores[owner[first]] = np.add.reduceat(self.logs[bucket], first, axis=0) / 3.0
+        for owner, bucket in grams(words):
+            first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+            scores[owner[first]] += np.add.reduceat(self.logs[bucket], first, axis=0) / 3.0
         narrowed = self.candidates[main_scripts(words)]
         scores -= np.where(narrowed, scores, -np.inf).max(axis=1, initial=-1e30)[:, None]
         scores = np.where(narrowed, np.maximum(scores, -20.0), -30.0)
@@ -189,6 +197,8 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """The model of the rows of docs that have a label and aren't held out."""
     labelled = docs.where(F.col("lang").isNotNull() & (fold_column() != 2))
     n = labelled.count()
+    often = labelled.groupBy("lang").agg(F.count("*").alias("rows")).where(F.col("rows") * MOST_LABELS >= n)  # MOST_LABELS rows at most
+    labelled = labelled.join(F.broadcast(often.select("lang")), "lang", "left_semi")
     share = int(min(1.0, max_rows / max(1, n)) * (1 << 30))
     # By id and text, so that neither a repeated id nor a repeated text is all of the sample or none; what is collected are sums by language and bucket.
     sample = labelled.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(8)), F.lit(1 << 30)) < share)
@@ -210,9 +220,8 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS) -> Model:
                 words, owner = split_letters(list(chunks))
                 times = np.fromiter(chunks.values(), np.int64, len(chunks))[owner] if words else np.zeros(0, np.int64)
                 total = np.zeros(BUCKETS)
-                for at in range(0, len(words), AT_ONCE):
-                    word, bucket = grams(words[at : at + AT_ONCE])
-                    total += np.bincount(bucket, weights=times[at + word], minlength=BUCKETS)
+                for word, bucket in grams(words):
+                    total += np.bincount(bucket, weights=times[word], minlength=BUCKETS)
                 letters: Counter = Counter()
                 for w, k in zip(words, times.tolist(), strict=True):
                     if w.isascii():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -10,8 +10,9 @@ import pyarrow as pa
 
 from sieveline.llm.words import AS_WRITTEN, words_in
 
-#: Words whose n-grams are in memory at once.
+#: Words whose n-grams are in memory at once, and characters of them.
 AT_ONCE = 8_000
+CHARS_AT_ONCE = 400_000
 
 _M = np.uint32(0x01000193)
 
@@ -26,12 +27,8 @@ def hashed_ngrams(words: list[str], sizes: tuple[int, ...], buckets: int, whole:
     owners, found = [], []
 
     def add(owner: np.ndarray, hashes: np.ndarray, salt: int) -> None:
-        h = hashes * np.uint32(0x9E3779B1) + np.uint32(salt)
-        h ^= h >> np.uint32(15)
-        h *= np.uint32(0x85EBCA6B)
-        h ^= h >> np.uint32(13)
         owners.append(owner)
-        found.append((h % np.uint32(buckets)).astype(np.int64))
+        found.append(_bucket(hashes, salt, buckets))
 
     rolled = codes.copy()
     for n in range(1, max(sizes) + 1):
@@ -50,6 +47,55 @@ def hashed_ngrams(words: list[str], sizes: tuple[int, ...], buckets: int, whole:
     return owner[order], bucket[order]
 
 
+def ngram_blocks(words: list[str], sizes: tuple[int, ...], buckets: int, whole: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same as hashed_ngrams in blocks of bounded size, in word order: of several words, or of a part of one word however long it is."""
+    begin, chars = 0, 0
+    for i, word in enumerate(words):
+        if i > begin and chars + len(word) > CHARS_AT_ONCE:
+            owner, bucket = hashed_ngrams(words[begin:i], sizes, buckets, whole)
+            yield begin + owner, bucket
+            begin, chars = i, 0
+        if len(word) > CHARS_AT_ONCE:
+            for bucket in _of_long_word(word, sizes, buckets, whole):
+                if len(bucket):
+                    yield np.full(len(bucket), i), bucket
+            begin, chars = i + 1, 0
+        else:
+            chars += len(word)
+    if begin < len(words):
+        owner, bucket = hashed_ngrams(words[begin:], sizes, buckets, whole)
+        yield begin + owner, bucket
+
+
+def _of_long_word(word: str, sizes: tuple[int, ...], buckets: int, whole: bool) -> Iterator[np.ndarray]:
+    """Buckets of a word's n-grams, by stretches of the word that overlap by what an n-gram needs; those of the whole word last."""
+    codes, total, power = f"<{word}>", np.uint32(0), np.uint32(1)
+    powers = np.cumprod(np.concatenate(([1], np.full(CHARS_AT_ONCE, int(_M)))).astype(np.uint32), dtype=np.uint32)
+    longest = max(sizes)
+    for a in range(0, len(codes), CHARS_AT_ONCE):
+        own = np.frombuffer(codes[a : a + CHARS_AT_ONCE + longest - 1].encode("utf-32-le", "surrogatepass"), np.uint32)
+        inside = min(CHARS_AT_ONCE, len(codes) - a)
+        rolled = own.copy()
+        for n in range(1, longest + 1):
+            if n > 1:
+                rolled = rolled[:-1] * _M + own[n - 1 :]
+            if n in sizes:
+                yield _bucket(rolled[:inside], n, buckets)
+        with np.errstate(over="ignore"):
+            total = total + power * np.add.reduce(own[:inside] * powers[:inside], dtype=np.uint32)
+            power = power * powers[CHARS_AT_ONCE]
+    if whole:
+        yield _bucket(np.array([total], np.uint32), 99, buckets)
+
+
+def _bucket(hashes: np.ndarray, salt: int, buckets: int) -> np.ndarray:
+    h = hashes * np.uint32(0x9E3779B1) + np.uint32(salt)
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x85EBCA6B)
+    h ^= h >> np.uint32(13)
+    return (h % np.uint32(buckets)).astype(np.int64)
+
+
 class PartTable:
     """Figures of the parts of texts between ASCII white space. Parts that are new in a batch get theirs together; when there are too many, those that were not met
     again go."""

@@ -12,6 +12,7 @@ table gives an empty result. Where the labels have one grade all get it; without
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 
@@ -28,6 +29,10 @@ BUCKETS, MAX_ROWS = 1 << 16, 4_000
 SCALE = 20
 
 
+#: Words as the scoring splits them.
+WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
+
+
 def bucket(word: str) -> int:
     return zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % BUCKETS
 
@@ -96,7 +101,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, grade_colu
 
     def make():
         def step(batch):
-            own = [(d, sorted(Counter(map(bucket, (t or "").split())).items())) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) if d in sent.value]
+            own = [(d, sorted(Counter(map(bucket, WORDS(t or ""))).items())) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) if d in sent.value]
             return {"doc_id": [d for d, _ in own], "buckets": [[b for b, _ in c] for _, c in own], "n": [[n for _, n in c] for _, c in own]} if own else None
 
         return step

@@ -24,9 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.llm.common import fold, fold_column, map_rows
-from sieveline.llm.ngrams import PartTable, hashed_ngrams
+from sieveline.llm.ngrams import PartTable, hashed_ngrams, ngram_blocks
 
 BUCKETS = 1 << 17
+#: Characters of an n-gram.
+SIZES = (3, 4, 5)
 #: Labelled rows of each label that the model is fitted to, about.
 MAX_ROWS = 2_000
 THRESHOLD = 0.3
@@ -45,7 +47,7 @@ def most_times(n: float | np.ndarray) -> float | np.ndarray:
 
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(number of the word, bucket) of the words' n-grams of 3 to 5 characters and of the words themselves."""
-    return hashed_ngrams(words, (3, 4, 5), BUCKETS)
+    return hashed_ngrams(words, SIZES, BUCKETS)
 
 
 def _sums(values: np.ndarray, groups: np.ndarray, n: int) -> np.ndarray:
@@ -112,8 +114,12 @@ class Model:
 
     def words(self, words: list[str]) -> np.ndarray:
         """The words' numbers: the means of their n-grams'."""
-        owner, bucket = subwords(words)
-        return np.bincount(owner, weights=self.by_gram[bucket], minlength=len(words)) / np.maximum(1, np.bincount(owner, minlength=len(words)))
+        total, n = np.zeros(len(words)), np.zeros(len(words), np.int64)
+        for owner, bucket in ngram_blocks(words, SIZES, BUCKETS):
+            a, b = (int(owner[0]), int(owner[-1]) + 1) if len(owner) else (0, 0)
+            total[a:b] += np.bincount(owner - a, weights=self.by_gram[bucket], minlength=b - a)
+            n[a:b] += np.bincount(owner - a, minlength=b - a)
+        return total / np.maximum(1, n)
 
     def parts(self, chunks: list[str]) -> np.ndarray:
         """Sum of the words' numbers, and number of words, of each chunk."""

@@ -2,11 +2,13 @@
 
 import itertools
 import math
+import tracemalloc
 
 import numpy as np
+import pytest
 from tests.llm.cases import ROWS, documents, empty
 
-from sieveline.llm import language_id, toxicity
+from sieveline.llm import language_id, ngrams, toxicity
 from sieveline.llm import quality_classifier as Q
 from sieveline.llm.common import fold
 from sieveline.llm.ngrams import hashed_ngrams
@@ -49,7 +51,7 @@ def test_ngrams_are_those_of_each_word():
 def test_mixed_texts_are_cut_into_spans():
     rows = []
     for lang, words in (("en", "the house and the river with that stone"), ("de", "das haus und der fluss mit jenem stein")):
-        owner, bucket = language_id.grams(words.split())
+        _, bucket = next(language_id.grams(words.split()))
         rows += [(lang, int(b), 5) for b in bucket] + [(lang, language_id.BUCKETS + language_id.SCRIPTS.index("latin"), 100)]
     label = language_id.Labeller(language_id.Model(rows), 3.0)
     spans = label.spans("the river and the stone with that house das haus und der stein mit jenem fluss")
@@ -173,3 +175,29 @@ def test_quality_tells_held_out_rows_apart(spark):
     held = [(r.p_tail, true[r.doc_id]) for r in Q.grade(docs, labels).collect() if r.held_out and r.doc_id in true]
     good, bad = [p for p, x in held if x], [p for p, x in held if not x]
     assert np.mean([(a > b) + (a == b) / 2 for a in good for b in bad]) > 0.75
+
+
+@pytest.mark.parametrize("at_once", [7, 64, 1_000])
+def test_ngrams_in_blocks_are_the_same(monkeypatch, at_once):
+    """Words of any length, cut anywhere; the hash of the whole word too."""
+    monkeypatch.setattr(ngrams, "CHARS_AT_ONCE", at_once)
+    words = ["a", "short", "", "w" * 200, "éü中" * 50, "x", "abcdefg" * 9, "ends"]
+    owner, bucket = hashed_ngrams(words, (1, 3, 5), 1 << 16)
+    blocks = list(ngrams.ngram_blocks(words, (1, 3, 5), 1 << 16))
+    assert all(len(b) <= 4 * at_once + 60 for _, b in blocks) and all((np.diff(o) >= 0).all() for o, _ in blocks)
+    assert sorted(zip(owner.tolist(), bucket.tolist(), strict=True)) == sorted((i, b) for o, own in blocks for i, b in zip(o.tolist(), own.tolist(), strict=True))
+
+
+def test_one_word_of_many_megabytes():
+    word = "".join(chr(97 + i * i % 23) for i in range(2_000_000))
+    tracemalloc.start()
+    toxicity.Model(np.zeros(toxicity.BUCKETS), 1.0, 0.0).parts([word])
+    language_id.Model([("en", 1, 5), ("de", 2, 5)]).parts([word])
+    assert tracemalloc.get_traced_memory()[1] < 120_000_000
+    tracemalloc.stop()
+
+
+def test_rare_labels_are_not_learnt(spark):
+    rows = [(i, "some plain words of one kind", "en", "a") for i in range(1_500)] + [(9_000 + i, f"qq{i} zz", f"odd{i}", "a") for i in range(700)]
+    model = language_id.fit(documents(spark, rows))
+    assert model.langs == ["en"]
