@@ -14,7 +14,7 @@ def _col(x) -> Column:
 
 def let(x: Column, use) -> Column:
     """use(x) with x computed once: what stands outside a lambda is computed anew for each element inside it, a lambda's variable isn't."""
-    return F.element_at(F.transform(F.array(x), use), 1)
+    return F.element_at(F.transform(F.array(_col(x)), use), 1)
 
 
 def split_identifier(x) -> Column:
@@ -71,7 +71,7 @@ def clean_comment(raw) -> Column:
     def plain(line: Column) -> Column:
         line = F.regexp_replace(line, r"(?U)^\s+|\s+$", "")
         line = F.regexp_replace(line, "^//", "")
-        line = F.regexp_replace(line, r"/\*|\*/", " ")
+        line = F.replace(F.replace(line, F.lit("/*"), F.lit(" ")), F.lit("*/"), F.lit(" "))
         line = F.regexp_replace(line, r"(?U)^[\s/*!<-]*", "")
         line = F.regexp_replace(line, r"(?U)\s+$", "")
         return F.regexp_replace(F.regexp_replace(line, r"\*+$", ""), r"(?U)^\s+|\s+$", "")

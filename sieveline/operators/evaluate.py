@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline import constants as C
-from sieveline.functions.text import query_text
+from sieveline.functions.text import let, query_text, recall_at, reciprocal_rank
 from sieveline.sources.scratch import written
 
 
@@ -48,39 +48,56 @@ def macro_average(by_repo: DataFrame, *keys: str) -> DataFrame:
     return by_repo.groupBy(*keys).agg(*(F.avg(c).alias(c) for c in (*(f"recall_{k}" for k in C.RECALL_KS), "mrr")))
 
 
-#: Poisson draws that a Python worker holds at once.
-DRAWS_AT_ONCE = 2_000_000
+#: Values that occur so often are drawn by the normal distribution that theirs is close to; below, by the Poisson distribution's own steps.
+MANY = 25
+#: Resamples of a value that one row deals out.
+RESAMPLES_AT_ONCE = 500
 
 
-def bootstrap_table(values: DataFrame, resamples: int, seed: int = 0, confidence: float = C.CONFIDENCE) -> DataFrame:
-    """values(grp, diff) -> one row diff, lo, hi, p_le_0: the mean over groups of the mean difference, with its percentile interval.
+def poisson_steps(n: int) -> list[float]:
+    """P(Poisson(n) <= k) for k from 0 as far as it is told from 1."""
+    term, total, steps = math.exp(-n), 0.0, []
+    for k in range(1, 200):
+        total += term
+        steps.append(total)
+        if total > 1 - 1e-12:
+            break
+        term *= n / k
+    return steps
+
+
+def drawn_times(seed: int, resample, keys: Sequence[str], n, steps) -> Column:
+    """How often rows that occur n times are in a resample: a Poisson number by a hash of seed, resample and keys, the same in every engine. steps: poisson_steps(n) for few ones."""
+    hashed = F.sha1(F.concat_ws("/", F.lit(str(seed)), resample.cast("string"), *(F.col(k).cast("string") for k in keys)))
+    first, second = (((F.conv(F.substring(hashed, at, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)) for at in (1, 14))
+    few = let(first, lambda u: F.size(F.filter(steps, lambda step: step < u))).cast("double")
+    normal = F.sqrt(-2 * F.log(first)) * F.cos(2 * math.pi * second)
+    return F.when(n < MANY, few).otherwise(F.greatest(F.lit(0.0), F.round(n + F.sqrt(n) * normal)))
+
+
+def bootstrap_table(values: DataFrame, resamples: int, seed: int = 0, confidence: float = C.CONFIDENCE, by: Sequence[str] = ()) -> DataFrame:
+    """values(*by, grp, diff) -> by, diff, lo, hi, p_le_0: the mean over groups of the mean difference, with its percentile interval, for each of `by`.
 
     Resampling with replacement is a Poisson number of times that each row is drawn; equal values of a group are drawn together, as their numbers add up to
-    one Poisson number. So a resample is a weighted mean that partitions sum up: nothing is broadcast, and a task passes on resamples x groups sums. The draws
-    hang on seed, group and value alone. Null differences aren't drawn; an empty table gives nulls.
+    one Poisson number. So a resample is a weighted mean that partitions sum up: a task passes on resamples x groups sums. The draws
+    hang on seed, resample, by, group and value (in millionths) alone. Null differences aren't drawn; no values give no row, but one of nulls where there is no `by`.
     """
-    rows = values.where("diff IS NOT NULL").groupBy(F.col("grp").cast("string").alias("grp"), F.col("diff").cast("double").alias("diff")).agg(F.count("*").alias("n"))
-    rows = written(rows.withColumn("key", F.xxhash64(F.lit(seed), "grp", "diff")), "resampled")
-
-    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[str, np.ndarray] = {}
-        few = max(1, DRAWS_AT_ONCE // max(1, resamples))
-        for batch in batches:
-            for grp, own in batch.groupby("grp", dropna=False):
-                total = sums.setdefault(grp, np.zeros((2, resamples)))
-                for at in range(0, len(own), few):
-                    some = own.iloc[at : at + few]
-                    times = np.stack([np.random.default_rng(key % (1 << 64)).poisson(n, resamples) for key, n in zip(some["key"].tolist(), some["n"].tolist(), strict=True)])
-                    total += np.stack([times.sum(axis=0), some["diff"].to_numpy() @ times])
-        for grp, (w, x) in sums.items():
-            yield pd.DataFrame({"resample": np.arange(resamples), "grp": grp, "w": w.astype(float), "x": x})
-
-    sums = rows.mapInPandas(drawn, "resample long, grp string, w double, x double").groupBy("resample", "grp").agg(F.sum("w").alias("w"), F.sum("x").alias("x"))
-    by_resample = sums.where("w > 0").groupBy("resample").agg(F.avg(F.col("x") / F.col("w")).alias("m"))
+    by = list(by)
+    rows = values.where("diff IS NOT NULL").select(*by, F.coalesce(F.col("grp").cast("string"), F.lit("")).alias("grp"), F.round(F.col("diff") * 1_000_000).cast("long").alias("value"))
+    steps = F.array(*(F.array(*map(F.lit, poisson_steps(k))) for k in range(1, MANY)))
+    rows = rows.groupBy(*by, "grp", "value").agg(F.count("*").alias("n"))
+    rows = written(rows.withColumn("steps", F.when(F.col("n") < MANY, F.get(steps, F.col("n").cast("int") - 1))), "resampled")
+    # Few values may lie in one file: blocks of resamples deal the draws out.
+    blocks = rows.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(max(0, resamples - 1)), F.lit(RESAMPLES_AT_ONCE)))).repartition("first", "grp", "value")
+    each = blocks.withColumn("resample", F.explode(F.sequence("first", F.least(F.col("first") + RESAMPLES_AT_ONCE, F.lit(resamples)) - 1)))
+    each = each.withColumn("w", drawn_times(seed, F.col("resample"), [*by, "grp", "value"], F.col("n"), F.col("steps")))
+    sums = each.groupBy(*by, "resample", "grp").agg(F.sum("w").alias("w"), (F.sum(F.col("w") * F.col("value")) / 1e6).alias("x"))
+    by_resample = sums.where("w > 0").groupBy(*by, "resample").agg(F.avg(F.col("x") / F.col("w")).alias("m"))
     alpha = (1 - confidence) / 2
-    spread = by_resample.agg(F.expr(f"percentile(m, {alpha})").alias("lo"), F.expr(f"percentile(m, {1 - alpha})").alias("hi"), F.avg((F.round("m", 12) <= 0).cast("double")).alias("p_le_0"))
-    means = rows.groupBy("grp").agg((F.sum(F.col("n") * F.col("diff")) / F.sum("n")).alias("mean"))
-    return means.agg(F.avg("mean").alias("diff")).crossJoin(spread)  # a row each
+    spread = by_resample.groupBy(*by).agg(F.expr(f"percentile(m, {alpha})").alias("lo"), F.expr(f"percentile(m, {1 - alpha})").alias("hi"), F.avg((F.round("m", 12) <= 0).cast("double")).alias("p_le_0"))
+    means = rows.groupBy(*by, "grp").agg((F.sum(F.col("n") * F.col("value")) / F.sum("n") / 1e6).alias("mean"))
+    diffs = means.groupBy(*by).agg(F.avg("mean").alias("diff"))
+    return diffs.join(spread, by, "left") if by else diffs.crossJoin(spread)  # a row each
 
 
 def paired_bootstrap(a: Sequence[np.ndarray], b: Sequence[np.ndarray], resamples: int = C.RESAMPLES, seed: int = 0, confidence: float = C.CONFIDENCE) -> dict:
@@ -108,9 +125,26 @@ def ranks_table(spark, path: str) -> DataFrame:
     return models.select("model", "repo", F.explode("methods").alias("method", "list")).select("model", "repo", "method", F.posexplode("list").alias("query_no", "rank"))
 
 
-def mrr_by_repo(ranks: DataFrame, repos: list[str]) -> DataFrame:
-    return ranks.groupBy("model", "method").pivot("repo", repos).agg(F.avg(1.0 / F.col("rank")))
+def ablation_intervals(ranks: DataFrame, reference: str, resamples: int = C.RESAMPLES, seed: int = 0, confidence: float = C.CONFIDENCE) -> DataFrame:
+    """model, method, metric (mrr, recall_10), diff, lo, hi, p_le_0 of all models but the reference, whose queries they are paired with; repositories are the groups."""
+    own = ranks.select("model", "repo", "method", "query_no", "rank")
+    base = own.where(F.col("model") == reference).select("repo", "method", "query_no", F.col("rank").alias("base"))
+    pairs = own.where(F.col("model") != reference).join(base, ["repo", "method", "query_no"])
+    figures = F.array(*(F.struct(F.lit(name).alias("metric"), (of(F.col("rank")) - of(F.col("base"))).alias("diff")) for name, of in (("mrr", reciprocal_rank), ("recall_10", recall_at))))
+    values = pairs.select("model", "method", F.col("repo").alias("grp"), F.explode(figures).alias("f")).select("model", "method", "f.metric", "grp", "f.diff")
+    return bootstrap_table(values, resamples, seed, confidence, ["model", "method", "metric"])
+
+
+def mrr_by_repo(ranks: DataFrame, repos: Sequence[str]) -> DataFrame:
+    """model, method and a column of mean reciprocal ranks for each of the repositories."""
+    return ranks.groupBy("model", "method").pivot("repo", list(repos)).agg(F.avg(1.0 / F.col("rank")))
 
 
-def validation_order(ranked: DataFrame) -> Window:
-    return Window.partitionBy("query_id").orderBy("rank")
+def rank_dump(ranks: DataFrame) -> DataFrame:
+    """One row `value`, JSON: {"models": [...], "ranks": {model: {repo: {method: [rank of query 0, 1, ...]}}}}, which ranks_table reads again. A list holds the queries of a
+    repository, as the form asks."""
+    lists = ranks.groupBy("model", "repo", "method").agg(F.transform(F.array_sort(F.collect_list(F.struct("query_no", "rank"))), lambda x: x["rank"].cast("int")).alias("list"))
+    for key, inner in (("method", "list"), ("repo", "of_method"), ("model", "of_repo")):
+        left = [k for k in ("model", "repo", "method") if k in lists.columns and k != key]
+        lists = lists.groupBy(*left).agg(F.map_from_entries(F.collect_list(F.struct(key, inner))).alias(f"of_{key}"))
+    return lists.select(F.to_json(F.struct(F.map_keys("of_model").alias("models"), F.col("of_model").alias("ranks"))).alias("value"))

@@ -3,26 +3,52 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline import constants as C
-from sieveline.operators import evaluate
+from sieveline.operators import evaluate, lexical, rank
+from sieveline.operators.numbering import numbered
 from sieveline.plans.search import SearchIndex
+from sieveline.sources.scratch import written
 
 
 def query_ranks(index: SearchIndex, queries: DataFrame, methods=C.METHODS) -> DataFrame:
-    """method, query_id, target, rank; all methods share the queries' tokens and vectors."""
-    asked = index.queries(queries.select("query_id", "text")).persist()
-    n, total = index.units.count(), None
-    for method in methods:
-        own = index.ranking(asked, method, n).join(queries.select("query_id", F.col("target").alias("ordinal")), ["query_id", "ordinal"])
-        own = own.select(F.lit(method).alias("method"), "query_id", F.col("ordinal").alias("target"), "rank")
+    """method, query_id, target, rank; all methods share the queries' tokens and vectors, and the scores of both sides."""
+    return target_ranks(index, written(index.queries(queries.select("query_id", "text")), "asked"), queries.select("query_id", "target"), methods)
+
+
+def target_ranks(index: SearchIndex, asked: DataFrame, targets: DataFrame, methods=C.METHODS, matched: DataFrame | None = None) -> DataFrame:
+    """method, query_id, target, rank of the queries asked(query_id, tokens, embedding): counted, without a full ranking. Zero scores are as good as none."""
+    total = None
+    for method, scored in index.shared_scores(asked, methods, matched).items():
+        decimals = rank.RAW_DECIMALS if method in ("bm25", "dense") else rank.FUSED_DECIMALS
+        own = evaluate.target_ranks(scored, targets, decimals).select(F.lit(method).alias("method"), "query_id", "target", "rank")
         total = own if total is None else total.unionByName(own)
     return total
 
 
+def ablation_ranks(corpora: dict[str, DataFrame], embedders: dict[str, Callable], methods=C.METHODS[1:]) -> DataFrame:
+    """model, repo, method, query_no, rank of the units of each repository under each model, with comments out of the index. The lexical side doesn't hang on the model: it is
+    computed once for each repository."""
+    total = None
+    for repo, units in corpora.items():
+        queries = written(evaluate.build_queries(units), "queries")
+        matched = None
+        for model, embedder in embedders.items():
+            index = SearchIndex(units, include_comments=False, model_name=model, embedder=embedder)
+            asked = written(index.queries(queries.select("query_id", "text")), "asked")
+            if matched is None:
+                matched = written(lexical.scores(index.tokens, asked), "matched")
+            own = target_ranks(index, asked, queries.select("query_id", "target"), methods, matched)
+            own = own.select(F.lit(model).alias("model"), F.lit(repo).alias("repo"), "method", "query_id", "rank")
+            total = own if total is None else total.unionByName(own)
+    # Queries of a repository and method are numbered in their own order, the same for all models.
+    return numbered(total, ["query_id"], ["model", "repo", "method"], "query_no").select("model", "repo", "method", "query_no", "rank")
+
+
 def evaluate_repository(units: DataFrame, name: str, methods=C.METHODS, **options) -> tuple[list, dict]:
     """Metrics by method, and the corpus row."""
     began = time.time()

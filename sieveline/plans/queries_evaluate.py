@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from sieveline import constants as C
 from sieveline.functions import text as T
-from sieveline.operators import evaluate, lexical, rank
+from sieveline.operators import evaluate, lexical, rank, training
 from sieveline.operators.numbering import numbered
+from sieveline.plans import bench
 from sieveline.plans import queries_search as Q
 from sieveline.plans import sql as S
 from sieveline.plans.registering import query
@@ -73,16 +74,30 @@ SELECT method, {_METRICS} FROM ranks GROUP BY method""")
 def bench_methods(spark, sf):
     """Known-item search under all methods: the target of a query is its own document."""
     index, wanted = Q._index(spark, sf)
-    targets = wanted.select("query_id", F.col("query_id").alias("target"))
-    total = None
-    for method in C.METHODS:
-        decimals = rank.RAW_DECIMALS if method in ("bm25", "dense") else rank.FUSED_DECIMALS
-        own = evaluate.target_ranks(index.scores(wanted, method), targets, decimals).select(F.lit(method).alias("method"), "rank")
-        total = own if total is None else total.unionByName(own)
-    return _rounded(evaluate.metrics(total, "method"), "method")
+    ranks = bench.target_ranks(index, wanted, wanted.select("query_id", F.col("query_id").alias("target")))
+    return _rounded(evaluate.metrics(ranks, "method"), "method")
 
 
-@query("paired_bootstrap")
+def _draws(rows: str, resamples: int, by: str = "") -> str:
+    """CTEs that end in spread(by, lo, hi, p_le_0) and diffs(by, diff): resamples of rows(by, grp, value, n)."""
+    b, group = (f"{by}, ", f"GROUP BY {by}") if by else ("", "")
+    keys = ", ".join(f"{k}::VARCHAR" for k in [*filter(None, by.split(", ")), "grp", "value"])
+    uniform = lambda at: f"(('0x' || substr(h, {at}, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE"
+    steps = ", ".join(f"[{', '.join(f'{x!r}::DOUBLE' for x in evaluate.poisson_steps(k))}]" for k in range(1, evaluate.MANY))
+    return f"""bh AS (SELECT *, sha1(concat_ws('/', '0', resample::VARCHAR, {keys})) AS h FROM {rows} CROSS JOIN (SELECT unnest(range({resamples})) AS resample)),
+bu AS (SELECT *, {uniform(1)} AS u1, {uniform(14)} AS u2 FROM bh),
+bw AS (SELECT *, CASE WHEN n < {evaluate.MANY} THEN len(list_filter(([{steps}])[n], lambda s: s < u1))::DOUBLE ELSE greatest(0.0, round(n + sqrt(n) * sqrt(-2 * ln(u1)) * cos(2 * pi() * u2))) END AS w FROM bu),
+bs AS (SELECT {b}resample, grp, sum(w) AS w, sum(w * value) / 1e6 AS x FROM bw GROUP BY {b}resample, grp),
+br AS (SELECT {b}resample, avg(x / w) AS m FROM bs WHERE w > 0 GROUP BY {b}resample),
+spread AS (SELECT {b}quantile_cont(m, {(1 - C.CONFIDENCE) / 2}) AS lo, quantile_cont(m, {(1 + C.CONFIDENCE) / 2}) AS hi, avg(CASE WHEN round(m, 12) <= 0 THEN 1.0 ELSE 0.0 END) AS p_le_0 FROM br {group}),
+diffs AS (SELECT {b}avg(mean) AS diff FROM (SELECT {b}grp, sum(n * value)::DOUBLE / sum(n) / 1e6 AS mean FROM {rows} GROUP BY {b}grp) {group})"""
+
+
+_ROUND4 = "round(diff, 6) AS diff, round(lo, 6) AS lo, round(hi, 6) AS hi, round(p_le_0, 6) AS p_le_0"
+
+
+@query("paired_bootstrap", f"""WITH v AS (SELECT l_returnflag AS grp, round((l_discount - l_tax)::DOUBLE * 1000000)::BIGINT AS value, count(*) AS n FROM lineitem GROUP BY ALL), {_draws('v', C.RESAMPLES)}
+SELECT {_ROUND4} FROM diffs CROSS JOIN spread""")
 def paired_bootstrap(spark, sf):
     """10,000 resamples of the paired differences of all line items, within three groups."""
     rows = table(spark, sf, "lineitem")
@@ -103,6 +118,42 @@ def ablation_table(spark, sf):
     return evaluate.ablation(ranks, "m0").select("model", "method", *(F.round(c, 6).alias(c) for c in ("recall_1", "recall_10", "mrr", "d_mrr", "d_recall_10")))
 
 
+# Ranks of each line's query under three models: by its number, its quantity, its part.
+_MODEL_RANKS = """mr AS (SELECT unnest(['m0', 'm1', 'm2']) AS model, l_returnflag AS repo, l_linestatus AS method, l_orderkey * 8 + l_linenumber AS query_no, unnest([l_linenumber * 2, l_quantity::BIGINT % 7 * 2 + 1, l_partkey % 5 * 3 + 1])::BIGINT AS rank FROM lineitem)"""
+
+
+def _model_ranks(spark, sf):
+    rows = table(spark, sf, "lineitem")
+    ranks = {"m0": F.col("l_linenumber") * 2, "m1": F.col("l_quantity").cast("long") % 7 * 2 + 1, "m2": F.col("l_partkey") % 5 * 3 + 1}
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), r.cast("long").alias("rank")) for m, r in ranks.items())))
+    return rows.select(F.col("l_returnflag").alias("repo"), F.col("l_linestatus").alias("method"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("query_no"), each.alias("m")).select("m.model", "repo", "method", "query_no", "m.rank")
+
+
+@query("ablation_intervals", f"""WITH {_MODEL_RANKS}, pr AS (SELECT a.model, a.method, a.repo AS grp, unnest(['mrr', 'recall_10']) AS metric, unnest([1.0::DOUBLE / a.rank - 1.0::DOUBLE / b.rank, CASE WHEN a.rank <= 10 THEN 1.0::DOUBLE ELSE 0.0 END - CASE WHEN b.rank <= 10 THEN 1.0::DOUBLE ELSE 0.0 END]) AS d
+  FROM mr a JOIN mr b ON b.model = 'm0' AND a.model <> 'm0' AND a.repo = b.repo AND a.method = b.method AND a.query_no = b.query_no),
+v AS (SELECT model, method, metric, grp, round(d * 1000000)::BIGINT AS value, count(*) AS n FROM pr GROUP BY ALL), {_draws('v', 1_000, 'model, method, metric')}
+SELECT d.model, d.method, d.metric, {_ROUND4} FROM diffs d JOIN spread s ON s.model = d.model AND s.method = d.method AND s.metric = d.metric""")
+def ablation_intervals(spark, sf):
+    """Two models against a third one, by method and metric, in 1,000 resamples of all lines."""
+    found = evaluate.ablation_intervals(_model_ranks(spark, sf), "m0", 1_000)
+    return found.select("model", "method", "metric", *(F.round(c, 6).alias(c) for c in ("diff", "lo", "hi", "p_le_0")))
+
+
+@query("ablation_by_repo", f"WITH {_MODEL_RANKS} SELECT model, method, " + ", ".join(f"round(avg(1.0::DOUBLE / rank) FILTER (WHERE repo = '{r}'), 6) AS {r}" for r in "ANR") + " FROM mr GROUP BY model, method")
+def ablation_by_repo(spark, sf):
+    found = evaluate.mrr_by_repo(_model_ranks(spark, sf), ["A", "N", "R"])
+    return found.select("model", "method", *(F.round(c, 6).alias(c) for c in "ANR"))
+
+
+@query("rank_dump", f"WITH {_MODEL_RANKS} SELECT model, repo, method, row_number() OVER (PARTITION BY model, repo, method ORDER BY query_no) - 1 AS query_no, rank FROM mr WHERE query_no % 100 = 0")
+def rank_dump(spark, sf):
+    """The ranks of every hundredth query, numbered, as a dump that is written and read again."""
+    ranks = numbered(_model_ranks(spark, sf).where("query_no % 100 = 0").withColumnRenamed("query_no", "key"), ["key"], ["model", "repo", "method"], "query_no")
+    path = new_path(spark, "dump")
+    evaluate.rank_dump(ranks).write.text(path)
+    return evaluate.ranks_table(spark, path).select("model", "repo", "method", F.col("query_no").cast("long").alias("query_no"), F.col("rank").cast("long").alias("rank"))
+
+
 # ---- runs: a user is a run, an event type a metric, an event's time a step
 @query("metric_history", "SELECT user_id AS run_id, event_type AS key, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS step, value FROM events")
 def metric_history(spark, sf):
@@ -146,15 +197,13 @@ def best_run(spark, sf):
 
 @query("train_metric_log")
 def train_metric_log(spark, sf):
-    """Loss by step of the in-batch contrastive loss over batches of 16 pairs of vectors."""
-    from sieveline.operators import dense
-
-    pairs = Q._vector_pairs(spark, sf).withColumn("step", F.floor(F.col("pair_id") / 16))
-    every = pairs.select("step", F.col("pair_id").alias("other_id"), F.col("d").alias("other"))
-    scored = pairs.select("step", "pair_id", "q").join(every, "step").select("step", "pair_id", "other_id", (20.0 * dense.dot("q", "other")).alias("s"))
-    own = F.max(F.when(F.col("pair_id") == F.col("other_id"), F.col("s")))
-    losses = scored.groupBy("step", "pair_id").agg((F.log(F.sum(F.exp("s"))) - own).alias("loss"))
-    return losses.groupBy("step").agg(F.round(F.avg("loss"), 6).alias("train_loss")).orderBy("step")
+    """What a training run over all pairs of vectors has logged: loss and rate by step, and the validation figure, read from its run log."""
+    log = registry.RunLog(spark, new_path(spark, "runs"))
+    pairs = Q._vector_pairs(spark, sf).select("pair_id", F.col("q").cast("array<double>").alias("q"), F.col("d").cast("array<double>").alias("d"))
+    options = training.Options(batch_size=16, steps=8)
+    with log.run("vectors", options._asdict()) as report:
+        training.train(pairs, options, report)
+    return log.metrics().where("run_id = 'vectors'").select("key", "step", F.round("value", 6).alias("value"))
 
 
 @query("report_rows", f"{_RANKS}, m AS (SELECT repo, {_METRICS} FROM ranks GROUP BY repo) SELECT printf('| %s | BM25 (baseline) | %.3f | %.3f | %.3f | %.3f |', repo, recall_1, recall_5, recall_10, mrr) AS line FROM m")

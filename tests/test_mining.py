@@ -3,6 +3,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from sieveline import constants as C
 from sieveline.operators import mining
@@ -137,3 +138,51 @@ def test_model_specs(spark):
     for spec in ("mlflow:best-none", "mlflow:r9", "mlflow:r4"):
         with pytest.raises(LookupError):
             registry.resolve_model(spec, runs, metrics)
+
+
+@pytest.mark.parametrize("cut", [0.0, 0.3, 0.5, 0.6, 1.0])
+def test_near_sets_are_the_plain_ones(spark, cut):
+    """Sets of all sizes, empty ones, equal ones, and two shingles that all sets have."""
+    draw = random.Random(11)
+    sets = lambda n: [sorted({1, 2, *(draw.randint(3, 30) for _ in range(draw.randint(0, 12)))}) if draw.random() < 0.9 else [] for _ in range(n)]
+    left, right = sets(120), sets(40)
+    right += right[:5]
+    left += right[:5] + [[99], [1], [1, 2]]
+    found = {r.a: r.j for r in mining.near_sets(spark.createDataFrame(list(enumerate(left)), "a long, shingles array<long>"), spark.createDataFrame([(x,) for x in right], "shingles array<long>"), cut).collect()}
+    best = {a: max((len(set(x) & set(y)) / len(set(x) | set(y)) for y in right if x and y), default=0.0) for a, x in enumerate(left)}
+    assert found == pytest.approx({a: j for a, j in best.items() if j > 0 and j >= cut})
+
+
+def test_a_shingle_of_all_sets_makes_no_pairs(spark):
+    """A thousand sets that share two shingles and have nothing else in common: pairs are made for equal sizes of prefixes only, not for rows times sets."""
+    left = spark.range(1_000).select(F.col("id").alias("a"), F.array(F.lit(-1).cast("long"), F.lit(-2).cast("long"), F.col("id"), F.col("id") + 5_000).alias("shingles"))
+    right = spark.range(1_000).select(F.array(F.lit(-1).cast("long"), F.lit(-2).cast("long"), F.col("id") + 20_000, F.col("id") + 30_000).alias("shingles"))
+    assert mining.near_sets(left, right, 0.6).count() == 0
+    assert {round(r.j, 6) for r in mining.near_sets(left, right, 0.3).collect()} == {0.333333}
+
+
+def test_commands_train_and_use_a_run(spark, tmp_path, capsys):
+    """mine, train, query and bench by the trained model; what they say about models that aren't there."""
+    own, bench = tmp_path / "own", tmp_path / "bench"
+    words = "ring stack table head tail slot queue value index body".split()
+    for place, n in ((own, 40), (bench, 3)):
+        place.mkdir()
+        for k in range(8 if place is own else 1):
+            (place / f"f{k}.c").write_text("\n".join(f"/* {words[i % 10]} number {i} of {place.name} file {k} */\nint f{k}_{i}(int a)\n{{\n    int {words[i % 10]}_{i} = a * {i};\n    {words[(i + 3) % 10]}(a, {i + 3}, {k});\n    return {words[i % 10]}_{i};\n}}\n" for i in range(n // (8 if place is own else 1))))
+    out, runs = tmp_path / "out", tmp_path / "runs"
+    assert cli.main(["mine", "--training", str(own), "--benchmark", str(bench), "--out-dir", str(out)]) == 0
+    assert "| own | 40 |" in (out / "stats.md").read_text()
+    config = tmp_path / "runs.toml"
+    config.write_text("[defaults]\nbatch_size = 8\nlearning_rate = 0.01\neval_every = 2\n[runs.a]\nnegatives = 'random'\n")
+    assert cli.main(["train", str(config), "a", "--pairs-dir", str(out), "--tracking-dir", str(runs), "--run-id", "first"]) == 0
+    log = registry.RunLog(spark, str(runs))
+    assert log.runs().first().status == "FINISHED" and {r.key for r in log.metrics().collect()} == {"train_loss", "learning_rate", "val_mrr", "final_val_mrr"}
+    assert cli.main(["query", str(bench), "ring number 0", "--model", "mlflow:best-random", "--tracking-dir", str(runs), "-k", "2"]) == 0
+    assert cli.main(["query", str(bench), "x", "--model", "mlflow:best-hard", "--tracking-dir", str(runs)]) == 2 and cli.main(["query", str(bench), "x", "--model", "other"]) == 2
+    assert cli.main(["bench", "--repo", str(tmp_path / "none")]) == 2 and cli.main(["bench"]) == 2
+    assert cli.main(["ablation", str(tmp_path / "dump"), "hashed-64", "--repo", str(own), "--model", "hashed-8", "--out", str(tmp_path / "ablation.md"), "--resamples", "200"]) == 0
+    text = (tmp_path / "ablation.md").read_text()
+    assert "hashed-8" in text and "ΔR@10" in text and "| own |" in text
+    assert cli.main(["ablation", str(tmp_path / "dump"), "hashed-64", "--out", str(tmp_path / "again.md"), "--resamples", "200"]) == 0 and (tmp_path / "again.md").read_text() == text
+    assert cli.main(["train", str(config), "b", "--pairs-dir", str(out)]) == 2
+    capsys.readouterr()
