@@ -145,10 +145,10 @@ def ablation_by_repo(spark, sf):
     return found.select("model", "method", *(F.round(c, 6).alias(c) for c in "ANR"))
 
 
-@query("rank_dump", f"WITH {_MODEL_RANKS} SELECT model, repo, method, row_number() OVER (PARTITION BY model, repo, method ORDER BY query_no) - 1 AS query_no, rank FROM mr WHERE query_no % 100 = 0")
+@query("rank_dump", f"WITH {_MODEL_RANKS} SELECT model, repo, method, row_number() OVER (PARTITION BY model, repo, method ORDER BY query_no, rank) - 1 AS query_no, rank FROM mr WHERE query_no % 100 = 0")
 def rank_dump(spark, sf):
     """The ranks of every hundredth query, numbered, as a dump that is written and read again."""
-    ranks = numbered(_model_ranks(spark, sf).where("query_no % 100 = 0").withColumnRenamed("query_no", "key"), ["key"], ["model", "repo", "method"], "query_no")
+    ranks = numbered(_model_ranks(spark, sf).where("query_no % 100 = 0").withColumnRenamed("query_no", "key"), ["key", "rank"], ["model", "repo", "method"], "query_no")
     path = new_path(spark, "dump")
     evaluate.rank_dump(ranks).write.text(path)
     return evaluate.ranks_table(spark, path).select("model", "repo", "method", F.col("query_no").cast("long").alias("query_no"), F.col("rank").cast("long").alias("rank"))
