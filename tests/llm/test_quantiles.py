@@ -3,11 +3,12 @@ import random
 import pytest
 
 from sieveline.llm import quantiles as Q
+from sieveline.llm.common import materialize
 
 
 def hist(spark, groups):
     rows = [(g, x) for g, xs in groups.items() for x in xs]
-    return Q.histogram(spark.createDataFrame(rows, "g string, x long").where("g IS NOT NULL AND x IS NOT NULL"), ["g"])
+    return materialize(Q.histogram(spark.createDataFrame(rows, "g string, x long").where("g IS NOT NULL AND x IS NOT NULL"), ["g"]), "values")
 
 
 def ranks(xs, x):
