@@ -265,8 +265,8 @@ def answers(summaries: DataFrame, keys: Sequence[str], parts: int) -> DataFrame:
 
 
 def measured(hist: DataFrame, given: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """given(keys, n, i, target, answer) -> with exact_x, n_below, n_upto: the target-th smallest value of hist(keys, x, c), a written table, and the rows below and up to the
-    answer, by the same counting passes."""
+    """given(keys, n, i, target, answer) -> with exact_x, n_below, n_upto: the target-th smallest value of hist(keys, x, c), a written table in which a
+    value may be in several rows of a group (fewer than GATHERED), and the rows below and up to the answer, by the same counting passes."""
     keys = list(keys)
     # No group has more distinct values than rows.
     asked = given.groupBy(*keys).agg(F.first("n").alias("d"), F.flatten(F.collect_list(F.array(*(F.struct(F.lit(kind).alias("kind"), F.col("i").alias("id"), F.col(c).alias("wanted")) for kind, c in ((ROWS, "target"), (VALUE, "answer")))))).cast(_CUT).alias("cuts"))
@@ -296,7 +296,17 @@ def _finite(money: str) -> Column:
 
 def values_of(clicks: DataFrame) -> DataFrame:
     """stream, grp, batch, x, c of clicks, each click_id once (the first of its rows by arrived_at, client_id and value)."""
-    own = clicks.groupBy("click_id").agg(F.min(F.struct("arrived_at", "client_id", "value")).alias("r")).select("click_id", "r.client_id", "r.value").where(F.col("client_id").isNotNull() & _finite("value"))
+    figures = [f(c).alias(f"{name}_{c}") for c in ("client_id", "value") for name, f in (("n", F.count), ("a", F.min), ("b", F.max))]
+    # Rows of an id that are the same in client and value, as nearly all are, need no order, so no sort.
+    found = materialize(clicks.groupBy("click_id").agg(F.count("*").alias("n"), *figures), "clicks")
+    alike = [F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")) & F.col(f"n_{c}").isin(F.lit(0), F.col("n")) for c in ("client_id", "value")]
+    own = found.where(alike[0] & alike[1]).select("click_id", F.col("a_client_id").alias("client_id"), F.col("a_value").alias("value"))
+    other = found.where(~(alike[0] & alike[1])).select("click_id", F.lit(True).alias("other"))
+    if other.limit(1).count():
+        again = clicks.withColumn("_id", F.struct("click_id")).join(other.select(F.struct("click_id").alias("_id")).hint("merge"), "_id", "left_semi")
+        first = again.groupBy("click_id").agg(F.min(F.struct("arrived_at", "client_id", "value")).alias("r")).select("click_id", "r.client_id", "r.value")
+        own = own.unionByName(first)
+    own = own.where(F.col("client_id").isNotNull() & _finite("value"))
     own = own.select(F.lit("value").alias("stream"), F.col("client_id").cast("string").alias("grp"), _batch("click_id").alias("batch"), "value")
     return histogram(own.withColumn("x", _scaled("value")), KEYS)
 
@@ -330,8 +340,7 @@ def _deciles(spark: SparkSession, sf_dir: str, parts: int, least: int, allowed:
     # The exact figures of a batch are in its own summary: its deciles are cuts, and the bounds of its cuts are exact.
     own = answers(batches.where(asked), KEYS, parts).withColumns({"exact_x": F.col("answer"), "n_below": F.col("below").cast("long"), "n_upto": F.col("upto").cast("long")})
     merged = materialize(answers(whole.where(asked), KEYS, parts), "answers")
-    every_x = materialize(histogram(hist, ["grp", "stream"], count="c").withColumn("batch", F.lit(-1)), "values")
-    merged = measured(every_x, merged, KEYS)
+    merged = measured(hist.withColumn("batch", F.lit(-1)), merged, KEYS)
     columns = [*KEYS, "i", "n", "target", "exact_x", "points", "answer", "n_below", "n_upto"]
     every = own.select(*columns).unionByName(merged.select(*columns))
     error = F.greatest(F.lit(0).cast("long"), F.col("n_below") + 1 - F.col("target"), F.col("target") - F.col("n_upto"))

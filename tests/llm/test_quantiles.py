@@ -75,7 +75,10 @@ def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     clicks = spark.createDataFrame([(1, "a", 5, 1.0, 1), (1, "a", 5, 1.0, 1), (2, "b", 5, nan, 1), (3, "b", 5, inf, 1), (4, "b", None, 1.0, 1), (5, "b", 5, None, 1), (None, "b", 5, 2.0, 1)], "click_id long, arrived_at string, client_id long, value double, x int")
     found = sorted(tuple(r) for r in Q.values_of(clicks).collect())
-    assert found == [("value", "5", 0, 200, 1), ("value", "5", 7, 7100, 1)]
+    assert found == [("5", 0, "value", 200, 1), ("5", 7, "value", 7100, 1)]
+    # Of rows of an id that differ the first by arrival counts, nulls before others.
+    differ = spark.createDataFrame([(1, "b", 5, 1.0), (1, "a", 6, 2.0), (2, "a", 7, 3.0), (2, None, None, 4.0), (3, "a", 8, 1.0), (3, "a", 8, None), (None, "b", 9, 1.0), (None, "a", 9, 3.0)], "click_id long, arrived_at string, client_id long, value double")
+    assert sorted((r.grp, r.x % 1000) for r in Q.values_of(differ).collect()) == [("6", 200), ("9", 300)]
     lines = spark.createDataFrame([(1, 1), (1, 1), (None, 1), (2, 1), (3, None)], "item_id long, vendor_id long")
     items = spark.createDataFrame([(1, "b", 1.005), (2, None, 1.0), (3, "b", 0.0)], "item_id long, brand string, price double")
-    assert sorted(tuple(r) for r in Q.prices_of(lines, items).collect()) == [("price", "b", 0, 0, 1), ("price", "b", 7, 7100, 2)]
+    assert sorted(tuple(r) for r in Q.prices_of(lines, items).collect()) == [("b", 0, "price", 0, 1), ("b", 7, "price", 7100, 2)]
