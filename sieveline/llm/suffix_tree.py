@@ -6,8 +6,8 @@ share there, smoothed by what the next shorter kept context says; the longest ke
 
 How it runs: texts become blocks of coded words. For each depth the blocks send what they have seen, each pair of context and next word once with its count, to shards
 by context; a shard adds up the counts, tests its contexts and answers each block in the order in which it asked. So nothing moves for each word of a text, the counts of the whole corpus
-are only ever together by shards, and neither the driver nor a broadcast holds a part of the model. Contexts seen very often are dealt out by next word
-as well; these are kept without a test.
+are only ever together by shards. Contexts seen very often are dealt out by next word as well; their gains are summed over the shards and tested like the others', before the blocks use the answers.
+Of the model, the driver and the blocks only get those of them that are kept: fewer than the training tokens by `deal`.
 
 A null text is an empty one, whose only token is the end; rows without an id are scored and not learnt from, as are those that the caller holds out; repeated rows count as often as
 they are there; an empty table gives an empty one; other columns are not read. Words are told apart by 64-bit hashes, next words of a context by 40 bits of them.
@@ -15,6 +15,7 @@ they are there; an empty table gives an empty one; other columns are not read. W
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -30,7 +31,8 @@ from sieveline.llm.words import A, B, mixed, words_in
 
 class Settings(NamedTuple):
     """depth: the longest contexts, in words. least: contexts seen less often are not tried. gain: what a context must gain on its training tokens, in log10. weight: how much
-    the shorter context counts, as a power of the number of times that a context was seen. split: contexts seen more often are dealt out by next word.
+    the shorter context counts, as a power of the number of times that a context was seen. split: contexts seen more often are kept without a test, none unless asked for.
+    deal: contexts seen more often are dealt out by next word, which doesn't change what is kept.
     block: words of a block, and shard: about what a shard gets of each depth. A block sends a row to each shard: for inputs that need very many of both, larger blocks send
     fewer rows. weight was chosen on another fold than the one held out by default."""
 
@@ -38,9 +40,10 @@ class Settings(NamedTuple):
     least: int = 8
     gain: float = 4.0
     weight: float = 0.9
-    split: int = 500_000
+    split: float = math.inf
     block: int = 700_000
     shard: int = 500_000
+    deal: int = 500_000
 
 
 #: The added count of the words without context.
@@ -51,7 +54,7 @@ _NEXT = np.uint64((1 << 40) - 1)
 CODED = "block long, docs array<long>, held array<boolean>, lengths binary, vocabulary binary, times binary, seen binary, words binary, n long, learnt long"
 ASKED = "block long, shard int, contexts binary, sizes binary, totals binary, nexts binary, counts binary, shorter binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-ANSWER = "depth int, block long, shard int, counts binary, v long"
+ANSWER = "depth int, block long, shard int, counts binary, v long, dealt binary, gains binary"
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -154,7 +157,7 @@ def _shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
 class Block:
     """What a block knows once the shards have answered: at each depth its pairs of context and next word, each once, in the order in which it asks."""
 
-    def __init__(self, row: dict, answers: pa.Table, shards: int, tokens: int, distinct: int, depth: int, settings: Settings) -> None:
+    def __init__(self, row: dict, answers: pa.Table, shards: int, tokens: int, distinct: int, depth: int, settings: Settings, kept_dealt: dict[int, np.ndarray] | None = None) -> None:
         self.row = row
         self.vocabulary = _hashes(row["vocabulary"])
         self.words = _by_times(_unpack(row["times"]))[_unpack(_loosen(row["words"], 8 * row["n"])).astype(np.int64)]
@@ -178,7 +181,7 @@ class Block:
             pairs, first, back = np.unique(context[tried] * len(self.vocabulary) + self.words[tried], return_index=True, return_inverse=True)
             of, word = pairs // max(1, len(self.vocabulary)), pairs % max(1, len(self.vocabulary))
             nexts = self.vocabulary[word]
-            dealt = np.where(totals[of] > settings.split, mixed(hashes[of] + nexts * A), mixed(hashes[of] + B))
+            dealt = np.where(totals[of] > settings.deal, mixed(hashes[of] + nexts * A), mixed(hashes[of] + B))
             shard = _shard_of(dealt, shards)
             order = np.argsort(shard, kind="stable")
             self.asked = (d, of[order], nexts[order], hashes, totals, shard[order], np.bincount(back[self.learnt[tried]], minlength=len(pairs))[order], self.log[tried[first]][order])
@@ -187,6 +190,7 @@ class Block:
             answer = np.empty(len(pairs), np.uint64)
             answer[order] = np.concatenate(got[d])
             counts, kept = (answer >> np.uint64(1)).astype(np.float64), (answer & np.uint64(1)).astype(bool)
+            kept |= np.isin(hashes[of], (kept_dealt or {}).get(d, ()))
             hit = np.flatnonzero(kept[back])
             use, pair = tried[hit], back[hit]
             n, c = totals[of[pair]], counts[pair]
@@ -234,9 +238,9 @@ def _words_by_shard(coded: DataFrame, shards: int) -> DataFrame:
     return coded.select("block", "vocabulary", "seen").mapInArrow(run, "block long, shard int, keys binary, counts binary")
 
 
-def _answered(depth: int, group: pa.Table, sizes: list[int], values: np.ndarray, distinct: int) -> pa.Table:
+def _answered(depth: int, group: pa.Table, sizes: list[int], values: np.ndarray, distinct: int, dealt: bytes = b"", gains: bytes = b"") -> pa.Table:
     ends = np.cumsum(sizes)
-    rows = [{"depth": depth, "block": b, "shard": s, "counts": _pack(values[e - n : e]), "v": distinct if i == 0 else 0} for i, (b, s, n, e) in enumerate(zip(group.column("block").to_pylist(), group.column("shard").to_pylist(), sizes, ends.tolist(), strict=True))]
+    rows = [{"depth": depth, "block": b, "shard": s, "counts": _pack(values[e - n : e]), "v": distinct if i == 0 else 0, "dealt": dealt if i == 0 else b"", "gains": gains if i == 0 else b""} for i, (b, s, n, e) in enumerate(zip(group.column("block").to_pylist(), group.column("shard").to_pylist(), sizes, ends.tolist(), strict=True))]
     return pa.Table.from_pylist(rows, schema=_arrow(ANSWER))
 
 
@@ -249,7 +253,8 @@ def _count_words(group: pa.Table) -> pa.Table:
 
 
 def _test_contexts(depth: int, group: pa.Table, settings: Settings) -> pa.Table:
-    """Adds up the counts of a shard's pairs, and tests its contexts: twice the count of each pair, and one more where its context is kept."""
+    """Adds up the counts of a shard's pairs, and tests its contexts: twice the count of each pair, and one more where its context is kept.
+    Of contexts that are dealt out, the shard only has a part: it tells what they gain in it, and keeps none."""
     parts = [(np.frombuffer(r["contexts"], np.uint64), _unpack(r["sizes"]).astype(np.int64), _unpack(r["totals"])) for r in group.select(["contexts", "sizes", "totals"]).to_pylist()]
     lengths = [int(sizes.sum()) for _, sizes, _ in parts]
     context = np.concatenate([np.repeat(c, sizes) for c, sizes, _ in parts])
@@ -264,8 +269,24 @@ def _test_contexts(depth: int, group: pa.Table, settings: Settings) -> pa.Table:
     # Each training token against the counts without itself.
     gain = np.where(c > 0, c * (np.log10(np.maximum(c - 1, 0) + weight * p) - np.log10(n - 1 + weight) - np.log10(p)), 0.0)
     contexts, own = np.unique(context[first], return_inverse=True)
-    kept = (np.bincount(own, gain, len(contexts))[own] >= settings.gain) | (n > settings.split)
-    return _answered(depth, group, lengths, (2 * c + kept)[back], 0)
+    gains = np.bincount(own, gain, len(contexts))
+    whole = n <= settings.deal
+    parted = np.unique(own[~whole])
+    return _answered(depth, group, lengths, (2 * c + ((whole & (gains[own] >= settings.gain)) | (n > settings.split)))[back], 0, contexts[parted].tobytes(), gains[parted].tobytes())
+
+
+def _kept_of_dealt(answers: DataFrame, settings: Settings) -> np.ndarray:
+    """The dealt contexts whose gains over all shards are enough, as sorted hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dealt, gains in zip(batch.column("dealt").to_pylist(), batch.column("gains").to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(dealt, np.int64)), pa.array(np.frombuffer(gains, np.float64))], ["context", "gain"])
+
+    parts = answers.where("length(dealt) > 0").select("dealt", "gains").mapInArrow(run, "context long, gain double")
+    # In the order of the shards' parts whatever arrives first: the sum's last digits don't hang on it.
+    sums = parts.groupBy("context").agg(F.aggregate(F.array_sort(F.collect_list("gain")), F.lit(0.0), lambda a, x: a + x).alias("gain"))
+    return np.sort(sums.where(F.col("gain") >= settings.gain).select("context").toArrow().column("context").to_numpy().astype(np.int64).view(np.uint64))
 
 
 def score(docs: DataFrame, remainder: int = 0, settings: Settings = Settings()) -> DataFrame:  # noqa: B008  a tuple
@@ -277,9 +298,11 @@ def score(docs: DataFrame, remainder: int = 0, settings: Settings = Settings())
     answers = materialize(_words_by_shard(coded, shards).groupBy("shard").applyInArrow(_count_words, ANSWER), "answers")
     distinct = answers.agg(F.sum("v").alias("v")).first()["v"] or 0
 
+    kept: dict[int, np.ndarray] = {}
+
     def asking(d: int):
         def ask(block: pa.Table, got: pa.Table) -> pa.Table:
-            rows = [q for r in block.to_pylist() for q in Block(r, got, shards, tokens, distinct, d, settings).questions()]
+            rows = [q for r in block.to_pylist() for q in Block(r, got, shards, tokens, distinct, d, settings, kept).questions()]
             _give_back()
             return pa.Table.from_pylist(rows, schema=_arrow(ASKED))
 
@@ -289,15 +312,18 @@ def score(docs: DataFrame, remainder: int = 0, settings: Settings = Settings())
         return lambda group: _test_contexts(d, group, settings)
 
     for d in range(1, settings.depth + 1):
-        asked = coded.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(asking(d), ASKED)
+        asked = coded.groupBy("block").cogroup(answers.drop("dealt", "gains").groupBy("block")).applyInArrow(asking(d), ASKED)
         found = asked.groupBy("shard").applyInArrow(testing(d), ANSWER)
-        answers = answers.unionByName(materialize(found, "answers"))
+        found = materialize(found, "answers")
+        kept[d] = _kept_of_dealt(found, settings)
+        # The blocks don't read the gains again.
+        answers = answers.unionByName(found)
     out = _arrow(SCORES)
 
     def rate(block: pa.Table, got: pa.Table) -> pa.Table:
-        rows = [Block(r, got, shards, tokens, distinct, settings.depth, settings).scores() for r in block.to_pylist()]
+        rows = [Block(r, got, shards, tokens, distinct, settings.depth, settings, kept).scores() for r in block.to_pylist()]
         _give_back()
         return pa.concat_tables([pa.table([pa.array(r[f.name], f.type) for f in out], schema=out) for r in rows] or [out.empty_table()])
 
-    rated = coded.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(rate, SCORES)
+    rated = coded.groupBy("block").cogroup(answers.drop("dealt", "gains").groupBy("block")).applyInArrow(rate, SCORES)
     return rated.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

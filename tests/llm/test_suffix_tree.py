@@ -81,3 +81,14 @@ def test_odd_rows(spark):
     check(spark, ROWS, S.Settings(least=2, gain=0.1))
     assert S.score(empty(spark)).count() == 0
     check(spark, [(None, "a b", "en", "a"), (None, None, "en", "a")], S.Settings())
+
+
+def test_dealt_contexts_are_tested_too(spark):
+    """How often a context is seen decides where it is counted, not whether it is kept: words that tell nothing of the next one gain nothing."""
+    draw = random.Random(2)
+    rows = [(i, " ".join(draw.choice(["a", "b", "c", "d"]) for _ in range(60)), "en", "a") for i in range(60)] + [(60 + i, "x y " * 30, "en", "a") for i in range(20)]
+    found = [sorted(S.score(documents(spark, rows), settings=S.Settings(least=4, gain=5.0, deal=deal, block=700, shard=300)).collect()) for deal in (50, 10**9)]
+    check(spark, rows, S.Settings(least=4, gain=5.0, split=10**9, deal=50, block=700, shard=300))
+    assert S.Settings().split == math.inf
+    for a, b in zip(*found, strict=True):
+        assert tuple(a)[:5] == tuple(b)[:5] and tuple(a)[5:] == pytest.approx(tuple(b)[5:], rel=1e-9)
