@@ -37,6 +37,19 @@ def test_ids_equal_the_librarys_on_odd_texts(library, own):
         assert own.count(text) == len(ids)
 
 
+def test_plain_texts_are_merged_whole_and_not_remembered(library):
+    text = open(PATH, encoding="utf-8").read()
+    fresh = Bpe(text, prove_whole_tokens(text))
+    draw = random.Random(7)
+    for _ in range(300):
+        plain = "".join(draw.choice([" ", "the", "Ébç", "'re", "12²", "\n\n", "\t", "_x", "\xa0", "\x85", "."]) for _ in range(draw.randint(0, 40)))
+        ids = library.encode(plain, add_special_tokens=False).ids
+        assert fresh.packed(plain) == struct.pack(f"<{len(ids)}I", *ids) and fresh.count(plain) == len(ids), repr(plain)
+    assert not fresh.part_ids and not fresh.part_counts and not fresh.piece_ids
+    for long in ("a" + " " * 2_000_000 + "b", "\n" * 20_000, "ab" * 100_000):
+        assert fresh.count(long) == len(library.encode(long, add_special_tokens=False).ids)
+
+
 def test_whole_tokens_are_proved(library, own):
     draw = random.Random(6)
     for text in draw.sample(sorted(own.whole), 500):
