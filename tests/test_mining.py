@@ -186,3 +186,15 @@ def test_commands_train_and_use_a_run(spark, tmp_path, capsys):
     assert cli.main(["ablation", str(tmp_path / "dump"), "hashed-64", "--out", str(tmp_path / "again.md"), "--resamples", "200"]) == 0 and (tmp_path / "again.md").read_text() == text
     assert cli.main(["train", str(config), "b", "--pairs-dir", str(out)]) == 2
     capsys.readouterr()
+
+
+def test_leak_audits_move_no_texts(spark):
+    """Repeated pairs and units keep a row each; texts are no keys of joins."""
+    code = "int f(int a)\nreturn a + 1 ;\nwhile ( a ) { b = c + d ; e = f ( g ) ; }"
+    rows = [("u1", "opens the file", "nothing alike", ""), ("u1", "opens the file", "nothing alike", ""), ("u2", "something else", code, ""), ("u3", "something else", "nothing alike", code), ("u4", "opens  THE file", code, code), (None, "opens the file", "x", ""), ("u5", None, "x", None)]
+    pairs = spark.createDataFrame(rows, "unit_id string, query string, code string, negative string")
+    found = mining.find_leaks(pairs, spark.createDataFrame([(code, "opens the file")], "code string, comment string"))
+    want = [("u1", "benchmark_comment_exact")] * 2 + [(u, "benchmark_code_exact") for u in ("u2", "u3", "u4")] + [(None, "benchmark_comment_exact")]
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert joins and not any("query" in line or "code" in line for line in joins), joins
