@@ -12,7 +12,7 @@ from sieveline.llm.words import AS_WRITTEN, words_in
 
 #: Words whose n-grams are in memory at once, and characters of them.
 AT_ONCE = 8_000
-CHARS_AT_ONCE = 400_000
+CHARS_AT_ONCE = 100_000
 
 _M = np.uint32(0x01000193)
 

@@ -201,3 +201,18 @@ def test_rare_labels_are_not_learnt(spark):
     rows = [(i, "some plain words of one kind", "en", "a") for i in range(1_500)] + [(9_000 + i, f"qq{i} zz", f"odd{i}", "a") for i in range(700)]
     model = language_id.fit(documents(spark, rows))
     assert model.langs == ["en"]
+
+
+def test_ngrams_of_many_words_take_little_memory_at_once():
+    import tracemalloc
+
+    from sieveline.llm import ngrams
+
+    words = [f"word{i}" for i in range(60_000)]
+    tracemalloc.start()
+    n = sum(len(bucket) for _, bucket in ngrams.ngram_blocks(words, (1, 2, 3, 4), 1 << 16))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # Marks before and after each word count; the word itself is one more.
+    assert n == sum(4 * (len(w) + 2) - 6 + 1 for w in words)
+    assert peak < 50_000_000, peak
