@@ -3,8 +3,10 @@ import math
 import numpy as np
 import pytest
 
+from sieveline.functions import text
 from sieveline.operators import dense, evaluate, lexical, rank
 from sieveline.plans import queries_evaluate, queries_search
+from sieveline.plans.standins import units
 
 
 def ranking(spark, order):
@@ -156,3 +158,22 @@ def test_rank_dump(spark, tmp_path):
     ranks = evaluate.ranks_table(spark, str(path))
     rows = {r.model: r for r in evaluate.ablation(ranks, "m").collect()}
     assert rows["m"].mrr == pytest.approx(0.625) and rows["n"].d_mrr == pytest.approx(0.375) and rows["n"].recall_1 == 1.0
+
+
+@pytest.mark.parametrize("name", ["query_ranks", "retrieval_metrics", "macro_average", "report_rows"])
+def test_every_query_is_ranked(spark, sf, name):
+    """No figure comes from a part of the queries: ranks, means of a repository, means of those, and the report's lines are those of all of them."""
+    asked = evaluate.build_queries(units(spark, sf))
+    ranks = lexical.target_ranks(units(spark, sf).select("ordinal", text.tokenize(text.lexical_text("file", "body")).alias("tokens")), asked.select("query_id", text.tokenize("text").alias("tokens")), asked.select("query_id", "target"))
+    ranks = {(r.repo, r.query_id): r["rank"] for r in ranks.join(asked.select("query_id", "repo"), "query_id").collect()}
+    assert any(i % 100 for _, i in ranks)
+    mrr = {repo: np.mean([1 / r for (own, _), r in ranks.items() if own == repo]) for repo in {repo for repo, _ in ranks}}
+    rows = getattr(queries_evaluate, name)(spark, sf).collect()
+    if name == "query_ranks":
+        assert {(r.repo, r.query_id): r["rank"] for r in rows} == ranks
+    elif name == "macro_average":
+        assert rows[0].mrr == pytest.approx(np.mean(list(mrr.values())), abs=1e-6)
+    elif name == "retrieval_metrics":
+        assert {r.repo: r.mrr for r in rows} == pytest.approx(mrr, abs=1e-6)
+    else:
+        assert sorted(r.line[-8:] for r in rows) == sorted(f" {m:.3f} |" for m in mrr.values())
