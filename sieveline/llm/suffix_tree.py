@@ -118,7 +118,7 @@ def code(docs: DataFrame, remainder: int, block: int) -> DataFrame:
 
     def made(nth: int, parts: list) -> pa.RecordBatch:
         docs_, held, lengths, hashes = ([x for p in parts for x in p[0]], [x for p in parts for x in p[1]], np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts]))
-        vocabulary, words = np.unique(hashes, return_inverse=True)
+        vocabulary, _, words = _groups(hashes)
         learnt = np.repeat(~np.array(held, bool), lengths)
         seen = np.bincount(words[learnt], minlength=len(vocabulary))
         number = TaskContext.get().partitionId() << 32 | nth
@@ -150,6 +150,16 @@ def code(docs: DataFrame, remainder: int, block: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, CODED)
 
 
+def _groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As np.unique with index and inverse, where any place of a value will do: by a sort that isn't stable, which is faster."""
+    order = np.argsort(values)
+    ordered = values[order]
+    new = np.append(True, ordered[1:] != ordered[:-1])[: len(values)]
+    back = np.empty(len(values), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], back
+
+
 def _shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
@@ -178,12 +188,13 @@ class Block:
         for d in range(1, depth + 1):
             tried = np.flatnonzero(context >= 0)
             tried = tried[totals[context[tried]] >= settings.least]
-            pairs, first, back = np.unique(context[tried] * len(self.vocabulary) + self.words[tried], return_index=True, return_inverse=True)
+            pairs, first, back = _groups(context[tried] * len(self.vocabulary) + self.words[tried])
             of, word = pairs // max(1, len(self.vocabulary)), pairs % max(1, len(self.vocabulary))
             nexts = self.vocabulary[word]
             dealt = np.where(totals[of] > settings.deal, mixed(hashes[of] + nexts * A), mixed(hashes[of] + B))
             shard = _shard_of(dealt, shards)
-            order = np.argsort(shard, kind="stable")
+            # Numbers of two bytes are sorted by their digits.
+            order = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")
             self.asked = (d, of[order], nexts[order], hashes, totals, shard[order], np.bincount(back[self.learnt[tried]], minlength=len(pairs))[order], self.log[tried[first]][order])
             if d not in got:
                 return
@@ -247,7 +258,7 @@ def _answered(depth: int, group: pa.Table, sizes: list[int], values: np.ndarray,
 def _count_words(group: pa.Table) -> pa.Table:
     keys = [_hashes(k) for k in group.column("keys").to_pylist()]
     counts = np.concatenate([_unpack(c) for c in group.column("counts").to_pylist()])
-    every, back = np.unique(np.concatenate(keys), return_inverse=True)
+    every, _, back = _groups(np.concatenate(keys))
     total = np.bincount(back, counts, len(every))
     return _answered(0, group, [len(k) for k in keys], total[back], int((total > 0).sum()))
 
@@ -262,7 +273,7 @@ def _test_contexts(depth: int, group: pa.Table, settings: Settings) -> pa.Table:
     nexts = np.concatenate([_unpack_next(x) for x in group.column("nexts").to_pylist()])
     counts = np.concatenate([_unpack(x) for x in group.column("counts").to_pylist()])
     shorter = np.concatenate([np.frombuffer(x, np.uint8) for x in group.column("shorter").to_pylist()])
-    _, first, back = np.unique(mixed(context + nexts * A), return_index=True, return_inverse=True)
+    _, first, back = _groups(mixed(context + nexts * A))
     c = np.bincount(back, counts, len(first))
     n, p = seen[first], 10.0 ** (shorter[first].astype(np.float64) / -16)
     weight = n**settings.weight

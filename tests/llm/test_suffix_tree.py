@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from tests.llm.cases import ROWS, documents, empty
 
@@ -92,3 +93,12 @@ def test_dealt_contexts_are_tested_too(spark):
     assert S.Settings().split == math.inf
     for a, b in zip(*found, strict=True):
         assert tuple(a)[:5] == tuple(b)[:5] and tuple(a)[5:] == pytest.approx(tuple(b)[5:], rel=1e-9)
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 3_000])
+def test_groups_are_the_sorted_distinct_values(n):
+    """As a plain sort of distinct values has them, for signed and unsigned ones."""
+    draw = np.random.default_rng(n)
+    for values in (draw.integers(-40, 40, n), draw.integers(0, 1 << 64, n, np.uint64) // np.uint64(1 << 58)):
+        found, first, back = S._groups(values)
+        assert found.tolist() == sorted(set(values.tolist())) and values[first].tolist() == found.tolist() and found[back].tolist() == values.tolist()
